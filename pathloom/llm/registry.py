@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pathloom.llm import chat, sharding
+from pathloom.llm import chat, langid, sharding, toxicity
 
 QUERIES = {
     "op2_chat_prefix_targets": chat.query,
     "op3_external_shuffle": sharding.query,
+    "op6_language_id": langid.query,
+    "op7_toxicity": toxicity.query,
 }
 
 ORACLES = {"op2_chat_prefix_targets": chat.ORACLE}
