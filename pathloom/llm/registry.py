@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pathloom.llm import chat, html, langid, quality, sharding, toxicity
+from pathloom.llm import chat, decontam, html, langid, quality, sharding, toxicity
 
 QUERIES = {
     "op2_chat_prefix_targets": chat.query,
     "op3_external_shuffle": sharding.query,
+    "op4_positional_decontamination": decontam.query,
     "op5_line_crf_quality": quality.query,
     "op6_language_id": langid.query,
     "op7_toxicity": toxicity.query,
     "op10_html_blocks": html.query,
 }
 
-ORACLES = {"op2_chat_prefix_targets": chat.ORACLE}
+ORACLES = {
+    "op2_chat_prefix_targets": chat.ORACLE,
+    "op4_positional_decontamination": decontam.ORACLE,
+}
