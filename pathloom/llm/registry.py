@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import chat, decontam, html, langid, quality, sharding, toxicity
+from pathloom.llm import chat, decontam, html, langid, minhash, quality, sharding, toxicity
 
 QUERIES = {
     "op2_chat_prefix_targets": chat.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_line_crf_quality": quality.query,
     "op6_language_id": langid.query,
     "op7_toxicity": toxicity.query,
+    "op8_superminhash_dedup": minhash.query,
     "op10_html_blocks": html.query,
 }
 
 ORACLES = {
     "op2_chat_prefix_targets": chat.ORACLE,
     "op4_positional_decontamination": decontam.ORACLE,
+    "op8_superminhash_dedup": minhash.ORACLE,
 }
