@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import chat, decontam, html, langid, minhash, quality, sharding, toxicity
+from pathloom.llm import chat, decontam, embedding, html, langid, minhash, quality, sharding, toxicity
 
 QUERIES = {
     "op2_chat_prefix_targets": chat.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op7_toxicity": toxicity.query,
     "op8_superminhash_dedup": minhash.query,
+    "op9_metric_range_join": embedding.query,
     "op10_html_blocks": html.query,
 }
 
@@ -19,4 +20,5 @@ ORACLES = {
     "op2_chat_prefix_targets": chat.ORACLE,
     "op4_positional_decontamination": decontam.ORACLE,
     "op8_superminhash_dedup": minhash.ORACLE,
+    "op9_metric_range_join": embedding.ORACLE,
 }
