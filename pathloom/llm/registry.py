@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathloom.llm import chat, decontam, embedding, html, langid, minhash, quality, sharding, toxicity
+from pathloom.llm import chat, decontam, embedding, html, langid, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_ipf_mixing": mixing.query,
     "op2_chat_prefix_targets": chat.query,
     "op3_external_shuffle": sharding.query,
     "op4_positional_decontamination": decontam.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ipf_mixing": mixing.ORACLE,
     "op2_chat_prefix_targets": chat.ORACLE,
     "op4_positional_decontamination": decontam.ORACLE,
     "op8_superminhash_dedup": minhash.ORACLE,
