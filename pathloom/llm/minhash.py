@@ -10,10 +10,12 @@ verified on full shingle sets and followed by union-find:
 1. in the first bands, every class against the smallest of its bucket;
 2. in all bands, in buckets that still hold several components, members against LEADERS members drawn
    by different hashes, if of another component;
-3. in what is left of such buckets, every pair across components not yet compared.
+3. among the classes still in buckets of several components, an exact prefix-filter join across
+   components: shingles are ordered by how many of these classes hold them, and a pair is compared only if
+   a shingle early enough in both orders to leave room for the overlap needed is common to both.
 
-So no pair of one component is emitted once it is known to be one, and none that could connect two
-components is left out. A pair with similarity 0.75 shares a band with probability 0.9999.
+So no pair within a component known as such is emitted, and none that could connect two components is
+left out. A pair with similarity 0.75 shares a band with probability 0.9999.
 
 Null texts and texts without words have empty sets and link with nothing. Repeated rows share their
 class. A null doc_id has a null component and links nothing; rows under one id with different texts are
@@ -172,6 +174,37 @@ def comparable(n: str, m: str):
     return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
+def across(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes (node, n, comp) of different components that may be similar enough: none that is gets lost.
+
+    Two sets are similar only if they share 3/7 of their sizes' sum. In a common order of shingles, a pair's first
+    common one at places i and j leaves at most 1 + min(n - i, m - j) common shingles. Shingles held in one
+    component alone can't be common to a pair; they come first in the order and cost nothing more.
+    """
+    need = lambda n, m: 3 * (n + m)  # noqa: E731  in sevenths
+    sets = shingle_sets(docs, classes.select(F.col("node").alias("id")))
+    tokens = sets.join(classes, F.col("id") == F.col("node")).select("node", "n", "comp", F.explode("set").alias("tok"))
+    live = tokens.groupBy("tok").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok", "f")
+    order = tokens.join(live, "tok").groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("ts"))
+    order = order.select("node", "n", "comp", F.size("ts").alias("live"), F.posexplode("ts").alias("at", "t"))
+    order = order.select("node", "n", "comp", F.col("t.tok").alias("tok"), (F.col("n") - F.col("live") + F.col("at") + 1).alias("i"))
+    room = 7 * (F.col("n") - F.col("i") + 1)
+    entries = written(order.where(room >= need(F.col("n"), 0.75 * F.col("n"))), "entries")
+    # The smallest set behind a shingle tightens how early it has to come.
+    least = entries.groupBy("tok").agg(F.min("n").alias("least"))
+    entries_ = entries.join(least, "tok").where(room >= need(F.col("n"), F.greatest(0.75 * F.col("n"), F.col("least")))).drop("least")
+    mixed = entries_.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+    kept = written(entries_.join(mixed, "tok"), "entries")
+    x, y = (kept.select("tok", *[F.col(c).alias(c + t) for c in ("node", "n", "comp", "i")]) for t in "xy")
+    pairs = x.join(y, "tok").where(
+        (F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy")) & comparable("nx", "ny")
+        & (7 * (1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))) >= need(F.col("nx"), F.col("ny")))
+    )
+    out = written(pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct(), "across")
+    release(sets, entries, kept)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sigs = signatures(docs)
@@ -219,11 +252,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = m.join(lead, ["band", "key"]).select("node", "n", "comp", F.explode("ls").alias("l")).where((F.col("comp") != F.col("l.comp")) & comparable("n", "l.n"))
     round_(star.select(F.col("node").alias("a"), F.col("l.node").alias("b")))
 
-    m = written(labelled(), "open")
-    if not m.isEmpty():
-        x, y = (m.select("band", "key", *[F.col(c).alias(c + t) for c in ("node", "n", "comp")]) for t in "xy")
-        cross = x.join(y, ["band", "key"]).where((F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy")) & comparable("nx", "ny"))
-        round_(cross.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")))
+    open_ = written(labelled().select("node", "n", "comp").distinct(), "open")
+    if not open_.isEmpty():
+        round_(across(docs, open_))
 
     groups = classes.select("d1", "d2", F.col("node").alias("comp"))
     if labels is not None:
