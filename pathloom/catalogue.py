@@ -1,6 +1,614 @@
-"""Every registered query of the graph engine with its DuckDB text."""
+"""Every registered query of the graph engine with its DuckDB text.
+
+Queries run on the fixture graph over whole tables. Oracles build the same graph from the base tables in
+common table expressions; arrays are compared as joined text, scores rounded to 6 places.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from pathloom.functions import abbreviated, first_label, list_literal, max_scaled, metapath_text, minmax_scaled
+from pathloom.operators import decision_set as D
+from pathloom.operators import graph as G
+from pathloom.operators import metrics as E
+from pathloom.operators import mining as M
+from pathloom.operators import paths as P
+from pathloom.operators import rules as R
+from pathloom.operators import samples as S
+from pathloom.operators import thresholds as T
+from pathloom.plans.fixture import Fixture, fixture
+from pathloom.sources.stages import written
+
+#: Share of all pair weight for sets of metapaths, and for shared-node conditions.
+SET_RATIO, UNIF_RATIO = 0.2, 0.01
+
+_CTES = {
+    "e": """select 'S'||s_suppkey u,'N'||s_nationkey v,'located_in' l,cast(1.0 as double) s, cast(null as varchar[]) c from supplier
+  union all select 'N'||n_nationkey,'R'||n_regionkey,'in_region',cast(1.0 as double), null from nation
+  union all select 'C'||c_custkey,'N'||c_nationkey,'lives_in',cast(1.0 as double), null from customer
+  union all select 'S'||l_suppkey,'P'||l_partkey,'supplies',round(avg(1-l_discount),6), list_sort(list(distinct cast(year(l_shipdate) as varchar))) from lineitem where l_returnflag='R' and l_quantity>=40 group by 1,2
+  union all select 'C'||o_custkey,'P'||l_partkey,'buys',round(avg(1-l_tax),6), list_sort(list(distinct cast(year(l_shipdate) as varchar))) from orders join lineitem on l_orderkey=o_orderkey where l_returnflag='R' and l_quantity>=40 group by 1,2
+  union all select 'C'||o_custkey,'S'||l_suppkey,'buys_from',round(avg(1-l_discount),6), list_sort(list(distinct cast(year(l_shipdate) as varchar))) from orders join lineitem on l_orderkey=o_orderkey where l_returnflag='A' and l_quantity>=45 group by 1,2""",
+    "n": "select 'S'||s_suppkey id,'S' t,s_name name,s_acctbal o,'sup' ab from supplier union all select 'P'||p_partkey,'P',p_name,null,'par' from part union all select 'C'||c_custkey,'C',c_name,c_acctbal,'cus' from customer union all select 'N'||n_nationkey,'N',n_name,null,'nat' from nation union all select 'R'||r_regionkey,'R',r_name,null,'reg' from region",
+    "adj": "select u,v,l,s,c,substr(u,1,1) ut,substr(v,1,1) vt from e union all select v,u,l,s,c,substr(v,1,1),substr(u,1,1) from e",
+    "sup": "select 'S'||s_suppkey id, s_acctbal o, s_nationkey from supplier",
+    "combo": """select 'O'||o_orderkey combination, case when x.o<y.o or (x.o=y.o and x.id<=y.id) then x.id else y.id end a, case when x.o<y.o or (x.o=y.o and x.id<=y.id) then y.id else x.id end b,
+  greatest(0,4-cast(substr(o_orderpriority,1,1) as int)) fam, case o_orderstatus when 'F' then 1 when 'P' then 2 else 0 end meta, case when o_totalprice>100000 then 1 else 0 end manual, cast(epoch(o_orderdate) as bigint) ts, 'N'||c_nationkey d
+  from (select l_orderkey k, min(l_suppkey) p, max(l_suppkey) q from lineitem group by 1 having count(distinct l_suppkey)=2) join orders on o_orderkey=k join customer on c_custkey=o_custkey join sup x on x.id='S'||p join sup y on y.id='S'||q""",
+    "lev": "select *, case when fam>=3 or meta>=2 then 3 when fam>=2 or meta>=2 then 2 when fam>=1 or (meta>=1 and manual>=1) then 1 else 0 end level from combo",
+    "pairs": "select a||'|'||b pair_id, a, b, greatest(max(level),1)/3.0::double weight, 1 label from lev group by a,b",
+    "neg": """select a||'|'||b pair_id, a, b, 1.0::double weight, 0 label from (select case when x.o<y.o or (x.o=y.o and x.id<=y.id) then x.id else y.id end a, case when x.o<y.o or (x.o=y.o and x.id<=y.id) then y.id else x.id end b
+  from sup x join sup y on x.s_nationkey=y.s_nationkey and x.id<y.id) z where not exists (select 1 from pairs where pairs.a=z.a and pairs.b=z.b)""",
+    "sam": "select * from pairs union all select * from neg",
+    "h": "select * from adj where s>0 and vt<>'R'",
+    "raw": """select pair_id, [x.l] es, cast([] as varchar[]) ts, cast([] as varchar[]) ns, x.s score, [x.c] cs, label from sam join h x on x.u=a and x.v=b
+  union all select pair_id, [x.l,y.l], [x.vt], [x.v], sqrt(x.s*y.s), [x.c,y.c], label from sam join h x on x.u=a join h y on y.u=x.v and y.v=b where x.v<>b
+  union all select pair_id, [x.l,y.l,z.l], [x.vt,y.vt], [x.v,y.v], pow(x.s*y.s*z.s,1.0/3), [x.c,y.c,z.c], label from sam join h x on x.u=a and x.v<>b join h z on z.v=b and z.u<>a join h y on y.u=x.v and y.v=z.u where x.v<>z.u""",
+    "ok": "select *, list_filter(cs, lambda q: q is not null) k from raw",
+    "ap": """select pair_id, label, es, ts, ns, case len(es) when 1 then es[1] when 2 then es[1]||'/'||ts[1]||'/'||es[2] else es[1]||'/'||ts[1]||'/'||es[2]||'/'||ts[2]||'/'||es[3] end mp, max(score) score from ok
+  where len(k)<=1 or (len(k)=2 and len(list_intersect(k[1],k[2]))>0) or (len(k)=3 and len(list_intersect(list_intersect(k[1],k[2]),k[3]))>0) group by all""",
+    "p": "select * from ap where label=1",
+    "pw": "select pair_id, weight from pairs",
+    "minsup": f"select {SET_RATIO}*sum(weight)-1e-9 m, {UNIF_RATIO}*sum(weight)-1e-9 mu from pairs",
+    "tx": "select distinct pair_id, mp from p",
+    "l1": "select mp, sum(weight) support, count(*) n from tx join pw using(pair_id) group by mp having sum(weight)>=(select m from minsup)",
+    "f": "select tx.* from tx join l1 using(mp)",
+    "t2": "select x.pair_id, x.mp a, y.mp b from f x join f y on x.pair_id=y.pair_id and x.mp<y.mp",
+    "l2": "select a, b, sum(weight) support, count(*) n from t2 join pw using(pair_id) group by 1,2 having sum(weight)>=(select m from minsup)",
+    "t3": "select t2.pair_id, t2.a, t2.b, f.mp c from t2 join l2 using(a,b) join f on f.pair_id=t2.pair_id and f.mp>t2.b",
+    "l3": "select a, b, c, sum(weight) support, count(*) n from t3 join pw using(pair_id) group by 1,2,3 having sum(weight)>=(select m from minsup)",
+    "pat": "select a||' + '||b pattern, [a,b] mps, 2 k, support, n from l2 union all select a||' + '||b||' + '||c, [a,b,c], 3, support, n from l3",
+    "rules": "select row_number() over (order by mps) rule_id, pattern, mps, k from pat",
+    "ri": "select rule_id, pattern, k, unnest(mps) mp, unnest(range(0,k)) i from rules",
+    "hit": "select rule_id, pattern, k, i, ri.mp, pair_id, ns, es, score, label from ri join ap on ap.mp=ri.mp",
+    "cov": "select rule_id, pair_id, any_value(label) label from hit group by rule_id, pair_id having count(distinct i)=any_value(k)",
+    "upat": """select pattern, mps, k from pat where len(list_filter(flat, lambda q: len(list_filter(flat, lambda z: z=q))>1))>0""",
+    "ui": "select pattern, k, unnest(mps) mp, unnest(range(0,k)) i from upat",
+    "ub": "select pattern, pair_id from ui join p on p.mp=ui.mp group by pattern, pair_id having count(distinct i)=any_value(k)",
+    "us": "select distinct pattern, pair_id, i, pos, node from (select ui.pattern, ui.i, p.pair_id, unnest(ns) node, unnest(range(1,len(ns)+1)) pos from ui join p on p.mp=ui.mp) join ub using(pattern,pair_id)",
+    "u2": "select x.pattern, x.pair_id, x.node, y.i li, x.i||':'||x.pos||','||y.i||':'||y.pos u from us x join us y on x.pattern=y.pattern and x.pair_id=y.pair_id and x.node=y.node and x.i<y.i",
+    "u3": "select u2.pattern, u2.pair_id, u||','||us.i||':'||us.pos u from u2 join us on us.pattern=u2.pattern and us.pair_id=u2.pair_id and us.node=u2.node and us.i>u2.li",
+    "uall": "select distinct pattern, pair_id, u from u2 union select distinct pattern, pair_id, u from u3",
+    "un": "select pattern||' @ '||u pattern, pattern base, u, sum(weight) support, count(*) n from uall join pw using(pair_id) group by pattern, u having sum(weight)>=(select mu from minsup)",
+    "sums": "select rule_id, sum(case when sam.label=1 then weight else 0 end) pos, sum(case when sam.label=0 then weight else 0 end) neg from cov join sam using(pair_id) group by rule_id",
+    "tot": "select sum(case when label=1 then weight end) p, sum(case when label=0 then weight end) n from sam",
+    "conf": "select rule_id, case when pos+p/n*neg=0 then 0 else pos/(pos+p/n*neg) end proba, pos, neg from sums, tot",
+    "pred": "select sam.pair_id, sam.label, sam.weight, coalesce(max(proba), (select case when sum(case when label=1 then weight else 0 end)+(select p/n from tot)*sum(case when label=0 then weight else 0 end)=0 then 0 else sum(case when label=1 then weight else 0 end)/(sum(case when label=1 then weight else 0 end)+(select p/n from tot)*sum(case when label=0 then weight else 0 end)) end from sam where pair_id not in (select pair_id from cov))) proba, count(proba) n_rules from sam left join cov on cov.pair_id=sam.pair_id left join conf on conf.rule_id=cov.rule_id group by sam.pair_id, sam.label, sam.weight",
+    "pts": "select round(proba,9) t, sum(case when label=1 then weight else 0 end) p, sum(case when label=0 then weight else 0 end) n from pred group by 1",
+    "roc": "select t, sum(n) over (order by t desc)/sum(n) over () fpr, sum(p) over (order by t desc)/sum(p) over () tpr from pts union all select 'infinity'::double, 0, 0",
+    "sc": "select pattern, k, pair_id, i, score from hit where label=1 and (rule_id,pair_id) in (select rule_id,pair_id from cov)",
+    "cnt": "select pattern, pair_id, count(*) c from sc group by 1,2",
+    "av": "select pattern, sum(weight*c)/sum(weight) avg_count, sum(weight) support from cnt join pw using(pair_id) group by 1",
+    "gr": "select * from (values (0,0.0::double),(1,0.9::double),(2,0.93::double),(3,0.95::double),(4,0.97::double)) g(t_id,v)",
+    "gc": "select pattern, t_id, pair_id, case when min(c)=0 then 0 else sum(c) end c from (select pattern, t_id, pair_id, i, sum(case when score>=v then 1 else 0 end) c from sc, gr group by all) group by 1,2,3",
+}
+_CTES |= {
+    "rv": "select pair_id, mp, case len(es) when 1 then es[1] when 2 then es[2]||'/'||ts[1]||'/'||es[1] else es[3]||'/'||ts[2]||'/'||es[2]||'/'||ts[1]||'/'||es[1] end rm from p",
+    "d2": "select distinct pair_id, 1 d, mp from rv union all select distinct pair_id, -1, rm from rv",
+    "fl": "select mp from (select distinct pair_id, mp from d2) z join pw using(pair_id) group by mp having sum(weight)>=(select m from minsup)",
+    "allp": "select pattern, mps, k as level, n from pat union all select un.pattern, pat.mps, pat.k+1, un.n from un join pat on pat.pattern=un.base",
+}
+_CTES["upat"] = "select pattern, mps, k from (select pattern, mps, k, flatten(list_transform(mps, lambda m: list_distinct(list_filter(string_split(m,'/'), lambda q: q in ('S','P','C','N','R','O'))))) flat from pat) where len(flat)>len(list_distinct(flat))"
+
+
+def sql(body: str) -> str:
+    """The query with the common table expressions that it needs."""
+    import re
+
+    need: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in re.findall(r"\b([a-z0-9]+)\b", text):
+            if name in _CTES and name not in need and re.search(rf"\b(?:from|join)\s+(?:\w+\s+\w+\s*,\s*)?{name}\b|,\s*{name}\b", text):
+                visit(_CTES[name])
+                if name not in need:
+                    need.append(name)
+
+    visit(body)
+    return "with " + ", ".join(f"{n} as materialized ({_CTES[n]})" for n in need) + " " + body if need else body
+
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(text: str | None):
+    """Registers a function of the fixture, with its oracle."""
+
+    def wrap(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(fixture(spark, sf_dir))
+        if text:
+            ORACLES[f.__name__] = sql(text)
+        return f
+
+    return wrap
+
+
+def joined(c: str, by: str = ",") -> F.Column:
+    return F.array_join(c, by)
+
+
+def _patterns(k: Fixture, ratio: float = SET_RATIO):
+    def build():
+        levels = M.grow_sets(M.transactions(k.paths), k.pairs, M.absolute_minsup(k.pairs, ratio))
+        patterns, found = M.set_patterns(levels)
+        levels = {n: (written(a, "sets"), b) for n, (a, b) in levels.items()}
+        return levels, written(patterns, "patterns"), found
+
+    return _once(k, f"patterns{ratio}", build)
+
+
+def _once(k: Fixture, name: str, build):
+    """Built once per fixture."""
+    if name not in k.__dict__:
+        k.__dict__[name] = build()
+    return k.__dict__[name]
+
+
+def _rules(k: Fixture) -> DataFrame:
+    return _once(k, "rules_", lambda: written(R.numbered(_patterns(k)[1]), "rules"))
+
+
+def _cover(k: Fixture) -> DataFrame:
+    return _once(k, "cover_", lambda: written(R.cover(_rules(k), k.all_paths), "cover"))
+
+
+def _unifications(k: Fixture):
+    def build():
+        patterns, found = M.unifications(_patterns(k)[1], k.paths, k.pairs, M.absolute_minsup(k.pairs, UNIF_RATIO))
+        return written(patterns, "unifications"), found
+
+    return _once(k, "unif_", build)
+
+
+def _scores(k: Fixture) -> DataFrame:
+    return _once(k, "scores_", lambda: written(T.pattern_scores(_patterns(k)[1], k.paths), "scores"))
+
+
+def _all_rules_set(k: Fixture) -> D.DecisionSet:
+    """A decision set of all candidate rules, so that prediction has a SQL form."""
+
+    def build():
+        p, n = D.class_weights(k.samples)
+        probs = D.rule_sums(_cover(k), k.samples, p / n).select("rule_id", F.col("confidence").alias("proba"), "pos", "neg")
+        return D.DecisionSet(written(_rules(k).join(probs, "rule_id"), "model"), D.non_matching_probability(_cover(k), k.samples, p / n))
+
+    return _once(k, "set_", build)
+
+
+def _scored(k: Fixture) -> DataFrame:
+    return _once(k, "scored_", lambda: written(_all_rules_set(k).predict(k.samples, k.all_paths).join(k.samples.select("pair_id", F.col("label").alias("y"), "weight"), "pair_id").withColumn("proba", F.round("proba", 9)), "scored"))
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    k = fixture(spark, sf_dir)
+    return P.pair_summary(k.pairs, k.paths).withColumn("best_score", F.round("best_score", 6))
+
+
+@query("select pair_id, count(distinct mp) n_metapaths, count(mp) n_paths, round(max(score),6) best_score from pairs left join p using(pair_id) group by pair_id")
+def pair_metapaths_outer(k):
+    return P.pair_summary(k.pairs, k.paths).withColumn("best_score", F.round("best_score", 6))
+
+
+@query("select id, t node_type, name from n")
+def kg_nodes(k):
+    return k.nodes.select("id", "node_type", "name")
+
+
+@query("select u src, v dst, l label, s score, array_to_string(coalesce(c,[]),',') ctx from e")
+def kg_edges(k):
+    return k.edges.select("src", "dst", "label", "score", joined(F.coalesce("ctx", F.array().cast("array<string>"))).alias("ctx"))
+
+
+@query("select distinct 'edge' kind, l as name from e union all select distinct 'node', t from n")
+def kg_types(k):
+    return G.edge_types(k.graph).select(F.lit("edge").alias("kind"), F.col("label").alias("name")).unionByName(G.node_types(k.graph).select(F.lit("node").alias("kind"), F.col("node_type").alias("name")))
+
+
+@query("select l label, cast(row_number() over (order by l)-1 as int) edge_type_idx from (select distinct l from e) x")
+def edge_type_index(k):
+    return G.edge_type_index(k.graph).select("label", "edge_type_idx")
+
+
+@query("select u src, ut src_type, l label, vt dst_type, count(*) degree, round(greatest(0,max(s)),6) max_score from adj group by all")
+def metaedge_degree(k):
+    return G.node_statistics(k.graph).withColumn("max_score", F.round("max_score", 6))
+
+
+@query("select u id, round(greatest(0,max(s)),6) max_score from adj group by 1")
+def node_max_score(k):
+    return G.node_statistics(k.graph).groupBy(F.col("src").alias("id")).agg(F.round(F.max("max_score"), 6).alias("max_score"))
+
+
+@query("select ut src_type, l label, vt dst_type, max(d) max_degree, round(max(m),6) max_score from (select u, ut, l, vt, count(*) d, greatest(0,max(s)) m from adj group by all) x group by 1,2,3")
+def metaedge_max_degree(k):
+    return G.metaedge_statistics(k.graph).withColumn("max_score", F.round("max_score", 6))
+
+
+@query("select u src, v dst, l label from e where l in ('supplies','buys') and substr(u,1,1) in ('S','P') and substr(v,1,1) in ('S','P')")
+def filter_flags_keep(k):
+    return G.filtered(k.graph, ["supplies", "buys"], ["S", "P"]).edges.select("src", "dst", "label")
+
+
+@query("select u src, v dst, l label from e where not contains(l,'buys') and not contains(substr(u,1,1),'R') and not contains(substr(v,1,1),'R')")
+def filter_flags_drop_substring(k):
+    return G.filtered(k.graph, "buys", "R", keep=False).edges.select("src", "dst", "label")
+
+
+@query("select id, name from n where t in ('S','C') and o > 0 and name is not null")
+def node_select(k):
+    return G.select_nodes(k.graph, "node_type", ["S", "C"], F.col("orient") > 0, lambda df: G.has_property("name")).select("id", "name")
+
+
+@query("select u src, v dst, l label from e where substr(u,1,1) in ('S','C') and substr(v,1,1) in ('S','C') and l in ('buys_from')")
+def induced_subgraph(k):
+    nodes = G.select_nodes(k.graph, "node_type", ["S", "C"])
+    return G.induced_subgraph(k.graph, nodes, k.edges.where("label = 'buys_from'")).edges.select("src", "dst", "label")
+
+
+@query("select t as name, min(ab) short from n group by 1")
+def nomenclature(k):
+    return G.nomenclature(k.graph)
+
+
+@query("select combination, a, b, fam, meta, manual, ts, d disease_nodes from combo")
+def combo_index(k):
+    return k.combinations.select("combination", "gene_pair.a", "gene_pair.b", F.col("FAMmanual").alias("fam"), F.col("STATmeta").alias("meta"), F.col("STATmanual").alias("manual"), F.col("timestamp").alias("ts"), joined("disease_nodes").alias("disease_nodes"))
+
+
+@query("select 'O'||l_orderkey combination, case when count(distinct l_suppkey)=2 then count(distinct l_suppkey) end n_pair, count(distinct l_suppkey) n_genes, array_to_string(list_sort(list(distinct 'S'||l_suppkey)),',') genes from lineitem group by l_orderkey")
+def combo_gene_pair(k):
+    lines = k.table("lineitem").select(F.concat(F.lit("O"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("dst")).distinct()
+    nodes = lines.select(F.col("src").alias("id")).distinct().select("id", F.lit("OligogenicCombination").alias("node_type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("orient"))
+    sup = k.nodes.where("node_type = 'S'").select("id", F.lit("Gene").alias("node_type"), "name", "orient")
+    edges = lines.select(F.xxhash64("src", "dst").alias("edge_id"), "src", "dst", F.lit("involves").alias("label"), F.lit(1.0).alias("score"), F.lit(None).cast("array<string>").alias("ctx"))
+    out = S.combination_index(G.Graph(nodes.unionByName(sup), edges))
+    return out.select("combination", F.when(F.col("gene_pair").isNotNull(), F.lit(2)).cast("long").alias("n_pair"), F.size("genes").cast("long").alias("n_genes"), joined("genes").alias("genes"))
+
+
+@query("select distinct a, b from combo")
+def orient_pair(k):
+    return k.pairs.select("a", "b")
+
+
+@query("select combination, level from lev")
+def evidence_level(k):
+    return k.combinations.select("combination", "level")
+
+
+@query("select a, b, max(level) level, min(ts) ts from lev group by a,b having max(level)>=1")
+def positive_pairs(k):
+    return S.positive_pairs(k.combinations).select("a", "b", "level", F.col("timestamp").alias("ts"))
+
+
+@query("select a, b, array_to_string(list_sort(list(distinct d)),',') diseases from lev group by a,b having max(level)>=1")
+def pair_diseases(k):
+    return S.positive_pairs(k.combinations).select("a", "b", joined("disease_nodes").alias("diseases"))
+
+
+@query("select a, b, min(ts) ts from lev group by a,b having max(level)>=2")
+def holdout_eligible(k):
+    return S.positive_pairs(k.combinations, 2).select("a", "b", F.col("timestamp").alias("ts"))
+
+
+@query("""select unnest(taken).a a, unnest(taken).b b from (select list_reduce(list_prepend(cast([] as struct(a varchar, b varchar)[]), list_transform(xs, lambda x: [x])), lambda acc, x:
+  case when len(acc) >= 15 or len(list_filter(acc, lambda q: q.a in (x[1].a, x[1].b) or q.b in (x[1].a, x[1].b)))>0 then acc else list_concat(acc, x) end) taken
+  from (select list({'a': a, 'b': b} order by ts desc, a, b) xs from (select a, b, min(ts) ts from lev group by a,b having max(level)>=2) q) r) z""")
+def holdout_greedy(k):
+    return S.split_holdout(S.positive_pairs(k.combinations), 15)[1].select("a", "b")
+
+
+@query("select pair_id, weight from pairs")
+def sample_weights(k):
+    return k.pairs.select("pair_id", "weight")
+
+
+@query("select pair_id, a, b, weight from neg")
+def negatives(k):
+    return k.negatives.select("pair_id", "a", "b", "weight")
+
+
+@query("select pair_id, label, weight from sam")
+def trainset(k):
+    pos = S.positive_pairs(k.combinations, 0).withColumn("level", F.greatest("level", F.lit(1)))
+    return S.train_set(pos, pos.limit(0), k.negatives).select("pair_id", "label", "weight")
+
+
+@query("select s_suppkey, s_acctbal/max(s_acctbal) over () scaled, (s_acctbal-min(s_acctbal) over ())/(max(s_acctbal) over ()-min(s_acctbal) over ()) minmax from supplier")
+def scaled_values(k):
+    return k.table("supplier").select("s_suppkey", max_scaled(F.col("s_acctbal")).alias("scaled"), minmax_scaled(F.col("s_acctbal")).alias("minmax"))
+
+
+_RAW = "select 'S'||min(l_suppkey) g1, 'S'||max(l_suppkey) g2, cast(l_orderkey as double) w from lineitem group by l_orderkey having count(distinct l_suppkey) >= 2"
+
+
+def _raw_pairs(k):
+    lines = k.table("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("x"), F.max("l_suppkey").alias("y"), F.countDistinct("l_suppkey").alias("c")).where("c >= 2")
+    known = lines.select(F.concat(F.lit("S"), F.col("x")).alias("gene_1"), F.concat(F.lit("S"), F.col("y")).alias("gene_2"), F.col("l_orderkey").cast("double").alias("weight"), F.col("l_orderkey").alias("line"))
+    return known.unionByName(k.table("nation").select(F.lit("S0").alias("gene_1"), F.col("n_name").alias("gene_2"), F.lit(1.0).alias("weight"), F.lit(0).cast("long").alias("line")))
+
+
+@query(f"select a, b, max(w) weight from (select case when x.o<y.o or (x.o=y.o and x.id<=y.id) then x.id else y.id end a, case when x.o<y.o or (x.o=y.o and x.id<=y.id) then y.id else x.id end b, w from ({_RAW}) r join sup x on x.id=g1 join sup y on y.id=g2) z group by a,b")
+def resolve_pairs(k):
+    return S.resolve_pairs(_raw_pairs(k), k.nodes)[0]
+
+
+@query("select 'S0' gene_1, n_name gene_2 from nation")
+def unresolved_pairs(k):
+    return S.resolve_pairs(_raw_pairs(k), k.nodes)[1]
+
+
+def _hops(n: int):
+    text = f"select pair_id, array_to_string(es,',') edges, array_to_string(ts,',') types, array_to_string(ns,',') nodes, round(score,6) score from p where len(es)={n}"
+
+    def f(k):
+        return k.paths.where(F.size("edges") == n).select("pair_id", joined("edges").alias("edges"), joined("types").alias("types"), joined("nodes").alias("nodes"), F.round("score", 6).alias("score"))
+
+    f.__name__ = f"paths_{n}hop"
+    return query(text)(f)
+
+
+for _n in (1, 2, 3):
+    _hops(_n)
+
+
+@query("select len(es) as length, count(*) n_kept from p group by 1")
+def paths_context_filter(k):
+    return k.paths.groupBy(F.size("edges").cast("long").alias("length")).agg(F.count("*").alias("n_kept"))
+
+
+@query("select mp, count(*) n, round(min(score),6) lo, round(max(score),6) hi from p group by mp")
+def path_scores(k):
+    return k.paths.groupBy("mp").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("lo"), F.round(F.max("score"), 6).alias("hi"))
+
+
+@query(f"select round({SET_RATIO}*sum(weight),6) weighted, cast(floor({SET_RATIO}*count(*)) as double) plain from pairs")
+def minsup(k):
+    return k.spark.createDataFrame([(round(M.absolute_minsup(k.pairs, SET_RATIO), 6), M.absolute_minsup(k.pairs, SET_RATIO, False))], "weighted double, plain double")
+
+
+@query("select mp, round(support,6) support, n from l1")
+def frequent_l1(k):
+    return M.frequent_metapaths(M.transactions(k.paths), k.pairs, M.absolute_minsup(k.pairs, SET_RATIO)).withColumn("support", F.round("support", 6))
+
+
+@query("select a||' + '||b mps, round(support,6) support, n from l2")
+def frequent_l2(k):
+    return _patterns(k)[0][2][0].select(joined("mps", M.ITEM).alias("mps"), F.round("support", 6).alias("support"), "n")
+
+
+@query("select a||' + '||b||' + '||c mps, round(support,6) support, n from l3")
+def frequent_l3(k):
+    return _patterns(k)[0][3][0].select(joined("mps", M.ITEM).alias("mps"), F.round("support", 6).alias("support"), "n")
+
+
+@query("""select a||' + '||b mps, round(sum(weight),6) support, count(*) n from (select distinct x.pair_id, x.mp a, y.mp b from d2 x join d2 y on x.pair_id=y.pair_id and x.d=y.d and x.mp<y.mp
+  where x.mp in (select mp from fl) and y.mp in (select mp from fl)) z join pw using(pair_id) group by a,b having sum(weight)>=(select m from minsup)""")
+def frequent_bidirectional(k):
+    tx = M.transactions(k.paths, both=True)
+    return M.grow_sets(tx, k.pairs, M.absolute_minsup(k.pairs, SET_RATIO), 2)[2][0].select(joined("mps", M.ITEM).alias("mps"), F.round("support", 6).alias("support"), "n")
+
+
+@query("select a||' + '||b||' + '||c mps from l3 where exists (select 1 from l2 q where q.a=l3.a and q.b=l3.b) and exists (select 1 from l2 q where q.a=l3.a and q.b=l3.c) and exists (select 1 from l2 q where q.a=l3.b and q.b=l3.c)")
+def subset_check(k):
+    levels = _patterns(k)[0]
+    return M.subsets_frequent(levels[3][0], levels[2][0]).select(joined("mps", M.ITEM).alias("mps"))
+
+
+@query("select pattern from upat")
+def unifiable(k):
+    return M.unifiable(_patterns(k)[1]).select("pattern")
+
+
+@query("select pattern, round(support,6) support, n from un")
+def unification_support(k):
+    return _unifications(k)[0].select("pattern", F.round("support", 6).alias("support"), "n")
+
+
+@query("""select pattern from allp x where not exists (select 1 from allp y where y.level=x.level+1 and list_contains(y.mps, x.mps[1]) and x.n <= y.n)""")
+def closed_patterns(k):
+    both = _patterns(k)[1].unionByName(_unifications(k)[0])
+    return M.closed_patterns(both).select("pattern")
+
+
+@query("""select pattern from allp x where not exists (select 1 from allp y where y.level=x.level+1 and list_has_all(y.mps, x.mps) and x.n <= y.n)""")
+def closed_patterns_strict(k):
+    both = _patterns(k)[1].unionByName(_unifications(k)[0])
+    return M.closed_patterns(both, strict=True).select("pattern")
+
+
+@query("select pattern, pair_id, cast(i as int) i, count(*) n, round(sum(score),6) total from sc group by 1,2,3")
+def pattern_scores(k):
+    return _scores(k).select("pattern", "pair_id", "i", F.size("scores").cast("long").alias("n"), F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("select pattern, round(avg_count,6) avg_count, round(support,6) support from av")
+def avg_path_count(k):
+    return T.average_path_count(_scores(k), k.pairs).select("pattern", F.round("avg_count", 6).alias("avg_count"), F.round("support", 6).alias("support"))
+
+
+GRID = (0.0, 0.9, 0.93, 0.95, 0.97)
+
+
+@query("""select pat.pattern, gr.t_id, round(case when coalesce(s,0)<(select m from minsup) then 1.0 else ((1-coalesce(s,0)/av.support)+coalesce(c,0)/av.avg_count)/2 end,6) cost
+  from pat cross join gr join av on av.pattern=pat.pattern left join (select pattern, t_id, sum(weight) s, sum(weight*c)/sum(weight) c from gc join pw using(pair_id) where c>0 group by 1,2) z on z.pattern=pat.pattern and z.t_id=gr.t_id""")
+def threshold_cost_grid(k):
+    t = T.grid(_patterns(k)[1], GRID)
+    return T.costs(_scores(k), t, k.pairs, M.absolute_minsup(k.pairs, SET_RATIO)).select("pattern", "t_id", F.round("cost", 6).alias("cost"))
+
+
+@query("select pattern, t_id, pair_id from gc where c>0")
+def threshold_matches(k):
+    return T.threshold_matches(_scores(k), T.grid(_patterns(k)[1], GRID))
+
+
+@query(None)
+def threshold_search(k):
+    out = T.search(_scores(k), k.pairs, M.absolute_minsup(k.pairs, SET_RATIO))
+    return out.select("pattern", F.transform("thresholds", lambda x: F.round(x, 6)).cast("string").alias("thresholds"), F.round("cost", 6).alias("cost"))
+
+
+@query("select cast(rule_id as int) rule_id, pair_id from cov")
+def rule_match_oriented(k):
+    return _cover(k)
+
+
+@query("select distinct cast(rule_id as int) rule_id, pair_id from (select rule_id, pair_id, d from ri join d2 on d2.mp=ri.mp group by rule_id, pair_id, d having count(distinct i)=any_value(k)) z")
+def rule_match_bidirectional(k):
+    return R.cover(_rules(k), k.paths, both=True)
+
+
+@query("select pattern||' @ '||u pattern, pair_id from uall where pattern||' @ '||u in (select pattern from un)")
+def rule_match_unified(k):
+    rules = R.numbered(_unifications(k)[0])
+    return R.cover(rules, k.paths).join(rules.select("rule_id", "pattern"), "rule_id").select("pattern", "pair_id")
+
+
+@query("select cast(h.rule_id as int) rule_id, h.pair_id, cast(i as int) i, mp, array_to_string(ns,',') nodes, round(score,6) score from hit h join cov c on c.rule_id=h.rule_id and c.pair_id=h.pair_id where h.label=1")
+def rule_paths(k):
+    return R.matched_paths(_rules(k), k.paths).select("rule_id", "pair_id", "i", "mp", joined("nodes").alias("nodes"), F.round("score", 6).alias("score"))
+
+
+@query("""select cast(z.rule_id as int) rule_id, z.pair_id, count(distinct least(x,y)||'>'||greatest(x,y)||'>'||l) n_edges from (select rule_id, pair_id, unnest(w[1:len(w)-1]) x, unnest(w[2:]) y, unnest(es) l from
+  (select h.rule_id, h.pair_id, es, list_concat(list_concat([split_part(h.pair_id,'|',1)], ns), [split_part(h.pair_id,'|',2)]) w from hit h join cov c on c.rule_id=h.rule_id and c.pair_id=h.pair_id where h.label=1) q) z group by 1,2""")
+def rule_subgraph_edges(k):
+    found = R.matched_paths(_rules(k), k.paths)
+    return R.subgraph_edges(found, k.pairs, k.graph.adjacency).groupBy("rule_id", "pair_id").agg(F.countDistinct("edge_id").alias("n_edges"))
+
+
+@query("select cast(s.pair_id as varchar) pair_id, coalesce(string_agg(cast(rule_id as varchar), ',' order by rule_id),'') rules from sam s left join cov c on c.pair_id=s.pair_id group by 1")
+def rules_of_pairs(k):
+    return R.rules_by_pair(k.samples, _cover(k)).select("pair_id", joined("rules").alias("rules"))
+
+
+@query("select cast(r.rule_id as int) rule_id from rules r left join sums s on s.rule_id=r.rule_id where coalesce(neg,0) <= 0.3*(select n from tot)+1e-9")
+def fpr_prune(k):
+    return R.prune_by_fpr(_rules(k), _cover(k), k.negatives, 0.3).select("rule_id")
+
+
+@query(None)
+def fisher_significant(k):
+    return R.significance(_rules(k), _cover(k), k.samples, 0.05).withColumn("pval", F.round("pval", 9))
+
+
+@query("select round(0.5*(1-sum(case when s.label=1 and c then weight else 0 end)/(select p from tot))+0.5*sum(case when s.label=0 and c then weight else 0 end)/(select n from tot),6) set_weight from (select sam.*, pair_id in (select pair_id from cov) c from sam) s")
+def rule_set_weight(k):
+    return k.spark.createDataFrame([(round(D.set_weight(_cover(k), k.samples, 0.5), 6),)], "set_weight double")
+
+
+@query("select cast(rule_id as int) rule_id, round(0.5*(1-pos/p)+0.5*neg/n-1,6) marginal from sums, tot")
+def rule_marginal_first_round(k):
+    return D.marginal_weights(_cover(k), k.samples, 0.5).select("rule_id", F.round("marginal", 6).alias("marginal"))
+
+
+@query("select cast(rule_id as int) rule_id, round(pos,6) pos, round(neg,6) neg, round(proba,6) confidence from conf")
+def rule_confidence(k):
+    p, n = D.class_weights(k.samples)
+    return D.rule_sums(_cover(k), k.samples, p / n).select("rule_id", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "confidence")])
+
+
+@query("select round(min(proba),6) probability from pred where n_rules=0")
+def nonmatch_probability(k):
+    p, n = D.class_weights(k.samples)
+    return k.spark.createDataFrame([(round(D.non_matching_probability(_cover(k), k.samples, p / n), 6),)], "probability double")
+
+
+@query(None)
+def decision_set_greedy(k):
+    model = D.fit(_rules(k), _cover(k), k.samples, 0.5)
+    return model.rules.select("rule_id", "pattern", F.round("proba", 6).alias("proba"))
+
+
+_SEQ = "select distinct cast(arg_min(rule_id, rk) as int) rule_id from (select c.pair_id, c.rule_id, rk from cov c join (select rule_id, row_number() over (order by {}) rk from (select rule_id, round(pos,9) pos, round(neg,9) neg, round(case when pos+neg=0 then 0 else pos/(pos+neg) end,12) cf from sums) s) r using(rule_id) where c.label=1) z group by pair_id"
+
+
+@query(_SEQ.format("-cf, -pos, rule_id"))
+def seqcov_conf(k):
+    return D.select_sequential(_cover(k), k.samples, "conf")
+
+
+@query(_SEQ.format("neg, -pos, rule_id"))
+def seqcov_fpr(k):
+    return D.select_sequential(_cover(k), k.samples, "fpr")
+
+
+@query("select pair_id, round(proba,6) proba, n_rules from pred")
+def predict_proba(k):
+    return _scored(k).select("pair_id", F.round("proba", 6).alias("proba"), "n_rules")
+
+
+@query("select pair_id, case when proba>1-proba then 1 else 0 end predicted from pred")
+def predict_class(k):
+    return _all_rules_set(k).predict(k.samples, k.all_paths).select("pair_id", "predicted")
+
+
+@query("select pair_id, cast(rk as int) \"rank\", cast(rule_id as int) rule_id, round(proba,6) proba from (select cov.pair_id, cov.rule_id, proba, dense_rank() over (partition by pair_id order by round(proba,12) desc) rk from cov join conf using(rule_id)) z where rk<=3")
+def explain_top(k):
+    model = _all_rules_set(k)
+    model = D.DecisionSet(model.rules.withColumn("proba", F.round("proba", 12)), model.default)
+    return model.explain(k.all_paths).where("rank <= 3").select("pair_id", "rank", "rule_id", F.round("proba", 6).alias("proba"))
+
+
+@query("select cast(rule_id as int) rule_id, cast(dense_rank() over (order by round(proba,12) desc) as int) \"rank\" from conf")
+def explanation_rank(k):
+    return _all_rules_set(k).rules.select("rule_id", F.dense_rank().over(Window.orderBy(F.desc(F.round("proba", 12)))).alias("rank"))
+
+
+_LAGGED = "select fpr-lag(fpr,1,0) over (order by fpr,tpr) df, tpr+lag(tpr,1,0) over (order by fpr,tpr) t2 from roc"
+
+
+@query(f"select round(sum(df*t2/2),6) roc_auc from ({_LAGGED}) z")
+def roc_auc(k):
+    return E.roc_auc(_scored(k)).select(F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query("select arg_max(t, (round(tpr-fpr,12), t)) optimal_threshold from roc")
+def youden_threshold(k):
+    return E.youden_threshold(_scored(k))
+
+
+@query("""select round(tp/(tp+fp),6) "precision", round(tp/(tp+fn),6) recall, round(case when d>0 then (tp*tn-fp*fn)/d else 0 end,6) mcc, round((tp/(tp+fn)+tn/(tn+fp))/2,6) balanced_acc from (select *, sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)) d from
+  (select sum(case when round(proba,9)>=0.5 and label=1 then weight else 0 end) tp, sum(case when round(proba,9)>=0.5 and label=0 then weight else 0 end) fp, sum(case when round(proba,9)<0.5 and label=1 then weight else 0 end) fn, sum(case when round(proba,9)<0.5 and label=0 then weight else 0 end) tn from pred) q) z""")
+def perf_metrics(k):
+    return E.performance(_scored(k)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "mcc", "balanced_acc")])
+
+
+@query("select round(fpr,6) fpr, round(tpr,6) tpr from roc")
+def roc_points(k):
+    return E.roc_curve(_scored(k)).select(F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+@query(None)
+def stratified_folds(k):
+    return S.stratified_folds(k.samples).select("pair_id", "label", "fold")
+
+
+@query("select split_part(pair_id,'|',1) ens_id_a, split_part(pair_id,'|',2) ens_id_b, x.name gene_name_a, y.name gene_name_b, round(proba,6) predicted_proba from pred join n x on x.id=split_part(pair_id,'|',1) join n y on y.id=split_part(pair_id,'|',2)")
+def predictions_sink(k):
+    from pathloom.sources.sinks import prediction_rows
+
+    return prediction_rows(_scored(k).join(k.samples.select("pair_id", "a", "b"), "pair_id"), k.nodes).select(F.col("ens_id_A").alias("ens_id_a"), F.col("ens_id_B").alias("ens_id_b"), F.col("gene_name_A").alias("gene_name_a"), F.col("gene_name_B").alias("gene_name_b"), F.round("predicted_proba", 6).alias("predicted_proba"))
+
+
+@query("select count(distinct case when label=1 then pair_id end) training_positive_coverage, count(distinct case when label=0 then pair_id end) training_negative_coverage, count(distinct rule_id) training_number_of_rules from cov")
+def analytics_rows(k):
+    from pathloom.sources.sinks import train_analytics
+
+    return train_analytics("all", {}, _rules(k), _cover(k), k.samples).select("training_positive_coverage", "training_negative_coverage", "training_number_of_rules")
+
+
+@query("""select distinct mp, array_to_string(case len(es) when 1 then es when 2 then [es[1], a1, es[2]] else [es[1], a1, es[2], a2, es[3]] end, '--') short from (select p.*, (select min(ab) from n where t=ts[1]) a1, (select min(ab) from n where t=ts[2]) a2 from p) q""")
+def abbreviations(k):
+    short = F.map_from_entries(F.collect_list(F.struct("name", "short")))
+    words = G.nomenclature(k.graph).agg(short.alias("d"))
+    mps = k.paths.select("mp", "edges", "types").distinct()
+    return mps.join(F.broadcast(words)).select("mp", metapath_text(F.col("edges"), abbreviated(F.col("types"), F.col("d"))).alias("short"))
+
+
+@query("select o_orderkey, 'Order' first_label, o_orderpriority item, strftime(o_orderdate, '%d/%m/%Y') as day from orders")
+def scalar_parsing(k):
+    o = k.table("orders")
+    lit_ = F.concat(F.lit("['"), F.col("o_orderpriority"), F.lit("', 'x']"))
+    return o.select("o_orderkey", first_label(F.lit(":Order:Fact")).alias("first_label"), F.get(list_literal(lit_), F.lit(0)).alias("item"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))

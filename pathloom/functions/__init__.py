@@ -1 +1,22 @@
+"""Column expressions of the rule-mining vocabulary."""
 
+from pathloom.functions.scalars import (
+    abbreviated,
+    combined_context,
+    confidence_level,
+    context_valid,
+    first_label,
+    is_before,
+    list_literal,
+    max_scaled,
+    metapath_key,
+    metapath_text,
+    minmax_scaled,
+    oriented,
+    valid_support,
+)
+
+__all__ = [
+    "abbreviated", "combined_context", "confidence_level", "context_valid", "first_label", "is_before", "list_literal",
+    "max_scaled", "metapath_key", "metapath_text", "minmax_scaled", "oriented", "valid_support",
+]

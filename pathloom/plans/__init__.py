@@ -1 +1 @@
-
+"""Workflows over the operators, and the fixture graph of the registered queries."""
