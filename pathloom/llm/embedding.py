@@ -25,96 +25,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import small, written
+from pathloom.llm.common import slices, small, written
 from pathloom.llm.components import components
 
 COSINE = 0.93
 #: Chord length of the cosine, and slack for rounding on the replication tests only.
 RADIUS = math.sqrt(2 - 2 * COSINE)
 SLACK = 1e-9
-#: Vectors looked at for pivots, the most pivots, and rows of a block.
-SAMPLE, PIVOTS, BLOCK = 4096, 64, 2000
+#: Vectors looked at for pivots, the most pivots, and rows of a block. There is a pivot for every BLOCK classes of the
+#: largest label: more would only multiply replicas where vectors are far from all pivots alike.
+SAMPLE, PIVOTS, BLOCK = 4096, 64, 3000
 
 
 def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows with their class key, null where unusable, and the classes: key, cls, label, unit vector as doubles, size and smallest id; written."""
+    """All rows with their class key, null where unusable, and the classes: key, cls, label, vector as given, size and smallest id; written."""
     ok = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     # Adding zero makes -0.0 and 0.0 the same text.
     v = F.transform("embedding", lambda x: x.cast("double") + 0.0)
     text = F.concat_ws(",", F.col("label").cast("string"), F.transform(v, lambda x: x.cast("string")))
     keyed = rows.withColumn("key", F.when(F.coalesce(ok, F.lit(False)), F.sha2(text.cast("binary"), 256)))
-    groups = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first(v).alias("v"))
-    # Scaled by the largest component, squares neither vanish nor overflow.
-    groups = groups.withColumn("top_", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("s", F.transform("v", lambda x: x / F.col("top_")))
-    groups = groups.withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)))
-    groups = groups.select("key", F.xxhash64("key").alias("cls"), "label", "n", "first_id", F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
+    groups = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("v"))
+    groups = groups.select("key", F.xxhash64("key").alias("cls"), F.col("label").cast("string").alias("label"), "n", "first_id", "v")
     return keyed.select("vec_id", "key"), written(groups, "vectors")
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one in double precision, by their largest component first, so that squares neither vanish nor overflow."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def pivots_of(classes: DataFrame) -> dict[int, np.ndarray]:
     """By vector length, pivots chosen farthest-first from a bounded sample."""
-    got = classes.select("unit", "cls").orderBy(F.xxhash64("cls", F.lit(7))).limit(SAMPLE).toArrow()
-    by: dict[int, list] = {}
-    for u in got.column("unit").to_pylist():
-        by.setdefault(len(u), []).append(u)
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    most = max(1, min(PIVOTS, -(-largest // BLOCK)))
+    got = classes.select("v", "cls").orderBy(F.xxhash64("cls", F.lit(7)), "cls").limit(SAMPLE).toArrow()
     out = {}
-    for d, rows in by.items():
-        x = np.array(rows)
-        most = max(1, min(PIVOTS, int(math.sqrt(len(x)))))
+    for _, x in _by_length(got.column("v")):
+        x = units(x)
         chosen = [0]
         far = np.linalg.norm(x - x[0], axis=1)
         while len(chosen) < most and far.max() > RADIUS:
             chosen.append(int(far.argmax()))
             far = np.minimum(far, np.linalg.norm(x - x[chosen[-1]], axis=1))
-        out[d] = x[chosen]
+        out[x.shape[1]] = x[chosen]
     return out
 
 
 def cells(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Every class once with its home cell and distance, and once for each cell that may hold a neighbour; written."""
-
-    def home(batches):
-        for batch in batches:
-            cell, dist = [], []
-            for u in batch.column(3).to_pylist():
-                p = pivots.get(len(u))
-                d = np.linalg.norm(p - np.array(u), axis=1) if p is not None else np.zeros(1)
-                cell.append(int(d.argmin()))
-                dist.append(float(d.min()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(dist, pa.float64())], [*batch.schema.names, "cell", "dist"])
-
-    schema = "cls long, label int, n long, unit array<double>, cell int, dist double"
-    at_home = written(classes.select("cls", F.col("label").cast("int").alias("label"), "n", "unit").mapInArrow(home, schema), "home")
+    """Every class once with its home cell, and once for each other cell that may hold a neighbour; written."""
+    vector = classes.schema["v"].dataType.simpleString()
+
+    def distances(batch):
+        """Home cell and distances to all pivots, row by row."""
+        home, dist = np.zeros(batch.num_rows, np.int64), [np.zeros(1)] * batch.num_rows
+        for at, x in _by_length(batch.column(3)):
+            d = np.sqrt(np.maximum(0, ((units(x)[:, None, :] - pivots[x.shape[1]][None]) ** 2).sum(2))) if x.shape[1] in pivots else np.zeros((at.size, 1))
+            for i, row in zip(at.tolist(), d, strict=True):
+                home[i], dist[i] = row.argmin(), row
+        return home, dist
+
+    def at_home(batches):
+        for batch in slices(batches, 1024):
+            home, dist = distances(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(np.asarray(batch.column(3).offsets)), pa.int32()), pa.array(home, pa.int32()), pa.array([float(d.min()) for d in dist], pa.float64())], ["d", "cell", "dist"])
+
+    rows = classes.select("cls", "label", "n", "v")
     # Covering radii over all labels: one row per pivot and vector length.
-    radii: dict[tuple[int, int], float] = {(d, c): r for d, c, r in at_home.groupBy(F.size("unit"), "cell").agg(F.max("dist")).collect()}
+    radii = {(d, c): r for d, c, r in rows.mapInArrow(at_home, "d int, cell int, dist double").groupBy("d", "cell").agg(F.max("dist")).collect()}
 
     def spread(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
             rows, to, native = [], [], []
-            for i, (u, c) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            home, dist = distances(batch)
+            size = np.diff(np.asarray(batch.column(3).offsets)).tolist()
+            for i, (c, d, length) in enumerate(zip(home.tolist(), dist, size, strict=True)):
                 rows.append(i)
                 to.append(c)
                 native.append(True)
-                p = pivots.get(len(u))
-                if p is None or len(p) < 2:
+                if len(d) < 2:
                     continue
-                d = np.linalg.norm(p - np.array(u), axis=1)
+                p = pivots[length]
                 between = np.linalg.norm(p - p[c], axis=1)
                 for j in range(len(p)):
-                    # Any member of cell j is nearer to pivot j than to c; moving from u to it costs at least the way to the hyperplane between both.
-                    if j != c and (len(u), j) in radii and (d[j] ** 2 - d[c] ** 2) <= 2 * between[j] * (RADIUS + SLACK) and d[j] <= radii[len(u), j] + RADIUS + SLACK:
+                    # Any member of cell j is nearer to pivot j than to c; from this vector to it is at least the way to the hyperplane between both.
+                    if j != c and (length, j) in radii and d[j] ** 2 - d[c] ** 2 <= 2 * between[j] * (RADIUS + SLACK) and d[j] <= radii[length, j] + RADIUS + SLACK:
                         rows.append(i)
                         to.append(j)
                         native.append(False)
             took = batch.take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), took.column(3), pa.array(to, pa.int32()), pa.array(native)], ["cls", "label", "n", "unit", "cell", "native"])
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(to, pa.int32()), pa.array(native)], ["cls", "label", "n", "v", "cell", "native"])
 
-    return written(at_home.mapInArrow(spread, "cls long, label int, n long, unit array<double>, cell int, native boolean"), "cells")
+    return written(rows.mapInArrow(spread, f"cls long, label string, n long, v {vector}, cell int, native boolean"), "cells")
 
 
-def _by_length(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _by_length(column: pa.ChunkedArray | pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and matrix of the vectors of each length."""
-    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.float64()))
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.float64()))
     size = np.diff(np.asarray(lists.offsets))
     values = np.asarray(lists.values)
     starts = np.asarray(lists.offsets)[:-1]
@@ -126,7 +136,8 @@ def _join_block(table: pa.Table) -> pa.Table:
     cls, n = np.asarray(table.column("cls")), np.asarray(table.column("n"), np.float64)
     left, right = np.asarray(table.column("left")), np.asarray(table.column("right"))
     out_cls, out_n, out_to = [], [], []
-    for at, x in _by_length(table.column("unit")):
+    for at, x in _by_length(table.column("v")):
+        x = units(x)
         a, b = np.flatnonzero(left[at]), np.flatnonzero(right[at])
         own, weight, tree = cls[at], n[at], np.arange(at.size)
         for start in range(0, a.size, 500):
@@ -160,7 +171,7 @@ def near_vectors(rows: DataFrame) -> DataFrame:
     # Block pair (i, j): native rows of block i against all rows of block j.
     as_left = F.when(F.col("native"), F.transform(every, lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(True).alias("left"), (mine == j).alias("right")))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>"))
     as_right = F.filter(F.transform(every, lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))), lambda x: ~(F.col("native") & (x["i"] == mine)))
-    dealt = placed.select("label", "cell", "cls", "n", "unit", F.explode(F.concat(as_left, as_right)).alias("x")).select("label", "cell", "x.*", "cls", "n", "unit")
+    dealt = placed.select("label", "cell", "cls", "n", "v", F.explode(F.concat(as_left, as_right)).alias("x")).select("label", "cell", "x.*", "cls", "n", "v")
     found = written(dealt.groupBy("label", "cell", "i", "j").applyInArrow(_join_block, "cls long, n_links long, other long"), "found")
 
     ids = classes.select("key", "cls", "n", "first_id")
