@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import release, slices, small, written
+from pathloom.llm.common import arrow_rows, release, slices, small, written
 from pathloom.llm.components import components
 
 SHINGLE, BANDS, ROWS, FIRST, LEADERS = 5, 24, 4, 4, 3
@@ -207,6 +207,12 @@ def across(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    # Everything in Python is written before this returns.
+    with arrow_rows(docs.sparkSession, 1000):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = signatures(docs)
     some = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
