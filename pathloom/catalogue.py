@@ -22,7 +22,7 @@ from pathloom.plans.fixture import Fixture, fixture
 from pathloom.sources.stages import written
 
 #: Share of all pair weight for sets of metapaths, and for shared-node conditions.
-SET_RATIO, UNIF_RATIO = 0.2, 0.01
+SET_RATIO, UNIF_RATIO = 0.02, 0.001
 
 _CTES = {
     "e": """select 'S'||s_suppkey u,'N'||s_nationkey v,'located_in' l,cast(1.0 as double) s, cast(null as varchar[]) c from supplier
