@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.paths import directed
+from pathloom.sources.stages import written
 
 ITEM = " + "
 
@@ -43,15 +44,16 @@ def grow_sets(tx: DataFrame, samples: DataFrame, minsup: float, max_len: int = 3
     direction, and a set whose smaller subsets aren't all frequent can't be counted often enough.
     """
     single = frequent_metapaths(tx, samples, minsup)
-    tx = tx.join(single.select("mp"), "mp", "left_semi")
+    # Each level is read several times by the next: written, so that plans don't multiply from level to level.
+    tx = written(tx.join(single.select("mp"), "mp", "left_semi"), "transactions")
     level = tx.select("pair_id", "direction", F.array("mp").alias("mps"), F.col("mp").alias("last"))
     items = tx.select("pair_id", "direction", F.col("mp").alias("next"))
     out: dict[int, tuple[DataFrame, DataFrame]] = {}
     for k in range(2, max_len + 1):
         grown = level.join(items, ["pair_id", "direction"]).where("next > last")
         grown = grown.select("pair_id", "direction", F.concat("mps", F.array("next")).alias("mps"), F.col("next").alias("last"))
-        sets = _supported(grown, ["mps"], samples, minsup)
-        level = grown.join(sets.select("mps"), "mps", "left_semi")
+        sets = written(_supported(grown, ["mps"], samples, minsup), "sets")
+        level = written(grown.join(sets.select("mps"), "mps", "left_semi"), "level")
         out[k] = (sets, level.select("mps", "pair_id", "direction").distinct())
     return out
 
@@ -91,11 +93,11 @@ def unifications(patterns: DataFrame, paths: DataFrame, samples: DataFrame, mins
     hits = items.join(directed(paths, both).select("pair_id", "direction", "mp", "nodes"), "mp")
     base = hits.groupBy("pattern", "pair_id", "direction").agg(F.countDistinct("i").alias("c"), F.first("k").alias("k")).where("c = k").select("pattern", "pair_id", "direction")
     spots = hits.join(base, ["pattern", "pair_id", "direction"], "left_semi").select("pattern", "pair_id", "direction", "i", F.posexplode("nodes").alias("p", "node"))
-    spots = spots.select("pattern", "pair_id", "direction", "node", F.struct("i", (F.col("p") + 1).alias("pos")).alias("s")).distinct()
+    spots = written(spots.select("pattern", "pair_id", "direction", "node", F.struct("i", (F.col("p") + 1).alias("pos")).alias("s")).distinct(), "spots")
     key = ["pattern", "pair_id", "direction", "node"]
     two = spots.withColumnRenamed("s", "t").join(spots, key).where("t.i < s.i").select(*key, F.array("t", "s").alias("unif"))
     three = two.join(spots, key).where(F.element_at("unif", -1)["i"] < F.col("s.i")).select(*key, F.concat("unif", F.array("s")).alias("unif"))
-    found = two.unionByName(three).select("pattern", "unif", "pair_id").distinct()
+    found = written(two.unionByName(three).select("pattern", "unif", "pair_id").distinct(), "shared")
     good = _supported(found, ["pattern", "unif"], samples, minsup)
     named = good.join(patterns.select("pattern", "mps", "k"), "pattern")
     name = F.concat_ws(" ", F.col("pattern"), F.lit("@"), unif_text(F.col("unif")))

@@ -10,6 +10,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pathloom.operators.paths import directed
 
@@ -98,7 +99,7 @@ def prune_by_fpr(rules: DataFrame, negative_cover: DataFrame, negatives: DataFra
     return rules.join(per, "rule_id", "left").where(F.coalesce("w", F.lit(0.0)) <= max_fpr * total + 1e-9).drop("w")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_greater(tp: pd.Series, fp: pd.Series, fn: pd.Series, tn: pd.Series) -> pd.Series:
     """One-sided exact test that tp is larger than chance; counts are rounded to whole numbers."""
 

@@ -1,0 +1,103 @@
+"""A hand-made graph file through the command line: train, predict, explain, test, and the stores."""
+
+import glob
+import os
+
+import pytest
+
+from pathloom import cli
+from pathloom.sources.readers import pair_literal, read_graphml, read_pairs
+from pathloom.sources.stages import StageCache
+
+N_GENES = 12
+
+
+@pytest.fixture(scope="module")
+def files(tmp_path_factory):
+    """Genes come in couples; couples 0-3 share a protein and a pathway and have a combination, later ones share less."""
+    d = tmp_path_factory.mktemp("kg")
+    nodes, edges = [], []
+    data = lambda **kv: "".join(f'<data key="{k}">{v}</data>' for k, v in kv.items())
+    node = lambda i, **kv: nodes.append(f'<node id="n{i}">{data(**kv)}</node>')
+    edge = lambda a, b, **kv: edges.append(f'<edge source="n{a}" target="n{b}">{data(**kv)}</edge>')
+    for i in range(N_GENES):
+        node(i, id=f"ENSG{i}", labels=":Gene", name=f"G{i}", rvis_exac="NaN" if i == 3 else i / 10, abbrevType="G")
+    for k in range(6):
+        node(100 + k, id=f"P{k}", labels=":Protein", name=f"prot{k}", abbrevType="P")
+        node(200 + k, id=f"W{k}", labels=":Pathway", name=f"path{k}", abbrevType="W")
+        for g in (2 * k, 2 * k + 1):
+            edge(g, 100 + k, label="codes", score=0.9 if k < 4 else 0.2)
+            if k < 4:
+                edge(g, 200 + k, label="in_pathway", score=0.5 + g / 100, **{"in": "['t1', 't2']"})
+    for k in range(4):
+        node(300 + k, id=f"O{k}", labels=":OligogenicCombination", name=f"o{k}", FAMmanual=3 - k % 2, STATmeta=0, STATmanual=0, timestamp=1000 + k)
+        edge(300 + k, 2 * k, label="involves", score=1.0)
+        edge(300 + k, 2 * k + 1, label="involves", score=1.0)
+    node(400, id="D1", labels=":Disease", name="d")
+    edge(400, 0, label="associated", score=1.0)
+    edge(400, 5, label="associated", score=1.0)
+    keys = [("id", "node", "string"), ("labels", "node", "string"), ("name", "node", "string"), ("rvis_exac", "node", "double"), ("abbrevType", "node", "string"), ("timestamp", "node", "long")]
+    keys += [(k, "node", "int") for k in ("FAMmanual", "STATmeta", "STATmanual")] + [("label", "edge", "string"), ("score", "edge", "double"), ("in", "edge", "string")]
+    head = "\n".join(f'<key id="{k}" for="{f}" attr.name="{k}" attr.type="{t}"/>' for k, f, t in keys)
+    (d / "kg.graphml").write_text(f'<?xml version="1.0"?>\n<graphml>\n{head}\n<graph edgedefault="undirected">\n' + "\n".join(nodes + edges) + "\n</graph></graphml>")
+    (d / "neg.tsv").write_text("gene_1\tgene_2\nENSG8\tENSG9\nENSG10\tENSG11\nENSG0\tENSG9\n")
+    (d / "in.tsv").write_text("G0\tG1\nG8\tG9\nG1\tG0\nG0\tnobody\n")
+    return d
+
+
+def test_graph_file(spark, files):
+    g = read_graphml(spark, str(files / "kg.graphml"))
+    n = {r.id: r for r in g.nodes.collect()}
+    assert len(n) == N_GENES + 17 and n["ENSG1"].node_type == "Gene" and n["ENSG1"].orient == 0.1 and n["O0"].FAMmanual == 3 and n["P0"].orient is None
+    assert n["ENSG3"].orient != n["ENSG3"].orient
+    e = g.edges.collect()
+    assert len(e) == 12 + 8 + 8 + 2 and {tuple(r.ctx) for r in e if r.ctx is not None} == {("t1", "t2")}
+    assert pair_literal(g, "G5,G1", "name").first()[1:] == ("ENSG1", "ENSG5")
+    with pytest.raises(ValueError):
+        pair_literal(g, "G5,nobody", "name")
+
+
+def test_train_predict_explain_test(spark, files):
+    kg, model, out = str(files / "kg.graphml"), str(files / "model"), str(files / "out")
+    cli.main(["train", "--kg", kg, "--model", model, "--neutral_pairs", str(files / "neg.tsv"), "--holdout_positive_size", "1"], spark)
+    rows = {(r.ens_id_A, r.ens_id_B): r.predicted_proba for r in cli.main(["predict", "--kg", kg, "--model", model, "--input", str(files / "in.tsv"), "--prediction_output_folder", out], spark).collect()}
+    assert rows["ENSG0", "ENSG1"] > 0.9 > rows["ENSG8", "ENSG9"]
+    assert len(rows) == 3 and glob.glob(f"{out}/analysis_predictions.csv/part-*")
+    ranked = cli.main(["explain", "--kg", kg, "--model", model, "--input", "G0,G1", "--prediction_output_folder", f"{out}/why"], spark)
+    assert ranked.count() >= 1
+    texts = [open(f).read() for f in glob.glob(f"{out}/why/*.graphml")]
+    assert texts and all('target="' in t and "ENSG0" in t for t in texts)
+    held = cli.main(["test", "--kg", kg, "--model", model, "--holdout_positive_size", "1", "--prediction_output_folder", f"{out}/test"], spark).collect()
+    assert len(held) == 1 and held[0].proba > 0.9
+
+
+def test_evaluate(spark, files):
+    out = cli.workflow.evaluate(read_graphml(spark, str(files / "kg.graphml")), cli.samples.negatives(read_pairs(spark, str(files / "neg.tsv"), True), read_graphml(spark, str(files / "kg.graphml")).nodes), cli.Params(holdout_positive_size=0), folds=2, analytics=str(files / "analytics"))
+    rows = out.collect()
+    assert [r.fold for r in rows] == [0, 1] and all(0 <= r.recall <= 1 for r in rows)
+    assert set(os.listdir(files / "analytics")) == {"train", "performance", "predictions", "explanations"}
+
+
+def test_stage_cache(spark, files):
+    cache, calls = StageCache(f"file://{files}/cache"), []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert cache.get_or_store(spark, "s", build, alpha=0.5).count() == 3
+    assert len(calls) == 1
+    cache.get_or_store(spark, "s", build, alpha=0.6)
+    assert len(calls) == 2
+
+
+def test_streamed_pairs(spark, files):
+    from pathloom.sources.models import load_model
+    from pathloom.streaming.scoring import score_stream
+
+    src, out = str(files / "arriving"), str(files / "scored")
+    spark.createDataFrame([("ENSG0", "ENSG1"), ("ENSG8", "ENSG9")], "a string, b string").write.parquet(src)
+    q = score_stream(spark.readStream.schema("a string, b string").parquet(src), read_graphml(spark, str(files / "kg.graphml")), load_model(spark, str(files / "model")), out, str(files / "ck"))
+    q.awaitTermination()
+    assert spark.read.parquet(out).count() == 2
