@@ -136,32 +136,43 @@ def judge(said: str, linked: int, ruled_out: bool, article: bool) -> int:
     return 0 if article or stop >= STOP_LOW else -1
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    labels = [judge(*b) for b in found]
-    sizes = [len(b[0]) for b in found]
-    before: list[tuple[int, int]] = []
-    seen, far = 0, 0
-    for label, n in zip(labels, sizes, strict=True):
-        before.append((seen, far))
-        seen, far = (label, 0) if label else (seen, far + n)
+def settled(found: list[tuple[str, int, bool, bool]], labels: list[int]) -> list[int]:
+    """Pass two: undecided blocks take the label of their nearest decided neighbours, where these differ the nearer one's.
+
+    In an article, neighbours are the article's own blocks: what is ruled out between them (a form, comments) says
+    nothing about them, a good block on either side is enough, and blocks with no decided neighbour are good.
+    """
+    n = len(found)
+
+    def nearest(order) -> list[tuple[int, int, int]]:
+        """Label and distance of the last decided block before each in this order, and the last decided one of an article."""
+        out, seen, far, inside = [(0, 0, 0)] * n, 0, 0, 0
+        for i in order:
+            out[i] = seen, far, inside
+            size, label = len(found[i][0]), labels[i]
+            seen, far = (label, 0) if label else (seen, far + size)
+            if not found[i][3]:
+                inside = 0
+            elif label and not found[i][2]:
+                inside = label
+        return out
+
     out = list(labels)
-    seen, far = 0, 0
-    for i in range(len(found) - 1, -1, -1):
-        label = labels[i]
-        if label:
-            seen, far = label, 0
+    for i, (left, right) in enumerate(zip(nearest(range(n)), nearest(range(n - 1, -1, -1)), strict=True)):
+        if labels[i]:
             continue
-        # In an article only decided blocks of the same article are neighbours; one alone is main text.
-        left, right = before[i], (seen, far)
         if found[i][3]:
-            out[i] = 1 if max(left[0], right[0]) > 0 or not any(l and f[3] for l, f in zip(labels, found, strict=True)) else -1
-        elif left[0] == right[0] or not right[0] or left[0] and left[1] <= right[1]:
-            out[i] = left[0] or right[0]
+            out[i] = 1 if max(left[2], right[2]) > 0 or left[2] == right[2] == 0 else -1
+        elif not right[0] or left[0] and left[1] <= right[1]:
+            out[i] = left[0]
         else:
             out[i] = right[0]
-        far += sizes[i]
-    return "\n".join(f[0] for f, label in zip(found, out, strict=True) if label > 0)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    return "\n".join(f[0] for f, label in zip(found, settled(found, [judge(*b) for b in found]), strict=True) if label > 0)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

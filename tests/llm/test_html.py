@@ -1,0 +1,29 @@
+from pathloom.llm import html
+
+STORY = "The history of the town is long and it was written by the people who lived there for all of their days in the valley."
+PAGE = f"""<!DOCTYPE html><html><head><title>Site &amp; title</title><style>p{{}}</style><script>var a = "<p>no</p>";</script></head><body>
+<header><h1>Site name</h1></header><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News of the day and of the week in the town</a></li></ul></nav>
+<div class="cookie-notice">We use cookies on the site and in the shop for you and for the ads that you see on it all the time.</div>
+<div class="ad">Buy the best of the best now, it is on sale for all of you and for the family.</div>
+<article><h1>On the town</h1><p>{STORY}<p><b>{STORY} &eacute;&#233;&nbsp;x<br>y</b></p>
+<p>Short one.</p><form>Your name and the mail of you <input><button>Go</button></form><ul><li>First of the list</li><li>Second</li></ul>
+<section id="comments"><p>I think that the text is wrong and that the author of it was not in the town at all in those days.</p></section></article>
+<aside>Related: the mayor of the town and the people in it, with a list of all that was said.</aside>
+<footer>&copy; 2024 by the site and all of the people who are in it for the long run of the years.</footer></body></html>"""
+
+
+def test_article():
+    assert html.main_text(PAGE).split("\n") == ["On the town", STORY, f"{STORY} éé x y", "Short one.", "First of the list", "Second"]
+
+
+def test_rules_without_an_article():
+    page = f"<body><div>Menu</div><div><a>One link</a> <a>another link of the site</a></div><p>{STORY} {STORY}</p><p>Brief.</p><p>{STORY} {STORY}</p><div><a href=x>A long list of the links to the other pages of this very site</a></div><div>Tail</div></body>"
+    assert html.main_text(page).split("\n") == [f"{STORY} {STORY}", "Brief.", f"{STORY} {STORY}"]
+
+
+def test_odd_pages(spark):
+    pages = [(1, None, "a"), (2, "", "b"), (3, "plain & text &lt;b&gt;", "c"), (4, "<p>" * 3000, "d"), (5, "<article>x</p></div></article></article><p", "e"), (6, "<script>never closed <p>a</p>", "f"), (7, f"<article><p>{STORY * 2000}</article>", "g"), (8, "<!-- <p>c</p> --><article><p>&amp;amp; a\n\t b</article>", "h")]
+    df = spark.createDataFrame([(i, p, u, "clash") for i, p, u in pages], "page_id long, html string, url string, text string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got[1] == got[2] == got[4] == got[6] == "" and got[5].startswith("x") and got[7] == STORY * 2000 and got[8] == "&amp; a b"
+    assert html.extract(df.limit(0)).count() == 0

@@ -1,0 +1,46 @@
+import random
+
+from pyspark.sql import functions as F
+
+from pathloom.llm import mixing
+
+
+def test_raking_meets_the_targets():
+    rng = random.Random(1)
+    cells = {(s, l): rng.randrange(1, 1000) for s in "abc" for l in "xyz"}
+    aims = [{"a": 0.5, "b": 0.3, "c": 0.2}, {"x": 0.1, "y": 0.3, "z": 0.6}]
+    total = sum(cells.values())
+    old, mixing.MAX_BOOST = mixing.MAX_BOOST, 1e9
+    try:
+        boost = mixing.boosts(cells, aims)
+    finally:
+        mixing.MAX_BOOST = old
+    for d, aim in enumerate(aims):
+        for c, t in aim.items():
+            assert abs(sum(n * boost[k] for k, n in cells.items() if k[d] == c) / total - t) < 1e-6
+    odds = lambda i, j: boost[i] / boost[j]
+    assert abs(odds(("a", "x"), ("a", "y")) - odds(("b", "x"), ("b", "y"))) < 1e-9
+
+
+def test_shares_of_absent_and_unnamed():
+    assert mixing.shares({"a": 0.6, mixing.REST: 0.4}, {"a": 0.1, "b": 0.9}) == {"a": 0.6, mixing.REST: 0.4}
+    assert mixing.boosts({}, [{}]) == {}
+
+
+def test_sampled_mixture(spark):
+    rng = random.Random(5)
+    docs = [(i, "w " * rng.randrange(1, 30), "hot" if rng.random() < 0.6 else "cold", rng.choice(["en", "de", None]), "c") for i in range(6000)]
+    docs += [(None, None, None, None, "c"), (7, docs[7][1], docs[7][2], docs[7][3], "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, probability string")
+    dims = {"source": (F.col("source"), {"hot": 0.3, "cold": 0.7}), "lang": (F.col("lang"), {"en": 0.6, "de": 0.4})}
+    out = mixing.mixed(df, dims)
+    assert out.count() == len(docs)
+    rows = out.select("doc_id", mixing.tokens_of(F.col("text")).alias("n"), "source", "lang", "probability", "kept").collect()
+    kept = [r for r in rows if r.kept]
+    share = lambda f: sum(r.n for r in kept if f(r)) / sum(r.n for r in kept)
+    assert abs(share(lambda r: r.source == "hot") - 0.3) < 0.04
+    en, de = share(lambda r: r.lang == "en"), share(lambda r: r.lang == "de")
+    assert abs(en / (en + de) - 0.6) < 0.05 and max(r.probability for r in rows) == 1
+    assert len({r.kept for r in rows if r.doc_id == 7}) == 1
+    assert mixing.sample(df).columns == df.columns
+    assert mixing.mixed(df.limit(0), dims).count() == 0
