@@ -115,34 +115,37 @@ def marginals(odds: np.ndarray, trans: np.ndarray) -> list[float]:
 
 
 def train(x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions by Adam on the mean conditional log likelihood; x: chains x lines x features, y: chains' labels."""
+    """Weights and transitions by Adam on the mean conditional log likelihood; x: chains x lines x features, y: chains' labels.
+
+    Messages are kept as probabilities of the good label, normalised at every line, for all chains at once.
+    """
     n, t, d = x.shape
     w, trans = np.zeros(d), np.zeros((2, 2))
     m, v = np.zeros(d + 4), np.zeros(d + 4)
     lines = mask.sum()
-    pairs = mask[:, 1:]
-    flat = x.reshape(n * t, d)
+    flat = np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(t * n, d)
+    live = np.ascontiguousarray(mask.T)
     for step in range(1, STEPS + 1):
-        odds = np.where(mask, (flat @ w).reshape(n, t), 0.0)
-        alpha = np.zeros((n, t, 2))
-        alpha[:, 0, 1] = odds[:, 0]
+        e = np.exp(np.clip((flat @ w.astype(np.float32)).reshape(t, n).astype(np.float64), -30, 30))
+        (t00, t01), (t10, t11) = np.exp(trans)
+        ahead, back = np.full((t, n), 0.5), np.full((t, n), 0.5)
+        ahead[0] = e[0] / (e[0] + 1)
         for i in range(1, t):
-            s = np.logaddexp(alpha[:, i - 1, 0, None] + trans[0], alpha[:, i - 1, 1, None] + trans[1])
-            s[:, 1] += odds[:, i]
-            alpha[:, i] = np.where(mask[:, i, None], s, alpha[:, i - 1])
-        beta = np.zeros((n, t, 2))
+            a = ahead[i - 1]
+            good, bad = (a * t11 + (1 - a) * t01) * e[i], a * t10 + (1 - a) * t00
+            ahead[i] = np.where(live[i], good / (good + bad), a)
         for i in range(t - 2, -1, -1):
-            nxt = beta[:, i + 1] + np.stack([np.zeros(n), odds[:, i + 1]], 1)
-            s = np.logaddexp(nxt[:, :1] + trans[:, 0], nxt[:, 1:] + trans[:, 1])
-            beta[:, i] = np.where(mask[:, i + 1, None], s, beta[:, i + 1])
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
-        good = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z)
-        g_w = flat.T @ np.where(mask, y[:, None] - good, 0.0).ravel() / lines - DECAY * w
-        g_t = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                p = np.exp(alpha[:, :-1, a] + trans[a, b] + (odds[:, 1:] if b else 0) + beta[:, 1:, b] - z)
-                g_t[a, b] = (np.where(pairs, ((y == a) & (a == b))[:, None] - p, 0.0)).sum() / lines - DECAY * trans[a, b]
+            good, bad = e[i + 1] * back[i + 1], 1 - back[i + 1]
+            from_good, from_bad = t11 * good + t10 * bad, t01 * good + t00 * bad
+            back[i] = np.where(live[i + 1], from_good / (from_good + from_bad), back[i + 1])
+        good, bad = ahead * back, (1 - ahead) * (1 - back)
+        p_good = good / (good + bad)
+        g_w = flat.T @ np.where(live, y - p_good, 0.0).ravel().astype(np.float32) / lines - DECAY * w
+        # Joint probabilities of neighbouring labels.
+        a, right = ahead[:-1], (e[1:] * back[1:], 1 - back[1:])
+        joint = [[(1 - a) * t00 * right[1], (1 - a) * t01 * right[0]], [a * t10 * right[1], a * t11 * right[0]]]
+        total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+        g_t = np.array([[np.where(live[1:], ((y == i) & (i == j)) - joint[i][j] / total, 0.0).sum() / lines for j in (0, 1)] for i in (0, 1)]) - DECAY * trans
         g = np.append(g_w, g_t.ravel())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
