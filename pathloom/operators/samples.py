@@ -105,5 +105,5 @@ def train_set(train: DataFrame, holdout: DataFrame, neg: DataFrame) -> DataFrame
 
 def stratified_folds(samples: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     """samples with fold 0 to k - 1, the classes spread evenly in a hashed order."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "pair_id"), "pair_id")
+    order = Window.partitionBy("label").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "pair_id").cast("binary")), "pair_id")
     return samples.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))

@@ -128,11 +128,11 @@ class Fixture:
         return self.paths.unionByName(self.negative_paths)
 
 
-_built: dict[tuple[int, str], Fixture] = {}
+_built: dict[tuple[str, str], Fixture] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         _built[key] = Fixture(spark, sf_dir)
     return _built[key]
