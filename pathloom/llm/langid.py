@@ -117,14 +117,18 @@ def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
             got = [bins(t, table) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32())), batch.column(1)], ["at", "tf", "lang"])
 
-    got = sample.mapInArrow(featurise, "at array<int>, tf array<float>, lang string").toArrow().to_pydict()
-    langs = sorted(set(got["lang"]))
+    got = sample.mapInArrow(featurise, "at array<int>, tf array<float>, lang string").toArrow().combine_chunks()
+    tags = got.column("lang").to_pylist()
+    langs = sorted(set(tags))
+    number = {lang: i for i, lang in enumerate(langs)}
     rows = []
-    for at, tf, lang in zip(got["at"], got["tf"], got["lang"], strict=True):
-        if at:
-            at = np.array(at, np.int64)
-            v = np.array(tf) * idf[at]
-            rows.append((at, v / np.linalg.norm(v), langs.index(lang)))
+    # Numpy views of the Arrow lists: the sample never becomes Python objects.
+    for at, tf, lang in zip(got.column("at"), got.column("tf"), tags, strict=True):
+        if len(at):
+            at = np.asarray(at.values).astype(np.int64)
+            v = np.asarray(tf.values) * idf[at]
+            rows.append((at, v / np.linalg.norm(v), number[lang]))
+    del got
     rows = sorted(rows, key=lambda r: (r[0].size, r[2], float(r[1].sum())))[: 2 * TRAIN_ROWS]
     held, kept = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     if not rows:

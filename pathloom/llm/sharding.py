@@ -10,6 +10,8 @@ Null and empty texts count one byte. Repeated rows are kept, each with a slot of
 table gives no rows; columns of other names pass through. Nothing is keyed by source or text, so
 hot sources and groups of copies are spread evenly. The result depends only on the rows and the
 seed, not on how files or tasks are laid out, so a task that is run again gives the same slots.
+Only where one id fills a bucket to more than CROWDED times the mean are that bucket's rows dealt over all
+buckets by their place in the input; the dealt rows are then written first and counted as written.
 """
 
 from __future__ import annotations
@@ -17,8 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import written
+
 #: Bytes of text in a bucket. A task holds a few copies of one bucket.
 BUCKET_BYTES = 16 << 20
+#: Times the mean rows of a bucket (and a thousand) from which its rows must share one id.
+CROWDED = 4
 
 
 def size_of(text: Column) -> Column:
@@ -34,14 +40,21 @@ def external_shuffle(rows: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bucket = F.pmod(key, F.lit(buckets)).cast("int")
     # One row per bucket: bounded by the corpus bytes over the bucket bytes.
     counts = dict(rows.select(bucket.alias("b")).groupBy("b").count().collect())
+    crowded = [b for b, c in counts.items() if c > CROWDED * n / buckets + 1000]
+    if crowded:
+        apart = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
+        bucket = F.when(bucket.isin(crowded), apart).otherwise(bucket)
+    packed = rows.select(bucket.alias("bucket_"), F.struct(F.xxhash64(F.lit(seed + 2), key, F.col(id_col)).alias("k"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).alias("x_"))
+    dealt = packed.repartitionById(buckets, F.col("bucket_")).groupBy("bucket_").agg(F.collect_list("x_").alias("xs_"))
+    mixed = dealt.select("bucket_", F.posexplode(F.shuffle(F.sort_array("xs_"), F.lit(seed))).alias("i_", "y_"))
+    if crowded:
+        mixed = written(mixed, "dealt")
+        counts = dict(mixed.groupBy("bucket_").count().collect())
     offsets, at = [], 0
     for b in range(buckets):
         offsets.append((b, at))
         at += counts.get(b, 0)
     starts = F.broadcast(spark.createDataFrame(offsets, "bucket_ int, before_ long"))
-    packed = rows.select(bucket.alias("bucket_"), F.struct(F.xxhash64(F.lit(seed + 2), key, F.col(id_col)).alias("k"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).alias("x_"))
-    dealt = packed.repartitionById(buckets, F.col("bucket_")).groupBy("bucket_").agg(F.collect_list("x_").alias("xs_"))
-    mixed = dealt.select("bucket_", F.posexplode(F.shuffle(F.sort_array("xs_"), F.lit(seed))).alias("i_", "y_"))
     placed = mixed.join(starts, "bucket_").select("y_.row", (F.col("before_") + F.col("i_")).alias("pos_"))
     shard = F.floor(F.col("pos_") * shards / F.lit(max(n, 1)).cast("decimal(20,0)")).cast("int")
     placed = placed.select("row", "pos_", shard.alias("shard"))

@@ -31,3 +31,14 @@ def test_empty_few_and_long(spark):
     assert shuffled(spark, []) == []
     out = shuffled(spark, [(1, "a" * 200_000, "x", "y"), (2, None, "x", "y")], bucket_bytes=1000)
     assert len({(r.shard, r.slot) for r in out}) == 2
+
+
+def test_one_id_with_most_rows(spark):
+    rows = [(1 if i % 3 else i, "t" * 20, "x", "y") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string, b string").select("doc_id", "text")
+    out = sharding.external_shuffle(df, bucket_bytes=6000)
+    got = out.collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 6000 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert len({(r.shard, r.slot) for r in got}) == 6000
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
