@@ -73,11 +73,11 @@ _CTES = {
     "uall": "select distinct pattern, pair_id, u from u2 union select distinct pattern, pair_id, u from u3",
     "un": "select pattern||' @ '||u pattern, pattern base, u, sum(weight) support, count(*) n from uall join pw using(pair_id) group by pattern, u having sum(weight)>=(select mu from minsup)",
     "sums": "select rule_id, sum(case when sam.label=1 then weight else 0 end) pos, sum(case when sam.label=0 then weight else 0 end) neg from cov join sam using(pair_id) group by rule_id",
-    "tot": "select sum(case when label=1 then weight end) p, sum(case when label=0 then weight end) n from sam",
-    "conf": "select rule_id, case when pos+p/n*neg=0 then 0 else pos/(pos+p/n*neg) end proba, pos, neg from sums, tot",
-    "pred": "select sam.pair_id, sam.label, sam.weight, coalesce(max(proba), (select case when sum(case when label=1 then weight else 0 end)+(select p/n from tot)*sum(case when label=0 then weight else 0 end)=0 then 0 else sum(case when label=1 then weight else 0 end)/(sum(case when label=1 then weight else 0 end)+(select p/n from tot)*sum(case when label=0 then weight else 0 end)) end from sam where pair_id not in (select pair_id from cov))) proba, count(proba) n_rules from sam left join cov on cov.pair_id=sam.pair_id left join conf on conf.rule_id=cov.rule_id group by sam.pair_id, sam.label, sam.weight",
+    "tot": "select sum(case when label=1 then weight else 0 end) p, sum(case when label=0 then weight else 0 end) n, case when sum(case when label=0 then weight else 0 end)>0 then sum(case when label=1 then weight else 0 end)/sum(case when label=0 then weight else 0 end) else 1 end r from sam",
+    "conf": "select rule_id, case when pos+r*neg=0 then 0 else pos/(pos+r*neg) end proba, pos, neg from sums, tot",
+    "pred": "select sam.pair_id, sam.label, sam.weight, coalesce(max(proba), (select case when sum(case when label=1 then weight else 0 end)+(select r from tot)*sum(case when label=0 then weight else 0 end)=0 then 0 else sum(case when label=1 then weight else 0 end)/(sum(case when label=1 then weight else 0 end)+(select r from tot)*sum(case when label=0 then weight else 0 end)) end from sam where pair_id not in (select pair_id from cov))) proba, count(proba) n_rules from sam left join cov on cov.pair_id=sam.pair_id left join conf on conf.rule_id=cov.rule_id group by sam.pair_id, sam.label, sam.weight",
     "pts": "select round(proba,9) t, sum(case when label=1 then weight else 0 end) p, sum(case when label=0 then weight else 0 end) n from pred group by 1",
-    "roc": "select t, sum(n) over (order by t desc)/sum(n) over () fpr, sum(p) over (order by t desc)/sum(p) over () tpr from pts union all select 'infinity'::double, 0, 0",
+    "roc": "select t, case when sum(n) over ()>0 then sum(n) over (order by t desc)/sum(n) over () end fpr, sum(p) over (order by t desc)/sum(p) over () tpr from pts union all select 'infinity'::double, 0, 0",
     "sc": "select pattern, k, pair_id, i, score from hit where label=1 and (rule_id,pair_id) in (select rule_id,pair_id from cov)",
     "cnt": "select pattern, pair_id, count(*) c from sc group by 1,2",
     "av": "select pattern, sum(weight*c)/sum(weight) avg_count, sum(weight) support from cnt join pw using(pair_id) group by 1",
@@ -173,9 +173,9 @@ def _all_rules_set(k: Fixture) -> D.DecisionSet:
     """A decision set of all candidate rules, so that prediction has a SQL form."""
 
     def build():
-        p, n = D.class_weights(k.samples)
-        probs = D.rule_sums(_cover(k), k.samples, p / n).select("rule_id", F.col("confidence").alias("proba"), "pos", "neg")
-        return D.DecisionSet(written(_rules(k).join(probs, "rule_id"), "model"), D.non_matching_probability(_cover(k), k.samples, p / n))
+        r = D.imbalance_ratio(k.samples)
+        probs = D.rule_sums(_cover(k), k.samples, r).select("rule_id", F.col("confidence").alias("proba"), "pos", "neg")
+        return D.DecisionSet(written(_rules(k).join(probs, "rule_id"), "model"), D.non_matching_probability(_cover(k), k.samples, r))
 
     return _once(k, "set_", build)
 
@@ -499,26 +499,24 @@ def fisher_significant(k):
     return R.significance(_rules(k), _cover(k), k.samples, 0.5).withColumn("pval", F.round("pval", 6))
 
 
-@query("select round(0.5*(1-sum(case when s.label=1 and c then weight else 0 end)/(select p from tot))+0.5*sum(case when s.label=0 and c then weight else 0 end)/(select n from tot),6) set_weight from (select sam.*, pair_id in (select pair_id from cov) c from sam) s")
+@query("select round(0.5*(1-sum(case when s.label=1 and c then weight else 0 end)/(select p from tot))+0.5*coalesce(sum(case when s.label=0 and c then weight else 0 end)/nullif((select n from tot),0),0),6) set_weight from (select sam.*, pair_id in (select pair_id from cov) c from sam) s")
 def rule_set_weight(k):
     return k.spark.createDataFrame([(round(D.set_weight(_cover(k), k.samples, 0.5), 6),)], "set_weight double")
 
 
-@query("select cast(rule_id as int) rule_id, round(0.5*(1-pos/p)+0.5*neg/n-1,6) marginal from sums, tot")
+@query("select cast(rule_id as int) rule_id, round(0.5*(1-pos/p)+0.5*coalesce(neg/nullif(n,0),0)-1,6) marginal from sums, tot")
 def rule_marginal_first_round(k):
     return D.marginal_weights(_cover(k), k.samples, 0.5).select("rule_id", F.round("marginal", 6).alias("marginal"))
 
 
 @query("select cast(rule_id as int) rule_id, round(pos,6) pos, round(neg,6) neg, round(proba,6) confidence from conf")
 def rule_confidence(k):
-    p, n = D.class_weights(k.samples)
-    return D.rule_sums(_cover(k), k.samples, p / n).select("rule_id", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "confidence")])
+    return D.rule_sums(_cover(k), k.samples, D.imbalance_ratio(k.samples)).select("rule_id", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "confidence")])
 
 
 @query("select round(min(proba),6) probability from pred where n_rules=0")
 def nonmatch_probability(k):
-    p, n = D.class_weights(k.samples)
-    return k.spark.createDataFrame([(round(D.non_matching_probability(_cover(k), k.samples, p / n), 6),)], "probability double")
+    return k.spark.createDataFrame([(round(D.non_matching_probability(_cover(k), k.samples, D.imbalance_ratio(k.samples)), 6),)], "probability double")
 
 
 def _greedy(rounds: int = 8) -> str:
@@ -527,7 +525,7 @@ def _greedy(rounds: int = 8) -> str:
     for r in range(1, rounds + 1):
         start = f"case when (select count(*) from s{r - 1})=0 then -0.5 else 0 end"
         steps.append(f"o{r} as materialized (select sam.pair_id, label, weight from sam where pair_id not in (select pair_id from cov join s{r - 1} using(rule_id)))")
-        steps.append(f"m{r} as materialized (select q.rule_id, round({start}+0.5*coalesce(g.n,0)/tot.n-0.5*coalesce(g.p,0)/tot.p,12) mw, case when pos+neg=0 then 0 else pos/(pos+neg) end cf from sums q cross join tot left join (select rule_id, sum(case when o{r}.label=1 then weight else 0 end) p, sum(case when o{r}.label=0 then weight else 0 end) n from cov join o{r} using(pair_id) group by 1) g on g.rule_id=q.rule_id where q.rule_id not in (select rule_id from s{r - 1}))")
+        steps.append(f"m{r} as materialized (select q.rule_id, round({start}+0.5*coalesce(coalesce(g.n,0)/nullif(tot.n,0),0)-0.5*coalesce(g.p,0)/tot.p,12) mw, case when pos+neg=0 then 0 else pos/(pos+neg) end cf from sums q cross join tot left join (select rule_id, sum(case when o{r}.label=1 then weight else 0 end) p, sum(case when o{r}.label=0 then weight else 0 end) n from cov join o{r} using(pair_id) group by 1) g on g.rule_id=q.rule_id where q.rule_id not in (select rule_id from s{r - 1}))")
         steps.append(f"s{r} as materialized (select rule_id from s{r - 1} union all (select rule_id from (select * from m{r} order by mw, cf desc, rule_id desc limit 1) z where mw<0))")
     return "with " + ", ".join(steps) + f" select cast(rule_id as int) rule_id, pattern, round(proba,6) proba from s{rounds} join rules using(rule_id) join conf using(rule_id)"
 
@@ -576,18 +574,18 @@ def explanation_rank(k):
 _LAGGED = "select fpr-lag(fpr,1,0) over (order by fpr,tpr) df, tpr+lag(tpr,1,0) over (order by fpr,tpr) t2 from roc"
 
 
-@query(f"select round(sum(df*t2/2),6) roc_auc from ({_LAGGED}) z")
+@query(f"select case when (select count(*) from roc where fpr is null)>0 then 'nan'::double else round(sum(df*t2/2),6) end roc_auc from ({_LAGGED}) z")
 def roc_auc(k):
     return E.roc_auc(_scored(k)).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
-@query("select arg_max(t, (round(tpr-fpr,12), t)) optimal_threshold from roc")
+@query("select arg_max(t, (round(tpr-fpr,12), t)) optimal_threshold from roc where fpr is not null")
 def youden_threshold(k):
     return E.youden_threshold(_scored(k))
 
 
-@query("""select round(tp/(tp+fp),6) "precision", round(tp/(tp+fn),6) recall, round(case when d>0 then (tp*tn-fp*fn)/d else 0 end,6) mcc, round((tp/(tp+fn)+tn/(tn+fp))/2,6) balanced_acc from (select *, sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)) d from
-  (select sum(case when round(proba,9)>=0.5 and label=1 then weight else 0 end) tp, sum(case when round(proba,9)>=0.5 and label=0 then weight else 0 end) fp, sum(case when round(proba,9)<0.5 and label=1 then weight else 0 end) fn, sum(case when round(proba,9)<0.5 and label=0 then weight else 0 end) tn from pred) q) z""")
+@query("""select case when one then 'nan'::double else round(case when tp+fp>0 then tp/(tp+fp) else 0 end,6) end "precision", round(tp/(tp+fn),6) recall, case when one then 'nan'::double else round(case when d>0 then (tp*tn-fp*fn)/d else 0 end,6) end mcc, case when one then 'nan'::double else round((tp/(tp+fn)+case when tn+fp>0 then tn/(tn+fp) else 0 end)/2,6) end balanced_acc from (select *, sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)) d from
+  (select sum(case when round(proba,9)>=0.5 and label=1 then weight else 0 end) tp, sum(case when round(proba,9)>=0.5 and label=0 then weight else 0 end) fp, sum(case when round(proba,9)<0.5 and label=1 then weight else 0 end) fn, sum(case when round(proba,9)<0.5 and label=0 then weight else 0 end) tn, count(distinct label)<2 one from pred) q) z""")
 def perf_metrics(k):
     return E.performance(_scored(k)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "mcc", "balanced_acc")])
 

@@ -20,6 +20,12 @@ def class_weights(samples: DataFrame) -> tuple[float, float]:
     return p or 0.0, n or 0.0
 
 
+def imbalance_ratio(samples: DataFrame) -> float:
+    """Weight of positives over that of negatives; 1 without negatives."""
+    p, n = class_weights(samples)
+    return p / n if n else 1.0
+
+
 def _ratio(pos: Column, neg: Column, imbalance: float) -> Column:
     total = pos + F.lit(float(imbalance)) * neg
     return F.when(total == 0, 0.0).otherwise(pos / total)
@@ -127,7 +133,6 @@ def fit(rules: DataFrame, cover: DataFrame, samples: DataFrame, alpha: float = 0
         chosen, kept = rules.join(ids, "rule_id", "left_semi"), cover.join(ids, "rule_id", "left_semi")
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    p, n = class_weights(samples)
-    imbalance = p / n if n else 1.0
+    imbalance = imbalance_ratio(samples)
     probs = rule_sums(kept, samples, imbalance).select("rule_id", F.col("confidence").alias("proba"), "pos", "neg")
     return DecisionSet(chosen.join(probs, "rule_id"), non_matching_probability(kept, samples, imbalance), both, params or {})
