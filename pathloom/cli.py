@@ -13,7 +13,8 @@ from pathloom.plans.workflow import Params
 from pathloom.sources import sinks
 from pathloom.sources.models import load_model, save_model
 from pathloom.sources.readers import pair_literal, read_graphml, read_pairs
-from pathloom.sources.stages import load_params
+from pathloom.operators.graph import Graph
+from pathloom.sources.stages import StageCache, load_params
 
 #: Node column that raw gene names of each format stand for.
 GENE_KEYS = {"Ensembl": "id", "HGNC": "name"}
@@ -38,7 +39,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--params", help="JSON file of parameters; options given here override it")
     p.add_argument("--analysis_name", default="analysis")
     p.add_argument("--analytics_output")
-    p.add_argument("--master")
+    p.add_argument("--cache", help="folder that keeps the parsed graph and traversed paths between runs")
+    p.add_argument("--update_kg_cache", action="store_true")
+    p.add_argument("--update_step_caches", action="store_true")
+    p.add_argument("--holdout_output", help="where train writes the holdout pairs")
+    p.add_argument("--spark_mode", "--master", dest="master", help="Spark master; by default that of the environment")
     return p
 
 
@@ -47,13 +52,21 @@ def params_of(args: argparse.Namespace) -> Params:
     return replace(Params(**base), **{k: v for k, v in vars(args).items() if k in base and v is not None})
 
 
+def load_graph(spark: SparkSession, args: argparse.Namespace) -> Graph:
+    """The graph file, from the cache if one is kept for its path."""
+    if not args.cache:
+        return read_graphml(spark, args.kg)
+    cache = StageCache(args.cache, args.update_kg_cache)
+    return Graph(*(cache.get_or_store(spark, part, lambda p=part: getattr(read_graphml(spark, args.kg), p), kg=args.kg) for part in ("nodes", "edges")))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     args = parser().parse_args(argv)
     params = params_of(args)
     if spark is None:
         builder = SparkSession.builder.appName("pathloom")
         spark = (builder.master(args.master) if args.master else builder).getOrCreate()
-    graph = read_graphml(spark, args.kg)
+    graph = load_graph(spark, args)
     key = GENE_KEYS[args.gene_id_format]
     if args.action in ("train", "evaluate"):
         neg = samples.negatives(read_pairs(spark, args.neutral_pairs, header=True), graph.nodes)
@@ -61,7 +74,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None):
             out = workflow.evaluate(graph, neg, params, analytics=args.analytics_output)
             out.show(truncate=False)
             return out
-        model, _ = workflow.train(graph, neg, params)
+        steps = StageCache(args.cache, args.update_step_caches) if args.cache else None
+        model, every = workflow.train(graph, neg, params, steps, kg=args.kg, neutral_pairs=args.neutral_pairs)
+        if args.holdout_output:
+            sinks.write_holdout(every.where("split = 'holdout'"), args.holdout_output, with_weight=True)
         save_model(model, args.model)
         return model
     model = load_model(spark, args.model)

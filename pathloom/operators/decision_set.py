@@ -79,17 +79,20 @@ def select_greedy(cover: DataFrame, samples: DataFrame, alpha: float = 0.5) -> l
         cover.unpersist()
 
 
-def select_sequential(cover: DataFrame, samples: DataFrame, by: str = "conf") -> DataFrame:
-    """rule_ids picked by sequential covering: of the rules that match a positive pair, the best ranked.
+def select_sequential(cover: DataFrame, samples: DataFrame, by: str = "conf", cover_threshold: int = 1) -> DataFrame:
+    """rule_ids picked by sequential covering: rules in rank order, each kept if it matches a positive pair still there.
 
-    by "conf" ranks by confidence, by "fpr" by negative weight; then by positive weight and id. With every
-    pair gone after its first rule, a rule stays exactly if it is the best of some positive pair.
+    by "conf" ranks by confidence, by "fpr" by negative weight; then by positive weight and id. A pair is gone after
+    cover_threshold rules, so a rule stays exactly if it is among the first cover_threshold rules of some positive pair.
     """
     sums = rule_sums(cover, samples)
     first = F.struct(-F.col("confidence"), -F.col("pos"), F.col("rule_id")) if by == "conf" else F.struct(F.col("neg"), -F.col("pos"), F.col("rule_id"))
     ranked = sums.select("rule_id", first.alias("rank"))
     j = cover.join(samples.where("label = 1").select("pair_id"), "pair_id", "left_semi").join(ranked, "rule_id")
-    return j.groupBy("pair_id").agg(F.min_by("rule_id", "rank").alias("rule_id")).select("rule_id").distinct()
+    if cover_threshold == 1:
+        return j.groupBy("pair_id").agg(F.min_by("rule_id", "rank").alias("rule_id")).select("rule_id").distinct()
+    order = Window.partitionBy("pair_id").orderBy("rank")
+    return j.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cover_threshold).select("rule_id").distinct()
 
 
 def non_matching_probability(cover: DataFrame, samples: DataFrame, imbalance: float) -> float:

@@ -210,6 +210,7 @@ def test_decision_set(spark):
         left -= {best}
     assert got == want == [1, 3]
     assert {r.rule_id for r in decision_set.select_sequential(cover, sam, "conf").collect()} == {1, 3}
+    assert {r.rule_id for r in decision_set.select_sequential(cover, sam, "conf", 2).collect()} == {1, 2, 3}
     assert decision_set.set_weight(cover.where("rule_id in (1, 3)"), sam, 0.5) == objective({1, 3})
     assert decision_set.set_weight(cover.limit(0), sam, 0.5) == 1.0
     p = decision_set.non_matching_probability(cover.where("rule_id in (1, 3)"), sam, 4 / 3)

@@ -59,7 +59,9 @@ def test_graph_file(spark, files):
 
 def test_train_predict_explain_test(spark, files):
     kg, model, out = str(files / "kg.graphml"), str(files / "model"), str(files / "out")
-    cli.main(["train", "--kg", kg, "--model", model, "--neutral_pairs", str(files / "neg.tsv"), "--holdout_positive_size", "1"], spark)
+    cli.main(["train", "--kg", kg, "--model", model, "--neutral_pairs", str(files / "neg.tsv"), "--holdout_positive_size", "1", "--cache", f"file://{files}/stages", "--holdout_output", str(files / "holdout")], spark)
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(files / "holdout")).count() == 1
+    assert {"nodes", "edges", "paths"} <= set(os.listdir(files / "stages"))
     rows = {(r.ens_id_A, r.ens_id_B): r.predicted_proba for r in cli.main(["predict", "--kg", kg, "--model", model, "--input", str(files / "in.tsv"), "--prediction_output_folder", out], spark).collect()}
     assert rows["ENSG0", "ENSG1"] > 0.9 > rows["ENSG8", "ENSG9"]
     assert len(rows) == 3 and glob.glob(f"{out}/analysis_predictions.csv/part-*")
