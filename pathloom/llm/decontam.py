@@ -152,8 +152,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     matches, used = find(docs, items)
     bad = written(matches.exact.select("doc_id", "th").distinct(), "contaminated")
     release(*used)
-    bad = small(bad.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_"), bad.count())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("id_")) & (text_hash(F.col("text")) == F.col("th_")), "left_anti")
+    bad = small(bad.withColumnRenamed("doc_id", "__pl_id").withColumnRenamed("th", "__pl_th"), bad.count())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (text_hash(F.col("text")) == F.col("__pl_th")), "left_anti")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

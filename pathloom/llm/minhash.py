@@ -272,8 +272,8 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each group, that with the smallest id."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct(), "gone")
-    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("gone_"), "left_anti")
+    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__pl_gone")).distinct(), "gone")
+    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("__pl_gone"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

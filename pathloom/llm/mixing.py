@@ -79,8 +79,8 @@ def mixed(docs: DataFrame, dims: Mapping[str, tuple[Column, Mapping[str, float]]
     names = list(dims)
     # Categories are worked out before anything is dropped, for they may come from columns of the same names.
     cats = [F.when(F.coalesce(c.isin(*t), F.lit(False)), c).otherwise(REST) for c, t in dims.values()]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(f"cat{i}_") for i, c in enumerate(cats)])
-    at = [f"cat{i}_" for i in range(len(names))]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(f"__pl_cat{i}") for i, c in enumerate(cats)])
+    at = [f"__pl_cat{i}" for i in range(len(names))]
     cells = {tuple(r[: len(at)]): r[-1] for r in keyed.groupBy(*at).agg(F.sum(tokens_of(F.col(text_col))).alias("n")).collect()}
     boost = boosts(cells, [t for _, t in dims.values()])
     top = max(boost.values(), default=1.0) or 1.0
@@ -102,8 +102,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def sample(docs: DataFrame) -> DataFrame:
     """The documents drawn, with the columns of docs."""
-    keep = mixed(docs.withColumns({"source_": F.col("source"), "lang_": F.col("lang")}), {"source": (F.col("source_"), SOURCES), "lang": (F.col("lang_"), LANGUAGES), "topic_": (topic_of(F.coalesce("text", F.lit(""))), TOPICS)})
-    return keep.where("kept").drop("source", "lang").withColumnsRenamed({"source_": "source", "lang_": "lang"}).select(*docs.columns)
+    copies = docs.select("doc_id", "text", "source", "lang", *[F.col(f"`{c}`").alias(f"__pl_keep_{c}") for c in docs.columns])
+    keep = mixed(copies, dims_of())
+    # What the draw adds is dropped, and columns of docs that its names replaced are not lost: they come from copies.
+    return keep.where("kept").select(*[F.col(f"`__pl_keep_{c}`").alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import written
+from pathloom.llm.common import small, written
 
 #: Bytes of text in a bucket. A task holds a few copies of one bucket.
 BUCKET_BYTES = 16 << 20
@@ -32,8 +32,8 @@ def size_of(text: Column) -> Column:
 
 
 def external_shuffle(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows with shard and slot (gapless from 0 in each shard)."""
-    spark = rows.sparkSession
+    """The rows with shard and slot (gapless from 0 in each shard); columns of these names are replaced."""
+    spark, rows = rows.sparkSession, rows.drop("shard", "slot")
     key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed + 1), text_col)).otherwise(F.xxhash64(F.lit(seed), id_col))
     total, n = rows.agg(F.sum(size_of(F.col(text_col))), F.count("*")).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes))
@@ -54,7 +54,7 @@ def external_shuffle(rows: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for b in range(buckets):
         offsets.append((b, at))
         at += counts.get(b, 0)
-    starts = F.broadcast(spark.createDataFrame(offsets, "bucket_ int, before_ long"))
+    starts = small(spark.createDataFrame(offsets, "bucket_ int, before_ long"), buckets)
     placed = mixed.join(starts, "bucket_").select("y_.row", (F.col("before_") + F.col("i_")).alias("pos_"))
     shard = F.floor(F.col("pos_") * shards / F.lit(max(n, 1)).cast("decimal(20,0)")).cast("int")
     placed = placed.select("row", "pos_", shard.alias("shard"))

@@ -34,7 +34,7 @@ def test_against_brute_force(spark):
             t += ", " + rng.choice(items)[1].upper() + "! " if rng.random() < 2 and (x := rng.choice(items))[1] and False else " " + (rng.choice(items[:25])[1]).upper() + "; " + text(5)
         docs.append((d, t))
     docs += [(7, "other text " + items[9][1]), (None, items[12][1]), (500, None), (501, ""), (502, (items[5][1] + " ") * 300), docs[1]]
-    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, term string, pos int")
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, id_ string, th_ int")
     matches, used = decontam.find(df.select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string"))
     got = sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.report(matches).collect()], key=repr)
     assert got == brute(docs, items)

@@ -43,7 +43,7 @@ def corpus(rng, groups, copies, edits):
 def test_against_brute_force(spark):
     docs = corpus(random.Random(1), 12, 14, [0, 0, 1, 2, 3, 5, 8])
     docs += [(9001, None), (9002, ""), (9003, "one two"), (9004, "One  TWO"), (9005, " \n ")]
-    df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n long, bands string")
+    df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n long, id_ string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
     assert got == brute(docs)
     kept = minhash.drop_copies(df)

@@ -43,4 +43,7 @@ def test_sampled_mixture(spark):
     assert abs(en / (en + de) - 0.6) < 0.05 and max(r.probability for r in rows) == 1
     assert len({r.kept for r in rows if r.doc_id == 7}) == 1
     assert mixing.sample(df).columns == df.columns
+    clash = df.withColumns({"kept": F.lit(3), "topic": F.lit("mine"), "__pl_source": F.lit(1)})
+    drawn = mixing.sample(clash)
+    assert drawn.columns == clash.columns and {tuple(r) for r in drawn.select("kept", "topic", "__pl_source").distinct().collect()} == {(3, "mine", 1)}
     assert mixing.mixed(df.limit(0), dims).count() == 0

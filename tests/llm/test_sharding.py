@@ -42,3 +42,9 @@ def test_one_id_with_most_rows(spark):
     assert len(got) == 6000 and max(sizes.values()) - min(sizes.values()) <= 1
     assert len({(r.shard, r.slot) for r in got}) == 6000
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "t", 5, "b", 9) for i in range(50)], "doc_id long, text string, shard int, bucket_ string, slot long")
+    out = sharding.external_shuffle(df)
+    assert out.columns == ["doc_id", "text", "bucket_", "shard", "slot"] and out.select("shard", "slot").distinct().count() == 50
