@@ -84,3 +84,13 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batches to so many rows, for plans with whole texts that run after the call returns.
+
+    Buffers beside the heap hold a whole batch, several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import slices
+from pathloom.llm.common import short_batches, slices
 
 #: Frequent function words of the corpus languages.
 STOP_WORDS = frozenset(
@@ -177,6 +177,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text, the main text; a column of this name is replaced."""
+    short_batches(pages.sparkSession)
     pages = pages.drop("text")
     at = pages.columns.index(html_col)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import charfeat
-from pathloom.llm.common import id_crc, slices
+from pathloom.llm.common import id_crc, short_batches, slices
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -101,6 +101,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
     """A model from rows with id, text and lang; none without rows."""
+    short_batches(train.sparkSession)
     train = train.where("text is not null and lang is not null")
     df, total = document_frequencies(train)
     if not total:
@@ -140,6 +141,7 @@ def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
 
 def identify(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
+    short_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     at_text = docs.columns.index(text_col)
 

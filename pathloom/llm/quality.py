@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import labelled
-from pathloom.llm.common import id_crc, release, slices
+from pathloom.llm.common import id_crc, release, short_batches, slices
 
 #: Labelled documents of each class the field is fitted on at most, and lines of each.
 PER_CLASS = {0: 1500, 1: 2500}
@@ -161,6 +161,7 @@ def whole(x: np.ndarray, weight: np.ndarray, w: np.ndarray, trans: np.ndarray) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> dict:
+    short_batches(docs.sparkSession)
     sample, prior = labelled.sample(docs, labels, "quality", modulus, held, PER_CLASS, 29)
     rows = {0: 0, 1: 0} | dict(sample.groupBy("y").count().collect())
     if not rows[0] or not rows[1]:
@@ -204,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) ->
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score, the probability of good quality; a column of this name is replaced."""
+    short_batches(docs.sparkSession)
     docs = docs.drop("score")
     at_text = docs.columns.index(text_col)
 

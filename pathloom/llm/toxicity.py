@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import charfeat, labelled
-from pathloom.llm.common import id_crc, release, slices
+from pathloom.llm.common import id_crc, release, short_batches, slices
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -73,6 +73,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30) -> t
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> dict:
+    short_batches(docs.sparkSession)
     sample, prior = labelled.sample(docs, labels, "toxic", modulus, held, PER_CLASS, 23)
     per = dict(sample.groupBy("y").count().collect())
     if not per.get(0) or not per.get(1):
@@ -105,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) ->
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score, the probability that the text is toxic; a column of this name is replaced."""
+    short_batches(docs.sparkSession)
     docs = docs.drop("score")
     at_text = docs.columns.index(text_col)
 
