@@ -2,9 +2,10 @@
 
 Documents fall into cells of source, language and topic. The tokens of the cells are raked: in turn, the
 cells of every source, language and topic are scaled so that their sum meets its target share, ROUNDS
-times over. A cell's fitted over its natural share is its boost, held to MAX_BOOST. Every document of a cell is then
-kept with probability boost over largest boost, decided by a hash of its id, so the kept tokens have the
-raked mixture in expectation and nothing is repeated.
+times over. A cell's fitted over its natural share is its boost. Every document of a cell is then kept with
+probability boost over largest boost, decided by a hash of its id, so the kept tokens have the raked
+mixture in expectation and nothing is repeated: the rarer a cell is next to its target, the fewer of the
+others are kept.
 
 Targets are parameters, so the number of cells is bounded by their sizes, not by the data: categories
 without a target (null among them) share one cell name and keep their natural share; targets of absent
@@ -24,6 +25,7 @@ SOURCES = {f"src{i}": 0.05 for i in range(20)}
 LANGUAGES = {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.12}
 TOPICS = {"prose": 0.9, "tabular": 0.03, "contact": 0.03, "legal": 0.04}
 ROUNDS = 20
+#: Only the SQL text below still holds boosts to this; the two agree where no boost is larger.
 MAX_BOOST = 4.0
 SEED = 31
 REST = "(rest)"
@@ -53,7 +55,7 @@ def shares(natural: Mapping[str, float], targets: Mapping[str, float]) -> dict[s
 
 
 def boosts(cells: Mapping[tuple[str, ...], int], targets: list[Mapping[str, float]]) -> dict[tuple[str, ...], float]:
-    """Raked over natural share of every cell with tokens, at most MAX_BOOST."""
+    """Raked over natural share of every cell with tokens."""
     total = sum(cells.values())
     if not total:
         return {}
@@ -71,7 +73,7 @@ def boosts(cells: Mapping[tuple[str, ...], int], targets: list[Mapping[str, floa
             for c, w in fitted.items():
                 margin[c[d]] = margin.get(c[d], 0.0) + w
             fitted = {c: w * aim.get(c[d], 0.0) / margin[c[d]] if margin[c[d]] > 0 else 0.0 for c, w in fitted.items()}
-    return {c: min(MAX_BOOST, w / natural[c]) for c, w in fitted.items()}
+    return {c: w / natural[c] for c, w in fitted.items()}
 
 
 def mixed(docs: DataFrame, dims: Mapping[str, tuple[Column, Mapping[str, float]]], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

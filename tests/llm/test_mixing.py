@@ -22,6 +22,17 @@ def test_raking_meets_the_targets():
     assert abs(odds(("a", "x"), ("a", "y")) - odds(("b", "x"), ("b", "y"))) < 1e-9
 
 
+def test_rare_categories_meet_their_targets():
+    """With the parameters as they are: a category far rarer than its target is not left short."""
+    cells = {("a", "x"): 900, ("a", "y"): 4, ("b", "x"): 90, ("b", "y"): 6}
+    aims = [{"a": 0.5, "b": 0.5}, {"x": 0.8, "y": 0.2}]
+    boost = mixing.boosts(cells, aims)
+    assert max(boost.values()) > mixing.MAX_BOOST
+    for d, aim in enumerate(aims):
+        for c, t in aim.items():
+            assert abs(sum(n * boost[k] for k, n in cells.items() if k[d] == c) / 1000 - t) < 1e-6
+
+
 def test_shares_of_absent_and_unnamed():
     assert mixing.shares({"a": 0.6, mixing.REST: 0.4}, {"a": 0.1, "b": 0.9}) == {"a": 0.6, mixing.REST: 0.4}
     assert mixing.boosts({}, [{}]) == {}
