@@ -190,6 +190,27 @@ def test_threshold_search_beats_random(spark):
     assert all(cost(rng.random(2)) >= c - 1e-9 for _ in range(500))
 
 
+def test_threshold_search_is_exact_at_size():
+    """Against enumeration of all observed scores, on more combinations than were once tried."""
+    for k, n, digits, seed in ((2, 40, 3, 1), (2, 60, 3, 2), (3, 90, 1, 3), (3, 12, 2, 4)):
+        rng = np.random.default_rng(seed)
+        rows = [[[np.sort(rng.random(rng.integers(1, 5)).round(digits)) for _ in range(k)] for _ in range(1 + p % 2)] for p in range(n)]
+        w = rng.choice([1 / 3, 2 / 3, 1.0], n)
+        values = [np.unique(np.concatenate([[0.0], *[d[i] for r in rows for d in r]])) for i in range(k)]
+        grid = np.stack([x.ravel() for x in np.meshgrid(*values, indexing="ij")], axis=1)
+        assert len(grid) * n > 100_000
+        best = np.zeros((n, len(grid)))
+        for p, r in enumerate(rows):
+            for d in r:
+                c = [len(d[i]) - np.searchsorted(d[i], grid[:, i]) for i in range(k)]
+                best[p] = np.maximum(best[p], np.where(np.min(c, axis=0) > 0, np.sum(c, axis=0), 0))
+        sup, n0 = w @ (best > 0), best[:, 0]
+        ok = sup >= 0.1 * w.sum()
+        costs = np.where(ok, ((1 - sup / w.sum()) + (w @ best) / np.where(ok, sup, 1) / (w @ n0 / w.sum())) / 2, 1.0).round(12)
+        t, c = thresholds.search_one(k, rows, w, 0.1 * w.sum())
+        assert abs(c - costs.min()) < 1e-11 and np.allclose(t, grid[np.argmin(costs)])
+
+
 def test_decision_set(spark):
     cover = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "x"), (3, "c"), (4, "x"), (4, "y")], "rule_id int, pair_id string")
     sam = spark.createDataFrame([(p, 1.0, 1) for p in "abcd"] + [(p, 1.0, 0) for p in "xyz"], "pair_id string, weight double, label int")
