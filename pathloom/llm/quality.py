@@ -4,8 +4,8 @@ Every line is labelled good or bad. Its features describe its own shape (length,
 repetition, function-word share ...) and that of the lines before and after; the chain's transitions
 tie neighbouring labels. Forward-backward gives each line the marginal probability of being good, and
 the mean of these weighted by line length, put through a fitted logistic curve, is the document's
-score. The field is trained by maximum likelihood on a bounded sample of labelled documents, each line
-carrying its document's label; in training alone, at most CHAIN lines of a document are used.
+score. The field is trained by maximum likelihood on all lines of a bounded sample of labelled documents,
+each line carrying its document's label.
 
 Null and empty texts count as one empty line. Repeated rows are scored alike. If training labels lack
 a class, every score is the share of class 1 (0.5 without labels). Scoring reads whole texts and
@@ -15,6 +15,7 @@ passes other columns through.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from operator import eq
 
 import numpy as np
@@ -26,9 +27,8 @@ from pyspark.sql import types as T
 from pathloom.llm import labelled
 from pathloom.llm.common import id_crc, release, short_batches, slices
 
-#: Labelled documents of each class the field is fitted on at most, and lines of each.
+#: Labelled documents of each class the field is fitted on at most.
 PER_CLASS = {0: 1500, 1: 2500}
-CHAIN = 48
 OWN = 17
 WIDTH = 3 * OWN + 3
 STEPS, RATE, DECAY = 250, 0.05, 1e-3
@@ -83,7 +83,7 @@ def own_features(text: str, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, length + 1.0
 
 
-def features(text: str, kind: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """own_features with those of both neighbours, whether there are such, and a constant."""
     own, weight = own_features(text, kind)
     n = len(own)
@@ -92,7 +92,7 @@ def features(text: str, kind: np.ndarray, most: int | None = None) -> tuple[np.n
     x[1:, OWN : 2 * OWN] = own[:-1]
     x[:-1, 2 * OWN : 3 * OWN] = own[1:]
     x[0, 3 * OWN] = x[-1, 3 * OWN + 1] = x[:, 3 * OWN + 2] = 1
-    return x[:most], weight[:most]
+    return x, weight
 
 
 def marginals(odds: np.ndarray, trans: np.ndarray) -> list[float]:
@@ -114,38 +114,52 @@ def marginals(odds: np.ndarray, trans: np.ndarray) -> list[float]:
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions by Adam on the mean conditional log likelihood; x: chains x lines x features, y: chains' labels.
+def train(x: Sequence[np.ndarray], y: np.ndarray, mask: Sequence[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions by Adam on the mean conditional log likelihood; x: of each chain lines x features, y: chains' labels.
 
-    Messages are kept as probabilities of the good label, normalised at every line, for all chains at once.
+    A mask tells the lines of padded chains. Messages are kept as probabilities of the good label, normalised at every
+    line, for all chains at once: the longest chain comes first, so the i-th lines of those that have one are a block,
+    and nothing is padded however long one chain is.
     """
-    n, t, d = x.shape
+    chains = x if mask is None else [c[k] for c, k in zip(x, mask, strict=True)]
+    size = np.array([len(c) for c in chains])
+    order = np.argsort(-size, kind="stable")
+    size, y, d = size[order], np.asarray(y)[order], chains[0].shape[1]
+    t, lines = int(size[0]), int(size.sum())
+    live = np.searchsorted(-size, -np.arange(t), "left")
+    start = np.concatenate(([0], np.cumsum(live)))
+    flat, label = np.empty((lines, d), np.float32), np.empty(lines)
+    for r, c in enumerate(order):
+        at = start[: size[r]] + r
+        flat[at], label[at] = chains[c], y[r]
+    blocks = [slice(start[i], start[i + 1]) for i in range(t)]
+    # Each line after the first of its chain, and the line before it.
+    right = np.arange(live[0], lines)
+    left = right - np.repeat(live[:-1], live[1:])
     w, trans = np.zeros(d), np.zeros((2, 2))
     m, v = np.zeros(d + 4), np.zeros(d + 4)
-    lines = mask.sum()
-    flat = np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(t * n, d)
-    live = np.ascontiguousarray(mask.T)
     for step in range(1, STEPS + 1):
-        e = np.exp(np.clip((flat @ w.astype(np.float32)).reshape(t, n).astype(np.float64), -30, 30))
+        e = np.exp(np.clip((flat @ w.astype(np.float32)).astype(np.float64), -30, 30))
         (t00, t01), (t10, t11) = np.exp(trans)
-        ahead, back = np.full((t, n), 0.5), np.full((t, n), 0.5)
-        ahead[0] = e[0] / (e[0] + 1)
+        ahead, back = np.full(lines, 0.5), np.full(lines, 0.5)
+        ahead[blocks[0]] = e[blocks[0]] / (e[blocks[0]] + 1)
         for i in range(1, t):
-            a = ahead[i - 1]
-            good, bad = (a * t11 + (1 - a) * t01) * e[i], a * t10 + (1 - a) * t00
-            ahead[i] = np.where(live[i], good / (good + bad), a)
+            a = ahead[start[i - 1] : start[i - 1] + live[i]]
+            good, bad = (a * t11 + (1 - a) * t01) * e[blocks[i]], a * t10 + (1 - a) * t00
+            ahead[blocks[i]] = good / (good + bad)
         for i in range(t - 2, -1, -1):
-            good, bad = e[i + 1] * back[i + 1], 1 - back[i + 1]
+            b = back[blocks[i + 1]]
+            good, bad = e[blocks[i + 1]] * b, 1 - b
             from_good, from_bad = t11 * good + t10 * bad, t01 * good + t00 * bad
-            back[i] = np.where(live[i + 1], from_good / (from_good + from_bad), back[i + 1])
+            back[start[i] : start[i] + live[i + 1]] = from_good / (from_good + from_bad)
         good, bad = ahead * back, (1 - ahead) * (1 - back)
         p_good = good / (good + bad)
-        g_w = flat.T @ np.where(live, y - p_good, 0.0).ravel().astype(np.float32) / lines - DECAY * w
+        g_w = flat.T @ (label - p_good).astype(np.float32) / lines - DECAY * w
         # Joint probabilities of neighbouring labels.
-        a, right = ahead[:-1], (e[1:] * back[1:], 1 - back[1:])
-        joint = [[(1 - a) * t00 * right[1], (1 - a) * t01 * right[0]], [a * t10 * right[1], a * t11 * right[0]]]
+        a, good, bad = ahead[left], e[right] * back[right], 1 - back[right]
+        joint = [[(1 - a) * t00 * bad, (1 - a) * t01 * good], [a * t10 * bad, a * t11 * good]]
         total = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-        g_t = np.array([[np.where(live[1:], ((y == i) & (i == j)) - joint[i][j] / total, 0.0).sum() / lines for j in (0, 1)] for i in (0, 1)]) - DECAY * trans
+        g_t = np.array([[(((label[right] == i) & (i == j)) - joint[i][j] / total).sum() / lines for j in (0, 1)] for i in (0, 1)]) - DECAY * trans
         g = np.append(g_w, g_t.ravel())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -170,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) ->
     def featurise(batches):
         kind = kinds()
         for batch in slices(batches):
-            got = [features(t, kind, CHAIN) for t in batch.column(0).to_pylist()]
+            got = [features(t, kind) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0].ravel() for g in got], pa.list_(pa.float32())), pa.array([g[1] for g in got], pa.list_(pa.float32())), batch.column(1)], ["x", "weight", "y"])
 
     got = sample.select("text", "y").mapInArrow(featurise, "x array<float>, weight array<float>, y int").toArrow().combine_chunks()
@@ -182,11 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) ->
     mean, scale = every.mean(0), every.std(0)
     scale[scale < 1e-6] = 1
     mean[-1] = 0
-    t = max(len(c[1]) for c in chains)
-    x, mask = np.zeros((len(chains), t, WIDTH), np.float32), np.zeros((len(chains), t), bool)
-    for i, (c, k) in enumerate(chains):
-        x[i, : len(k)], mask[i, : len(k)] = (c - mean) / scale, True
-    w, trans = train(x, y, mask)
+    w, trans = train([((c - mean) / scale).astype(np.float32) for c, _ in chains], y)
     raw = np.array([whole((c - mean) / scale, k, w, trans) for c, k in chains])
     # Logistic curve from marginals to the probability of class 1, at the classes' shares of all training labels.
     share = np.where(y == 1, prior[1] / rows[1], prior[0] / rows[0])

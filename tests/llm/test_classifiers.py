@@ -108,6 +108,17 @@ def test_crf_gradient_finds_neighbour_dependence():
     assert quality.marginals(x[0] @ w, trans)[0] > 0.8 if y[0] else quality.marginals(x[0] @ w, trans)[0] < 0.2
 
 
+def test_lines_far_down_are_learnt_from(spark):
+    """Good and bad documents that differ after their first 60 lines only."""
+    rng = random.Random(8)
+    good = lambda: sentence(rng, "en", 14)
+    bad = lambda: " | ".join(sentence(rng, "en", 1) for _ in range(9))
+    docs = [(i, "\n".join([*(good() for _ in range(60)), *((bad if i % 2 else good)() for _ in range(60))])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs], "doc_id long, quality int"))
+    assert all((r.score >= quality.THRESHOLD) == (r.doc_id % 2 == 0) for r in quality.score(df, model).collect())
+
+
 def test_ftrl_and_features():
     table = charfeat.letter_table()
     assert "".join(map(chr, charfeat.letters("Hé, 2x\tÄ𝔘", table))).startswith(" hé x ä")
