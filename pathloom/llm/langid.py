@@ -2,8 +2,8 @@
 
 N-grams of order 1 to 3 are hashed into 2**BITS bins. Document frequencies are counted over all
 training rows; weights are learnt with follow-the-regularised-leader (per-coordinate steps, L1 and
-L2 penalties) on a sample of TRAIN_ROWS training rows, the first by a hash of their id; a fifth of
-the sample sets the temperature that calibrates the probabilities.
+L2 penalties) on a sample of TRAIN_ROWS training rows, the first by a hash of their id and, where an id
+repeats, of their text; a fifth of the sample sets the temperature that calibrates the probabilities.
 
 A null text or one without a letter is ``und`` with score 1. A null id counts as the empty text in
 the hold-out rule. Repeated rows are scored alike; without any training row everything is ``und``
@@ -99,6 +99,21 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return min(np.exp(np.linspace(np.log(0.05), np.log(20), 61)), key=loss)
 
 
+def sampled(train: DataFrame, id_col: str) -> DataFrame:
+    """The TRAIN_ROWS rows that come first by hash. The ids are fixed first (narrow rows), so only the sample's texts are featurised."""
+    h = F.xxhash64(F.lit(3), id_col, "lang")
+    first = train.select(h.alias("h_"), F.col(id_col).alias("i_")).orderBy("h_", "i_").limit(TRAIN_ROWS)
+    upto = train.where(h <= first.agg(F.max("h_")).first()[0])
+    if upto.count() <= TRAIN_ROWS:
+        return upto
+    # Rows of one id and language share their hash: they are told apart by their texts', whatever the length.
+    key = F.struct(h.alias("h_"), F.xxhash64(F.lit(3), "text").alias("g_"))
+    keys = upto.select(key.alias("k_")).orderBy("k_").limit(TRAIN_ROWS)
+    edge, n = keys.groupBy("k_").agg(F.count("*").alias("n_")).agg(F.max(F.struct("k_", "n_"))).first()[0]
+    at = F.struct(F.lit(edge["h_"]).alias("h_"), F.lit(edge["g_"]).alias("g_"))
+    return upto.where(key < at).unionByName(upto.where(key == at).limit(n))
+
+
 def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
     """A model from rows with id, text and lang; none without rows."""
     short_batches(train.sparkSession)
@@ -107,10 +122,7 @@ def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
     if not total:
         return None
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    # The ids are fixed first (narrow rows), so the texts of a bounded sample alone are featurised.
-    first = train.select(F.xxhash64(F.lit(3), id_col, "lang").alias("h_"), F.col(id_col).alias("i_")).orderBy("h_", "i_").limit(TRAIN_ROWS)
-    edge = first.agg(F.max("h_")).first()[0]
-    sample = train.where(F.xxhash64(F.lit(3), id_col, "lang") <= edge).select("text", "lang")
+    sample = sampled(train, id_col).select("text", "lang")
 
     def featurise(batches):
         table = charfeat.letter_table()
@@ -130,7 +142,7 @@ def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
             v = np.asarray(tf.values) * idf[at]
             rows.append((at, v / np.linalg.norm(v), number[lang]))
     del got
-    rows = sorted(rows, key=lambda r: (r[0].size, r[2], float(r[1].sum())))[: 2 * TRAIN_ROWS]
+    rows = sorted(rows, key=lambda r: (r[0].size, r[2], float(r[1].sum())))
     held, kept = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
     if not rows:
         return None

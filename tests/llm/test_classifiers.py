@@ -51,6 +51,20 @@ def test_language(spark, frames, corpus):
     assert (model["w"] == 0).mean() > 0.5
 
 
+def test_rows_repeated_under_one_id_are_sampled_by_hash(spark, monkeypatch):
+    """Long texts are as likely drawn as short ones, and no more than TRAIN_ROWS are."""
+    sizes = []
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(langid, "ftrl", lambda samples, k, f=langid.ftrl: sizes.extend(len(s[0]) for s in samples) or f(samples, k))
+    rng = random.Random(4)
+    rows = [(1, sentence(rng, "en", 1 if i % 2 else 200), "en") for i in range(300)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(sizes) == 40 and 8 <= sum(n > 100 for n in sizes) <= 32
+    sizes.clear()
+    langid.fit(spark.createDataFrame([(1, "the same text", "en")] * 300, "doc_id long, text string, lang string"))
+    assert len(sizes) == 40
+
+
 def test_held_out_rows_and_labels_are_never_used(spark, frames, corpus):
     """Changing held-out rows, or what may not be an input, changes no score of the others."""
     docs, labels = corpus
