@@ -95,9 +95,14 @@ def unifications(patterns: DataFrame, paths: DataFrame, samples: DataFrame, mins
     spots = hits.join(base, ["pattern", "pair_id", "direction"], "left_semi").select("pattern", "pair_id", "direction", "i", F.posexplode("nodes").alias("p", "node"))
     spots = written(spots.select("pattern", "pair_id", "direction", "node", F.struct("i", (F.col("p") + 1).alias("pos")).alias("s")).distinct(), "spots")
     key = ["pattern", "pair_id", "direction", "node"]
-    two = spots.withColumnRenamed("s", "t").join(spots, key).where("t.i < s.i").select(*key, F.array("t", "s").alias("unif"))
-    three = two.join(spots, key).where(F.element_at("unif", -1)["i"] < F.col("s.i")).select(*key, F.concat("unif", F.array("s")).alias("unif"))
-    found = written(two.unionByName(three).select("pattern", "unif", "pair_id").distinct(), "shared")
+    level = found = spots.withColumnRenamed("s", "t").join(spots, key).where("t.i < s.i").select(*key, F.array("t", "s").alias("unif"))
+    largest = patterns.agg(F.max("k")).first()[0] or 0
+    for size in range(3, largest + 1):
+        # A level is read by the next and for the result: written where it would be worked out again and again.
+        level = level.join(spots, key).where(F.element_at("unif", -1)["i"] < F.col("s.i")).select(*key, F.concat("unif", F.array("s")).alias("unif"))
+        level = written(level, "shared") if size < largest else level
+        found = found.unionByName(level)
+    found = written(found.select("pattern", "unif", "pair_id").distinct(), "shared")
     good = _supported(found, ["pattern", "unif"], samples, minsup)
     named = good.join(patterns.select("pattern", "mps", "k"), "pattern")
     name = F.concat_ws(" ", F.col("pattern"), F.lit("@"), unif_text(F.col("unif")))

@@ -173,6 +173,17 @@ def test_mining_and_rules_against_enumeration(spark, both):
     assert {r.pattern for r in mining.closed_patterns(pats, strict=True).collect()} == strict
 
 
+def test_unifications_of_any_size(spark):
+    """Conditions over two metapaths up to all of a pattern's."""
+    mps = [f"a{i}/X/b{i}" for i in range(5)]
+    found = spark.createDataFrame([(p, [f"a{i}", f"b{i}"], ["X"], m, ["x"], 0.5) for p in ("p", "q") for i, m in enumerate(mps)], "pair_id string, edges array<string>, types array<string>, mp string, nodes array<string>, score double")
+    pairs = spark.createDataFrame([("p", 1.0), ("q", 1.0)], "pair_id string, weight double")
+    pats, _ = mining.set_patterns({5: (spark.createDataFrame([(mps, 2.0, 2)], "mps array<string>, support double, n long"), spark.createDataFrame([(mps, "p", 1), (mps, "q", 1)], "mps array<string>, pair_id string, direction int"))})
+    got, matched = mining.unifications(pats, found, pairs, 2.0)
+    assert sorted(tuple(u.i for u in r.unif) for r in got.collect()) == sorted(c for n in range(2, 6) for c in itertools.combinations(range(5), n))
+    assert matched.count() == 2 * 26
+
+
 def test_threshold_search_beats_random(spark):
     rng = np.random.default_rng(3)
     rows = [[[np.sort(rng.random(rng.integers(1, 5)).round(2)) for _ in range(2)]] for _ in range(12)]
