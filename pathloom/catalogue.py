@@ -315,7 +315,7 @@ def negatives(k):
 @query("select pair_id, label, weight from sam")
 def trainset(k):
     pos = S.positive_pairs(k.combinations, 0).withColumn("level", F.greatest("level", F.lit(1)))
-    return S.train_set(pos, pos.limit(0), k.negatives).select("pair_id", "label", "weight")
+    return S.train_set(*S.split_holdout(pos, 15), k.negatives).select("pair_id", "label", "weight")
 
 
 @query("select s_suppkey, s_acctbal/max(s_acctbal) over () scaled, (s_acctbal-min(s_acctbal) over ())/(max(s_acctbal) over ()-min(s_acctbal) over ()) minmax from supplier")
