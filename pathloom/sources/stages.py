@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that written() left and nobody has released.
+_left: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local master may go without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="pathloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         folder = f"file://{folder}"
@@ -26,10 +34,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _left.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._pathloom_path = path
+    return back
+
+
+def _delete(paths) -> None:
+    jvm = SparkContext._jvm
+    for path in list(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        active = SparkContext._active_spark_context
+        conf = active._jsc.hadoopConfiguration() if active else jvm.org.apache.hadoop.conf.Configuration()
+        at.getFileSystem(conf).delete(at, True)
+        _left.discard(path)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what written() left of these, once nothing reads it any more."""
+    _delete([p for df in frames if (p := getattr(df, "_pathloom_path", None))])
+
+
+@contextlib.contextmanager
+def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """On leaving, everything written() inside is deleted but for the frames given or appended to the list."""
+    before, keep = set(_left), list(kept)
+    try:
+        yield keep
+    finally:
+        _delete(_left - before - {getattr(df, "_pathloom_path", "") for df in keep})
+
+
+def release_all() -> None:
+    """Deletes all that written() has left in this process; results that read it must have been used."""
+    _delete(_left)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):
+        if _left and SparkContext._jvm is not None:
+            release_all()
 
 
 class StageCache:
