@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.sources.stages import release, scope, shared_dir, written  # noqa: F401
+
 #: Rows up to which a side of narrow rows (keys and small numbers) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -20,38 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pathloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        folder = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._pathloom_path = path
-    return back
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes what written() left, once nothing reads it any more."""
-    for df in frames:
-        path = getattr(df, "_pathloom_path", None)
-        if path:
-            spark = df.sparkSession
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint when the counted rows stay under the limit; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
@@ -74,6 +41,13 @@ def slices(batches: Iterator, size: int = 256) -> Iterator:
             yield batch.slice(start, size)
 
 
+def texts(column: pa.Array, size: int = 256) -> Iterator[str]:
+    """The texts of an Arrow column, null as the empty one, with few as Python objects at a time."""
+    for start in range(0, len(column), size):
+        for text in column.slice(start, size).to_pylist():
+            yield text or ""
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows for what runs inside: less memory beside the heap where rows are long."""
@@ -84,13 +58,3 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batches to so many rows, for plans with whole texts that run after the call returns.
-
-    Buffers beside the heap hold a whole batch, several times over.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))

@@ -1,3 +1,5 @@
+import time
+
 from pathloom.llm import html
 
 STORY = "The history of the town is long and it was written by the people who lived there for all of their days in the valley."
@@ -27,3 +29,39 @@ def test_odd_pages(spark):
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     assert got[1] == got[2] == got[4] == got[6] == "" and got[5].startswith("x") and got[7] == STORY * 2000 and got[8] == "&amp; a b"
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_attributes_are_names_and_values():
+    long = f"{STORY} {STORY}"
+    for open_, shut in (('<div style="overflow:hidden">', "</div>"), ('<div data-id="menu">', "</div>"), ('<div aria-hidden="false">', "</div>"), ('<div class="two side">', "</div>"), ("<div title='class=ad hidden'>", "</div>"), ('<div class="with-sidebar">', "</div>")):
+        assert html.main_text(f"<body>{open_}<p>{long}</p>{shut}</body>") == long
+    assert html.main_text(f'<article><p style="overflow:hidden">{long}</p></article>') == long
+    assert html.main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{long}</p><figure><img><figcaption>A view.</figcaption></figure></article>') == f"Title\n{long}\nA view."
+    for open_ in ("<div hidden>", "<div aria-hidden='TRUE'>", '<div style="display: none">', "<div role=banner>", "<div class=siteFooter id=nav>", "<svg>", "<div class='x cookie_notice'>"):
+        assert html.main_text(f"<body>{open_}<p>{long}</p></div></svg><article><p>{long} end</p></article>") == f"{long} end"
+
+
+def test_pages_without_a_rich_block_keep_their_best():
+    assert html.main_text("<body><nav><a href=x>Home</a></nav><p>Short one.</p></body>") == "Short one."
+    assert html.main_text("plain text") == "plain text"
+    assert html.main_text("<head><meta charset=x><title>t</title><body><p>Head was never closed.") == "Head was never closed."
+    assert html.main_text("<body><nav><a href=x>Home</a></nav><footer>End</footer></body>") == ""
+    assert html.main_text(f'<div class="widget"><p>{STORY} {STORY}</p></div>') == f"{STORY} {STORY}"
+
+
+def test_other_languages_and_scripts():
+    polish = "Był to dzień, w którym wszyscy mieszkańcy miasta wyszli na ulice, aby zobaczyć nowego króla, a słońce świeciło nad doliną jak nigdy dotąd, choć wiał zimny wiatr."
+    chinese = "这个城市的历史很长，是由住在那里的人们写下来的。" * 4
+    russian = "Это был день, когда все жители города вышли на улицы, чтобы увидеть нового короля и его двор, а солнце светило над долиной, как никогда прежде, хотя дул ветер."
+    for text in (polish, chinese, russian):
+        page = f"<body><nav><a href=x>{text[:20]}</a></nav><h1>{text[:9]}</h1><p>{text}</p><p>{text[:15]}</p><p>{text}</p><div class=ad>{text}</div></body>"
+        assert html.main_text(page).split("\n")[-3:] == [text, text[:15], text]
+
+
+def test_hostile_markup_takes_linear_time():
+    began = time.time()
+    for piece in ("<script ", "<a ", '"', '<a x="', "<a b='", "<title>", "<textarea>", "<!--", "<p>", "&", "&#9", "<b>", "</p>", "<div></b>", "<div><i>", "</", "<a   ", "<span class=ad>", "<a href=x>y"):
+        html.main_text(piece * (1_000_000 // len(piece)))
+    html.main_text('<script ' * 1_250_000)
+    assert time.time() - began < 60
+    assert html.main_text("&#" + "9" * 6000 + ";x") == "\ufffdx"
