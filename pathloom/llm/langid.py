@@ -12,6 +12,8 @@ with score 0. Whole texts are read, however long; columns of other names pass th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import charfeat
-from pathloom.llm.common import id_crc, short_batches, slices
+from pathloom.llm.common import arrow_rows, id_crc, slices, texts
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -116,7 +118,11 @@ def sampled(train: DataFrame, id_col: str) -> DataFrame:
 
 def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
     """A model from rows with id, text and lang; none without rows."""
-    short_batches(train.sparkSession)
+    with arrow_rows(train.sparkSession, 1000):
+        return _fit(train, id_col)
+
+
+def _fit(train: DataFrame, id_col: str) -> dict | None:
     train = train.where("text is not null and lang is not null")
     df, total = document_frequencies(train)
     if not total:
@@ -153,16 +159,14 @@ def fit(train: DataFrame, id_col: str = "doc_id") -> dict | None:
 
 def identify(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
-    short_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
-    at_text = docs.columns.index(text_col)
 
-    def score(batches):
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def named(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = charfeat.letter_table()
-        for batch in slices(batches):
+        for column in columns:
             langs, scores = [], []
-            for text in batch.column(at_text).to_pylist():
-                at, tf = bins(text or "", table)
+            for text in texts(column):
+                at, tf = bins(text, table)
                 if at.size == 0 or model is None:
                     langs.append("und")
                     scores.append(0.0 if at.size else 1.0)
@@ -173,9 +177,11 @@ def identify(docs: DataFrame, model: dict | None, text_col: str = "text") -> Dat
                 best = int(p.argmax())
                 langs.append(model["langs"][best])
                 scores.append(float(p[best] / p.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    # One column first, for the text is scored once however often its parts are used.
+    found = docs.drop("lang_pred", "score").withColumn("__pl_found", named(F.col(f"`{text_col}`")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "__pl_found.lang_pred", "__pl_found.score")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

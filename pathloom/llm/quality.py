@@ -15,7 +15,7 @@ passes other columns through.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from operator import eq
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import labelled
-from pathloom.llm.common import id_crc, release, short_batches, slices
+from pathloom.llm.common import arrow_rows, id_crc, release, slices, texts
 
 #: Labelled documents of each class the field is fitted on at most.
 PER_CLASS = {0: 1500, 1: 2500}
@@ -175,7 +175,11 @@ def whole(x: np.ndarray, weight: np.ndarray, w: np.ndarray, trans: np.ndarray) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> dict:
-    short_batches(docs.sparkSession)
+    with arrow_rows(docs.sparkSession, 1000):
+        return _fit(docs, labels, modulus, held)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, modulus: int, held: int) -> dict:
     sample, prior = labelled.sample(docs, labels, "quality", modulus, held, PER_CLASS, 29)
     rows = {0: 0, 1: 0} | dict(sample.groupBy("y").count().collect())
     if not rows[0] or not rows[1]:
@@ -215,26 +219,24 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) ->
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score, the probability of good quality; a column of this name is replaced."""
-    short_batches(docs.sparkSession)
-    docs = docs.drop("score")
-    at_text = docs.columns.index(text_col)
 
-    def run(batches):
+    @F.arrow_udf(T.DoubleType())
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = kinds()
         if "w" in model:
             w = model["w"] / model["scale"]
             w[-1] -= model["mean"] @ w
-        for batch in slices(batches):
+        for column in columns:
             out = []
-            for text in batch.column(at_text).to_pylist():
+            for text in texts(column):
                 if "constant" in model:
                     out.append(model["constant"])
                     continue
-                x, weight = features(text or "", kind)
+                x, weight = features(text, kind)
                 out.append(1 / (1 + math.exp(-min(max(model["a"] * whole(x, weight, w, model["trans"]) + model["b"], -35), 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.array(out, pa.float64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.withColumn("score", good(F.col(f"`{text_col}`")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Whole texts become sets of hashed n-grams (order 3 to 5). On a bounded labelled sample the ratio of
-smoothed class frequencies gives each n-gram its log-count ratio; the FEATURES most significant
-ones, scaled by it, feed a logistic regression with an L2 penalty. The intercept is moved from the
-sample's class shares to those of all training labels.
-
-Null and empty texts are scored by the intercept. Repeated rows are scored alike. If training
-labels lack a class, every score is the share of class 1 (0 without labels). Columns of other names
-pass through ``score``.
+Whole texts become sets of hashed n-grams (order 3 to 5). On a bounded labelled sample the ratio of smoothed class
+frequencies gives each n-gram its log-count ratio: SMOOTH documents without any finding, at the classes' shares, are
+added, so what few documents hold says little of either class. A text's vector holds the ratios of its n-grams,
+scaled to length one. All n-grams take part: a logistic regression learns their weights by
+follow-the-regularised-leader with an elastic-net penalty. A second one, learnt without a fifth of the sample,
+is held against that fifth to fit the logistic curve that turns margins into probabilities, at the classes'
+shares of all training labels.
+
+Null and empty texts are scored by the intercept. Repeated rows are scored alike. If training labels lack a class,
+every score is the share of class 1 (0 without labels). Columns of other names pass through ``score``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,15 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import charfeat, labelled
-from pathloom.llm.common import id_crc, release, short_batches, slices
+from pathloom.llm.common import arrow_rows, id_crc, release, slices, texts
 
 BITS = 20
 ORDERS = (3, 4, 5)
-#: Labelled rows of each class the model is fitted on at most.
+#: Labelled rows of each class the model is fitted on at most; the driver holds their sets of n-grams.
 PER_CLASS = {1: 2000, 0: 4000}
-FEATURES = 1024
-SMOOTH = 1.0
-PENALTY = 2.0
+SMOOTH = 50.0
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 30.0, 0.1, 0.1, 0.1
+THRESHOLD = 0.3
 
 
 class Grams:
@@ -36,95 +41,146 @@ class Grams:
     def __init__(self):
         self.table = charfeat.letter_table()
 
-    def __call__(self, text: str) -> np.ndarray:
-        return np.unique(charfeat.hashed(charfeat.letters(text, self.table), ORDERS, BITS))
-
+    def every(self, text: str) -> np.ndarray:
+        """The bin of each n-gram as it comes."""
+        return charfeat.hashed(charfeat.letters(text, self.table), ORDERS, BITS)
 
-def class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of the sample with their document counts in class 0 and 1, counted where the texts are."""
-
-    def count(batches):
-        grams, both = Grams(), np.zeros((2, 1 << BITS), np.int32)
-        for batch in slices(batches):
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[y, grams(text)] += 1
-        at = np.flatnonzero(both.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(both[0, at], pa.int32()), pa.array(both[1, at], pa.int32())], ["bin", "n0", "n1"])
-
-    # Bins seen in a few documents can't be significant and stay away from the driver.
-    rows = sample.select("text", "y").mapInArrow(count, "bin int, n0 int, n1 int").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 4").toArrow()
-    return tuple(np.asarray(rows.column(c)) for c in ("bin", "n0", "n1"))
+    def __call__(self, text: str) -> np.ndarray:
+        return np.unique(self.every(text))
+
+
+def ratios(sets: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Log-count ratio of each of size n-grams over sets of them; 0 for what no set holds."""
+    counts = [np.zeros(size), np.zeros(size)]
+    for s, label in zip(sets, y.tolist(), strict=True):
+        counts[label][s] += 1
+    n = [float((y == label).sum()) for label in (0, 1)]
+    added = [SMOOTH * x / sum(n) for x in n]
+    logs = [np.log((c + a) / (x + a)) for c, a, x in zip(counts, added, n, strict=True)]
+    return np.where(counts[0] + counts[1] > 0, logs[1] - logs[0], 0.0)
+
+
+def vector(s: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Ratios of a set's n-grams, of length one."""
+    v = ratio[s]
+    return v / np.sqrt(v @ v + 1e-12)
+
+
+def ftrl(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression, by row in a seeded order; per-coordinate steps."""
+    z, n = np.zeros(ratio.size), np.zeros(ratio.size)
+    zb = nb = 0.0
+    rows = [vector(s, ratio) for s in sets]
+    order = np.random.default_rng(5)
+
+    def weights(zs, roots):
+        return (np.sign(zs) * L1 - zs) * (np.abs(zs) > L1) / ((BETA + roots) / ALPHA + L2)
+
+    for _ in range(EPOCHS):
+        for i in order.permutation(len(sets)).tolist():
+            at, v = sets[i], rows[i]
+            ns = n[at]
+            roots, rootb = np.sqrt(ns), np.sqrt(nb)
+            w, b = weights(z[at], roots), -zb * ALPHA / (BETA + rootb)
+            g0 = 1 / (1 + np.exp(-min(max(float(w @ v) + b, -35.0), 35.0))) - y[i]
+            g = g0 * v
+            ns += g * g
+            z[at] += g - (np.sqrt(ns) - roots) / ALPHA * w
+            n[at] = ns
+            nb += g0 * g0
+            zb += g0 - (np.sqrt(nb) - rootb) / ALPHA * b
+    return weights(z, np.sqrt(n)), float(-zb * ALPHA / (BETA + np.sqrt(nb)))
+
+
+def margins(sets: list[np.ndarray], ratio: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    return np.array([w[s] @ vector(s, ratio) + b for s in sets])
+
+
+def curve(raw: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that fits labels best, rows weighted; slightly held to slope 1, offset 0."""
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -35, 35)))
+        r, h = share * (p - y), share * p * (1 - p)
+        hess = np.array([[h @ (raw * raw) + 1e-3, h @ raw], [h @ raw, h.sum() + 1e-3]])
+        step = np.linalg.solve(hess, [r @ raw + 1e-3 * (a - 1), r.sum() + 1e-3 * b])
+        step *= min(1.0, 1 / max(1e-12, np.abs(step).max()))
+        a, b = a - step[0], b - step[1]
+    return max(a, 1e-3), b
+
+
+def learn(sets: list[np.ndarray], y: np.ndarray, prior: dict[int, int]) -> dict:
+    """A model from sets of bins with labels y; prior: numbers of all training labels."""
+    bins, flat = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
+    sets = np.split(flat.astype(np.int32), np.cumsum([s.size for s in sets])[:-1])
+    held = np.arange(len(y)) % 5 == 0
+    a, b = 1.0, 0.0
+    if len(set(y[held].tolist())) == 2 == len(set(y[~held].tolist())):
+        inner, outer = ([s for s, h in zip(sets, held, strict=True) if h == side] for side in (False, True))
+        ratio = ratios(inner, y[~held], bins.size)
+        share = np.where(y == 1, prior[1] / max(1, (y == 1).sum()), prior[0] / max(1, (y == 0).sum()))
+        a, b = curve(margins(outer, ratio, *ftrl(inner, y[~held], ratio)), y[held], share[held] / share.mean())
+    ratio = ratios(sets, y, bins.size)
+    w, at0 = ftrl(sets, y, ratio)
+    return {"bins": bins.astype(np.int32), "ratio": ratio.astype(np.float32), "w": w.astype(np.float32), "a": a, "b": a * at0 + b}
+
+
+class Scorer:
+    """Probabilities of texts under a model."""
+
+    def __init__(self, model: dict):
+        self.model, self.grams = model, Grams()
+        if "bins" in model:
+            self.place = np.full(1 << BITS, -1, np.int32)
+            self.place[model["bins"]] = np.arange(model["bins"].size)
+            self.seen = np.zeros(model["bins"].size, bool)
+
+    def __call__(self, text: str) -> float:
+        model = self.model
+        if "constant" in model:
+            return model["constant"]
+        at = self.place[self.grams.every(text)]
+        at = at[at >= 0]
+        # The model's n-grams in the text, each once: marks are quicker than sorting long lists.
+        self.seen[at] = True
+        at = np.flatnonzero(self.seen)
+        self.seen[at] = False
+        v = model["ratio"][at].astype(np.float64)
+        m = model["a"] * float(v @ model["w"][at]) / np.sqrt(v @ v + 1e-12) + model["b"]
+        return float(1 / (1 + np.exp(-min(max(m, -35.0), 35.0))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton steps; the intercept isn't penalised."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w, ridge = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, penalty), 1e-6)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x
-        hess[np.diag_indices_from(hess)] += ridge
-        step = np.linalg.solve(hess, grad)
-        w -= step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
-            break
-    return w[:-1], float(w[-1])
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> dict:
+    with arrow_rows(docs.sparkSession, 1000):
+        sample, prior = labelled.sample(docs, labels, "toxic", modulus, held, PER_CLASS, 23)
 
+        def featurise(batches):
+            grams = Grams()
+            for batch in slices(batches):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grams(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32())), batch.column(2)], ["h", "at", "y"])
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> dict:
-    short_batches(docs.sparkSession)
-    sample, prior = labelled.sample(docs, labels, "toxic", modulus, held, PER_CLASS, 23)
-    per = dict(sample.groupBy("y").count().collect())
-    if not per.get(0) or not per.get(1):
-        return {"constant": prior[1] / max(1, prior[0] + prior[1])}
-    at, n0, n1 = class_counts(sample)
-    ratio = np.log((n1 + SMOOTH) / (per[1] + 2 * SMOOTH)) - np.log((n0 + SMOOTH) / (per[0] + 2 * SMOOTH))
-    share = (n0 + n1) / (per[0] + per[1])
-    z = np.abs(n1 / per[1] - n0 / per[0]) / np.sqrt(share * (1 - share) * (1 / per[0] + 1 / per[1]) + 1e-12)
-    top = np.lexsort((at, -z))[:FEATURES]
-    at, ratio = at[top], ratio[top].astype(np.float32)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[at] = np.arange(at.size)
-
-    def featurise(batches):
-        grams = Grams()
-        for batch in slices(batches):
-            hits = [place[grams(t)] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([h[h >= 0] for h in hits], pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
-
-    got = sample.select("text", "y").mapInArrow(featurise, "at array<int>, y int").toArrow()
-    y = np.asarray(got.column("y"), np.float64)
-    x = np.zeros((len(y), at.size), np.float32)
-    for row, hits in enumerate(got.column("at").to_pylist()):
-        x[row, hits] = ratio[hits]
-    w, b = logistic(x, y, PENALTY)
-    b += np.log((prior[1] + 0.5) / (prior[0] + 0.5)) - np.log(per[1] / per[0])
+        got = sample.select("h", "text", "y").mapInArrow(featurise, "h long, at array<int>, y int").toArrow().combine_chunks()
     release(sample)
-    return {"at": at, "w": w * ratio, "b": b}
+    # In the order of the hashes by which the rows were drawn, so that runs agree.
+    order = np.argsort(np.asarray(got.column("h")), kind="stable")
+    y = np.asarray(got.column("y"))[order]
+    if len(set(y.tolist())) < 2:
+        return {"constant": prior[1] / max(1, prior[0] + prior[1])}
+    column = got.column("at").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return learn([np.asarray(column[int(i)].values) for i in order], y, prior)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score, the probability that the text is toxic; a column of this name is replaced."""
-    short_batches(docs.sparkSession)
-    docs = docs.drop("score")
-    at_text = docs.columns.index(text_col)
 
-    def run(batches):
-        grams, w = Grams(), np.zeros(1 << BITS, np.float32)
-        if "at" in model:
-            w[model["at"]] = model["w"]
-        for batch in slices(batches):
-            if "constant" in model:
-                out = [model["constant"]] * batch.num_rows
-            else:
-                out = [float(1 / (1 + np.exp(-np.clip(model["b"] + w[grams(t or "")].sum(dtype=np.float64), -35, 35)))) for t in batch.column(at_text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+    @F.arrow_udf(T.DoubleType())
+    def toxic(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(model)
+        for column in columns:
+            yield pa.array([scorer(t) for t in texts(column)], pa.float64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
-
-
-THRESHOLD = 0.3
+    return docs.withColumn("score", toxic(F.col(f"`{text_col}`")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pathloom.llm import charfeat, langid, quality, toxicity
+from pathloom.llm import charfeat, labelled, langid, quality, toxicity
 
 WORDS = {"en": "the of and in that with for this from was".split(), "de": "der die und ein nicht mit für auf das von".split(), "fr": "le la des et que pour dans avec sur une".split()}
 
@@ -75,7 +75,7 @@ def test_held_out_rows_and_labels_are_never_used(spark, frames, corpus):
     assert all(abs(base[d[0]] - got[d[0]]) < 1e-6 for d in turned if rest(d[0], 5))
     flipped = spark.createDataFrame([(i, q, 1 - t) if i is not None and t is not None and rest(i, 4) == 2 else (i, q, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
     one, two = (toxicity.fit(frames[0], x) for x in (frames[1], flipped))
-    assert (one["at"] == two["at"]).all() and np.allclose(one["w"], two["w"])
+    assert (one["bins"] == two["bins"]).all() and np.allclose(one["w"], two["w"])
 
 
 @pytest.mark.parametrize("module, column, m, held", [(quality, 1, 3, 1), (toxicity, 2, 4, 2)])
@@ -97,6 +97,30 @@ def test_without_labels_or_rows(spark, frames, module, empty):
     assert {r.lang_pred for r in langid.identify(frames[0].limit(3), None).collect()} == {"und"}
 
 
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    """50,000 rows of one id, of null ids and labels given often: a row per labelled id, however often it repeats."""
+    docs = [(1, f"t{i}") for i in range(50_000)] + [(None, "n")] * 50_000 + [(i, "x") for i in range(2, 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)] * 50 + [(i, i % 2) for i in range(2, 12)], "doc_id long, toxic int")
+    sample, counts = labelled.sample(df, labels, "toxic", 4, 2, {0: 3, 1: 4}, 23)
+    rows = sample.collect()
+    assert len(rows) <= 7 and max(sum(r.y == y for r in rows) for y in (0, 1)) <= 4 and sum(counts.values()) <= 11
+    assert not any(r.text != "x" and r.text != "t0" for r in rows)
+
+
+def test_language_sample_is_bounded(spark):
+    docs = [(1, "the same", "en")] * 30_000 + [(None, "der und", "de")] * 30_000 + [(i, "the of", "en") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert langid.sampled(df, "doc_id").count() == langid.TRAIN_ROWS
+
+
+def test_extra_columns_of_clashing_names(spark, frames):
+    df = frames[0].withColumn("__c0", toxicity.F.lit("z")).withColumn("lang_pred", toxicity.F.lit(9)).withColumn("at", toxicity.F.lit("q"))
+    out = langid.identify(df, None)
+    assert out.columns == ["doc_id", "text", "lang", "source", "__c0", "at", "lang_pred", "score"]
+    assert toxicity.score(df, {"constant": 0.5}).columns == df.columns == quality.score(df, {"constant": 0.5}).columns
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5):
