@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import written
+from pathloom.llm.common import release, written
 
 #: Links (two longs each) up to which one task finishes the grouping; counted before, contracted by joins beyond.
 LOCAL_LINKS = 1_000_000

@@ -17,9 +17,11 @@ verified on full shingle sets and followed by union-find:
 So no pair within a component known as such is emitted, and none that could connect two components is
 left out. A pair with similarity 0.75 shares a band with probability 0.9999.
 
-Null texts and texts without words have empty sets and link with nothing. Repeated rows share their
-class. A null doc_id has a null component and links nothing; rows under one id with different texts are
-judged by their own text. Columns of other names pass through drop_copies.
+Null texts and texts without words have empty sets and link with nothing. Classes have numbers of their
+own and rows are told apart by id and hash of the text, so ids may be of any type, repeat, or be null: every
+row is judged by its own text. component_id is the smallest id of the component, null if it has none; the kept
+row of a component is that with the smallest id (with null ids only: with the smallest text hash), and of
+repeated rows drop_copies keeps one. Columns of other names pass through drop_copies.
 """
 
 from __future__ import annotations
@@ -28,16 +30,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pathloom.llm.common import arrow_rows, release, slices, small, written
+from pathloom.llm.common import arrow_rows, release, scope, slices, small, written
 from pathloom.llm.components import components
 
 SHINGLE, BANDS, ROWS, FIRST, LEADERS = 5, 24, 4, 4, 3
 PLACES = BANDS * ROWS
 #: 100 * intersection >= SIMILAR * union
 SIMILAR = 75
+#: Entries of one shingle that meet in one task.
+BLOCK = 1000
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,14 +125,18 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return h
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (two longs) and its band keys, null for empty sets; written."""
+    """doc_id, text hash th, n_shingles, the set's digest (two longs) and its band keys, null for empty sets; written."""
 
     def run(batches):
         shingler = Shingler()
         for batch in slices(batches):
             n, one, two, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingler(text or "")
                 n.append(s.size)
                 if s.size:
@@ -139,28 +148,46 @@ def signatures(docs: DataFrame) -> DataFrame:
                     one.append(None)
                     two.append(None)
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "n_shingles", "d1", "d2", "bands"])
+
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
+    fields = [rows.schema["doc_id"], T.StructField("th", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2")], T.StructField("bands", T.ArrayType(T.LongType()))]
+    return written(rows.mapInArrow(run, T.StructType(fields)), "signatures")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+def classes_of(sigs: DataFrame) -> DataFrame:
+    """A row per distinct set that isn't empty: digest, number (node), size n, band keys, and one document of it (id_, th_); written.
+
+    Numbers are given as the rows are written, once and for all; what they are changes no result.
+    """
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th")))
+    one = sigs.where("n_shingles > 0").groupBy("d1", "d2").agg(smallest.alias("x"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    return written(one.select("d1", "d2", F.monotonically_increasing_id().alias("node"), "n", "bands", F.col("x.id").alias("id_"), F.col("x.th").alias("th_")), "classes")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents with these ids, set as array of shingle hashes; written."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, set) of the classes with these numbers (id), set as array of shingle hashes; written."""
 
     def run(batches):
         shingler = Shingler()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t or "").view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids, ids.count()), "id")
-    return written(rows.select("id", "text").mapInArrow(run, "id long, set array<long>"), "sets")
+    n = nodes.count()
+    wanted = written(classes.select("node", "id_", "th_").join(small(nodes, n), F.col("node") == F.col("id")).select("node", "id_", "th_"), "wanted")
+    texts = docs.select("doc_id", "text").withColumn("th", text_hash(F.col("text")))
+    texts = texts.join(small(wanted, n), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")))
+    # Rows repeated with id and text give their class one set; beyond the broadcast, the join has put them together already.
+    texts = texts.groupBy("doc_id", "th").agg(F.first("node").alias("id"), F.first("text").alias("text"))
+    out = written(texts.select("id", "text").mapInArrow(run, "id long, set array<long>"), "sets")
+    release(wanted)
+    return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough; written."""
     ids = written(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
-    sets = shingle_sets(docs, ids)
+    sets = shingle_sets(docs, classes, ids)
     right = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
     both = right.join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u")
     common = F.size(F.array_intersect("su", "sv"))
@@ -174,16 +201,16 @@ def comparable(n: str, m: str):
     return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
-def across(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes (node, n, comp) of different components that may be similar enough: none that is gets lost.
+def across(docs: DataFrame, classes: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of open classes (node, n, comp) of different components that may be similar enough: none that is gets lost.
 
     Two sets are similar only if they share 3/7 of their sizes' sum. In a common order of shingles, a pair's first
     common one at places i and j leaves at most 1 + min(n - i, m - j) common shingles. Shingles held in one
     component alone can't be common to a pair; they come first in the order and cost nothing more.
     """
     need = lambda n, m: 3 * (n + m)  # noqa: E731  in sevenths
-    sets = shingle_sets(docs, classes.select(F.col("node").alias("id")))
-    tokens = sets.join(classes, F.col("id") == F.col("node")).select("node", "n", "comp", F.explode("set").alias("tok"))
+    sets = shingle_sets(docs, classes, open_.select(F.col("node").alias("id")))
+    tokens = sets.join(open_, F.col("id") == F.col("node")).select("node", "n", "comp", F.explode("set").alias("tok"))
     live = tokens.groupBy("tok").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok", "f")
     order = tokens.join(live, "tok").groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("ts"))
     order = order.select("node", "n", "comp", F.size("ts").alias("live"), F.posexplode("ts").alias("at", "t"))
@@ -193,29 +220,41 @@ def across(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # The smallest set behind a shingle tightens how early it has to come.
     least = entries.groupBy("tok").agg(F.min("n").alias("least"))
     entries_ = entries.join(least, "tok").where(room >= need(F.col("n"), F.greatest(0.75 * F.col("n"), F.col("least")))).drop("least")
-    mixed = entries_.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+    mixed = entries_.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo < hi")
+    mixed = mixed.select("tok", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks"))
     kept = written(entries_.join(mixed, "tok"), "entries")
-    x, y = (kept.select("tok", *[F.col(c).alias(c + t) for c in ("node", "n", "comp", "i")]) for t in "xy")
-    pairs = x.join(y, "tok").where(
-        (F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy")) & comparable("nx", "ny")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # Block pair (i, j) with i <= j: entries of block i on the left, of block j on the right.
+    left = kept.withColumn("i_", block).withColumn("j_", F.explode(F.sequence(F.col("i_"), F.col("blocks") - 1)))
+    right = kept.withColumn("j_", block).withColumn("i_", F.explode(F.sequence(F.lit(0), F.col("j_"))))
+    x, y = (t.select("tok", "i_", "j_", *[F.col(c).alias(c + u) for c in ("node", "n", "comp", "i")]) for t, u in ((left, "x"), (right, "y")))
+    pairs = x.join(y, ["tok", "i_", "j_"]).where(
+        ((F.col("nodex") < F.col("nodey")) | (F.col("i_") < F.col("j_"))) & (F.col("compx") != F.col("compy")) & comparable("nx", "ny")
         & (7 * (1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))) >= need(F.col("nx"), F.col("ny")))
-    )
-    out = written(pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct(), "across")
+    )
+    out = written(pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct(), "across")
     release(sets, entries, kept)
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows; and of every class its digest (d1, d2) and its component's first document (head, head_th); both written."""
     # Everything in Python is written before this returns.
-    with arrow_rows(docs.sparkSession, 1000):
-        return _near_duplicates(docs)
-
-
-def _near_duplicates(docs: DataFrame) -> DataFrame:
-    sigs = signatures(docs)
-    some = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    with arrow_rows(docs.sparkSession, 1000), scope() as keep:
+        sigs = signatures(docs)
+        classes = classes_of(sigs)
+        labels = linked(docs, classes)
+        groups = classes.select("d1", "d2", F.col("node").alias("comp"), F.struct(F.col("id_").isNull().alias("none"), F.col("id_").alias("id"), F.col("th_").alias("th")).alias("x"))
+        if labels is not None:
+            groups = groups.join(labels, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "comp"))
+            groups = groups.select("d1", "d2", "comp").join(groups.groupBy("comp").agg(F.min("x").alias("x")), "comp")
+        groups = written(groups.select("d1", "d2", F.col("x.id").alias("head"), F.col("x.th").alias("head_th")), "groups")
+        keep += [sigs, groups]
+    return sigs, groups
+
+
+def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(node, label) of every class that isn't the smallest of its component; None without links."""
     buckets = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     crowded = buckets.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     members = written(buckets.join(crowded, ["band", "key"]).select("band", "key", "node", "n"), "buckets")
@@ -231,7 +270,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return
         compared.append(pairs)
-        links.append(verified(docs, pairs))
+        links.append(verified(docs, classes, pairs))
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
@@ -260,20 +299,33 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
 
     open_ = written(labelled().select("node", "n", "comp").distinct(), "open")
     if not open_.isEmpty():
-        round_(across(docs, open_))
+        round_(across(docs, classes, open_))
+    return labels
+
 
-    groups = classes.select("d1", "d2", F.col("node").alias("comp"))
-    if labels is not None:
-        groups = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("comp"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    sigs, groups = grouped(docs)
     out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(groups, ["d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that with the smallest id."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__pl_gone")).distinct(), "gone")
-    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("__pl_gone"), "left_anti")
+    """docs with one row of each group: that with the smallest id, of repeated rows any one."""
+    sigs, groups = grouped(docs)
+    rows = sigs.join(groups, ["d1", "d2"]).groupBy("doc_id", "th", "head", "head_th").agg(F.count("*").alias("n"))
+    kept = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("th") == F.col("head_th"))
+    # What goes, and of what stays the repeated rows.
+    marked = written(rows.where(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th"), kept.alias("__pl_again")), "gone")
+    release(sigs, groups)
+    again = marked.where("__pl_again").count()
+    at = F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (text_hash(F.col("text")) == F.col("__pl_th"))
+    out = docs.join(small(marked, marked.count()), at, "left_anti")
+    if again:
+        same = docs.join(small(marked.where("__pl_again"), again), at).groupBy("__pl_id", "__pl_th").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("x"))
+        out = out.unionByName(same.select("x.*"))
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -65,10 +66,68 @@ def test_large_near_group_with_outliers(spark):
 
 
 def test_repeated_rows_null_ids_and_empty(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x"), (None, "y z"), (None, None)], "doc_id long, text string")
     got = sorted([(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()], key=repr)
-    assert got == sorted([(1, 1, True), (1, 1, True), (2, 2, True), (None, None, True)], key=repr)
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 2, True), (None, 1, False), (None, None, True), (None, None, True)], key=repr)
+    assert minhash.near_duplicates(df.limit(0)).count() == 0 == minhash.drop_copies(df.limit(0)).count()
+
+
+def kept_rows(rows):
+    """Brute force over rows: of each group of linked texts the row with the smallest id, nulls last; rows without words all stay."""
+    named = {i: r for i, r in enumerate(rows)}
+    left = {c for i, _, c, _ in brute([(i, r[1]) for i, r in named.items()])}
+    out = []
+    for head in left:
+        members = [named[i] for i, _, c, _ in brute([(i, r[1]) for i, r in named.items()]) if c == head]
+        out.append(min(members, key=lambda r: (r[0] is None, r[0] or 0)))
+    return sorted(out, key=repr)
+
+
+def test_drop_copies_judges_rows_not_ids(spark):
+    rng = random.Random(8)
+    text = lambda t: " ".join(f"{t}{i}" for i in range(30))
+    near = lambda t: text(t) + " more"
+    rows = [(5, text("a")), (5, text("b")), (2, text("b")), (7, "x y"), (7, "x y"), (None, text("c")), (None, text("c")), (9, near("c")), (8, near("a")), (5, near("d")), (6, text("d")), (3, None), (3, None), (3, ""), (None, "only null")]
+    rng.shuffle(rows)
+    for kind in ("long", "string"):
+        cast = (lambda i: i) if kind == "long" else (lambda i: None if i is None else f"id{i}")
+        df = spark.createDataFrame([(cast(d), t, {"k": 1}) for d, t in rows], f"doc_id {kind}, text string, extra map<string,int>")
+        out = minhash.drop_copies(df)
+        assert out.columns == df.columns
+        assert sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == sorted([(cast(d), t) for d, t in kept_rows(rows)], key=repr)
+
+
+def test_one_row_repeated_many_times(spark):
+    rows = [(1, "a b c d e f g")] * 3000 + [(2, "a b c d e f g")] * 1000 + [(3, "a b c d e f g h"), (4, "other words are here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in minhash.drop_copies(df).collect()) == [1, 4]
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == {(1, 1, True): 3000, (2, 1, False): 1000, (3, 1, False): 1, (4, 4, True): 1}
+
+
+def test_shingles_common_to_many_classes_meet_in_blocks(spark, monkeypatch):
+    """The exact join alone, over components that share shingles, in blocks of three entries: no pair is lost or doubled."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(3)
+    docs = corpus(rng, 3, 25, [0, 1, 2, 6, 12])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = minhash.classes_of(minhash.signatures(df))
+    alone = classes.select("node", "n", minhash.F.col("node").alias("comp"))
+    pairs = [(r.a, r.b) for r in minhash.across(df, classes, alone).collect()]
+    assert len(pairs) == len(set(pairs)) and all(a != b for a, b in pairs)
+    links = {(r.u, r.v) for r in minhash.verified(df, classes, spark.createDataFrame(pairs, "u long, v long")).collect()}
+    names = {r.node: r.id_ for r in classes.collect()}
+    parent = {d: d for d in names.values()}
+    for _ in names:
+        for u, v in links:
+            parent[names[u]] = parent[names[v]] = min(parent[names[u]], parent[names[v]])
+    want = {d: c for d, _, c, _ in brute(docs)}
+    assert parent == {d: want[d] for d in parent}
+
+
+def test_very_long_text(spark):
+    words = [f"w{i % 7919}x{i % 104729}" for i in range(300_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:290_000])), (3, " ".join(words[:100_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_superminhash_is_the_elementwise_definition():
