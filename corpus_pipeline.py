@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import decontam, langid, minhash, mixing, sharding
-from pathloom.llm.common import shared_dir
+from pathloom.llm.common import release, scope, shared_dir, written
 
 #: Documents whose language is less certain go.
 LANGUAGE_SCORE = 0.5
@@ -17,9 +17,9 @@ LANGUAGE_SCORE = 0.5
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language the model is sure of; it learns from the documents it is given."""
     model = langid.fit(langid.training_rows(docs))
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(docs.columns)])
-    known = langid.identify(plain, model, f"c{docs.columns.index('text')}_")
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(docs.columns)])
+    at = [f"c{i}_" for i in range(len(docs.columns))]
+    known = langid.identify(docs.toDF(*at), model, at[docs.columns.index("text")])
+    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*[F.col(a).alias(c) for a, c in zip(at, docs.columns, strict=True)])
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and what led to it is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scope(docs) as keep:
+            out = stage(spark, docs, sf_dir)
+            last = name == STAGES[-1][0]
+            done = written(out, f"pipeline-{name}") if not last else shards(out)
+            keep.append(done)
+        release(docs)
+        docs = done
     return docs
+
+
+def shards(out: DataFrame) -> DataFrame:
+    """The last stage's result as a folder per shard, read again."""
+    spark = out.sparkSession
+    path = f"{shared_dir(spark)}/pipeline-shards-{uuid.uuid4().hex}"
+    sharding.write_shards(out, path)
+    return spark.read.schema(out.schema).parquet(path).select(*[F.col(f"`{c}`") for c in out.columns])
