@@ -29,11 +29,6 @@ def id_crc(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def slices(batches: Iterator, size: int = 256) -> Iterator:
     """Arrow batches cut into slices of a few rows, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -56,29 +56,29 @@ def record_hash(rows: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def numbered(rows: DataFrame, seed: int) -> tuple[DataFrame, int]:
-    """The rows as (row, k1, k2, copy), told apart by hashes and number among equals; and how many they are."""
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), record_hash(rows, seed).alias("k1"), record_hash(rows, seed + 1).alias("k2"))
-    groups = packed.groupBy("k1", "k2").agg(F.count("*").alias("c"))
-    n, most = groups.agg(F.sum("c"), F.max("c")).first()
+def numbered(rows: DataFrame, seed: int, size: Column) -> tuple[DataFrame, int, int]:
+    """The rows as (row, k1, k2, copy), told apart by hashes and number among equals; how many they are; and the sum of their sizes."""
+    k1, k2 = record_hash(rows, seed).alias("k1"), record_hash(rows, seed + 1).alias("k2")
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), k1, k2)
+    groups = rows.select(k1, k2, size.alias("size_")).groupBy("k1", "k2").agg(F.count("*").alias("c"), F.sum("size_").alias("size_"))
+    n, most, total = groups.agg(F.sum("c"), F.max("c"), F.sum("size_")).first()
     if (most or 0) < 2:
-        return packed.withColumn("copy", F.lit(0).cast("long")), n or 0
-    again = written(groups.where("c > 1"), "again")
+        return packed.withColumn("copy", F.lit(0).cast("long")), n or 0, total or 0
+    again = written(groups.where("c > 1").select("k1", "k2", "c"), "again")
     found = small(again, again.count())
     single = packed.join(found, ["k1", "k2"], "left_anti").withColumn("copy", F.lit(0).cast("long"))
     # One record of each kind, multiplied in blocks that different tasks take.
     one = packed.join(found, ["k1", "k2"]).groupBy("k1", "k2").agg(F.any_value("row").alias("row"), F.any_value("c").alias("c"))
     blocks = one.select("row", "k1", "k2", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(COPIES).cast("long"))).alias("from_")).repartition("k1", "k2", "from_")
     copies = blocks.select("row", "k1", "k2", F.explode(F.sequence("from_", F.least(F.col("from_") + COPIES, F.col("c")) - 1)).alias("copy"))
-    return single.select("row", "k1", "k2", "copy").unionByName(copies), n
+    return single.select("row", "k1", "k2", "copy").unionByName(copies), n, total
 
 
 def external_shuffle(rows: DataFrame, text_col: str = "text", shards: int = 16, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
     """The rows with shard and slot (gapless from 0 in each shard); columns of these names are replaced."""
     rows = rows.drop("shard", "slot")
-    total = rows.agg(F.sum(size_of(F.col(f"`{text_col}`")))).first()[0] or 0
+    records, n, total = numbered(rows, seed, size_of(F.col(f"`{text_col}`")))
     buckets = max(1, -(-total // bucket_bytes))
-    records, n = numbered(rows, seed)
     key = F.xxhash64(F.lit(seed + 2), "k1", "k2", "copy")
     records = records.select(F.pmod(key, F.lit(buckets)).cast("int").alias("bucket_"), F.struct(key.alias("k"), "k1", "k2", "copy", "row").alias("x_"))
 

@@ -110,8 +110,8 @@ def brute(rows, buckets, shards, n):
 def test_slots_against_a_plain_version(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
     placed = sharding.external_shuffle(df, bucket_bytes=100).collect()
-    records, n = sharding.numbered(df, 17)
-    total = sum(len(f"t{i}") + 1 for i in range(200))
+    records, n, total = sharding.numbered(df, 17, sharding.size_of(sharding.F.col("text")))
+    assert total == sum(len(f"t{i}") + 1 for i in range(200))
     buckets = -(-total // 100)
     key = sharding.F.xxhash64(sharding.F.lit(19), "k1", "k2", "copy")
     home = {r.doc_id: r.b for r in records.select("row.doc_id", sharding.F.pmod(key, sharding.F.lit(buckets)).alias("b")).collect()}
