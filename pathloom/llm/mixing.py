@@ -18,26 +18,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SOURCES = {f"src{i}": 0.05 for i in range(20)}
 LANGUAGES = {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.12}
 TOPICS = {"prose": 0.9, "tabular": 0.03, "contact": 0.03, "legal": 0.04}
 ROUNDS = 20
-#: Only the SQL text below still holds boosts to this; the two agree where no boost is larger.
-MAX_BOOST = 4.0
 SEED = 31
 REST = "(rest)"
 
 
 def topic_of(text: Column) -> Column:
     """Topic by the first marker that a text holds."""
-    return F.when(F.contains(text, F.lit(" | ")), "tabular").when(F.contains(text, F.lit("@")), "contact").when(text.rlike("(?i)license|copyright"), "legal").otherwise("prose")
+    low = F.lower(text)
+    legal = F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright"))
+    return F.when(F.contains(text, F.lit(" | ")), "tabular").when(F.contains(text, F.lit("@")), "contact").when(legal, "legal").otherwise("prose")
 
 
 def tokens_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Runs of characters other than space and \\x09 to \\x0D."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def draw(id_col: Column, seed: int = SEED) -> Column:
@@ -93,6 +94,18 @@ def mixed(docs: DataFrame, dims: Mapping[str, tuple[Column, Mapping[str, float]]
     return out.withColumnsRenamed(dict(zip(at, names, strict=True)))
 
 
+def report(out: DataFrame, dims: Mapping[str, tuple[Column, Mapping[str, float]]], text_col: str = "text") -> DataFrame:
+    """Of what mixed() gives, a row per dimension and category: tokens' natural share, target, share expected of the draw, and realised."""
+    n, p = tokens_of(F.col(text_col)), F.col("probability")
+    kinds = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in dims])).alias("k")
+    sums = out.select(kinds, n.alias("n"), (n * p).alias("e"), F.when(F.col("kept"), n).otherwise(0).alias("r")).groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "e", "r")])
+    every = Window.partitionBy("k.dimension")  # a few categories each
+    share = lambda c: F.col(c) / F.nullif(F.sum(c).over(every), F.lit(0))
+    aims = out.sparkSession.createDataFrame([(d, c, float(t)) for d, (_, target) in dims.items() for c, t in target.items()], "dimension string, category string, target double")
+    told = sums.select("k.dimension", "k.category", share("n").alias("natural"), share("e").alias("expected"), share("r").alias("realised"))
+    return told.join(F.broadcast(aims), ["dimension", "category"], "left")
+
+
 def dims_of() -> dict[str, tuple[Column, Mapping[str, float]]]:
     return {"source": (F.col("source"), SOURCES), "lang": (F.col("lang"), LANGUAGES), "topic": (topic_of(F.coalesce("text", F.lit(""))), TOPICS)}
 
@@ -129,7 +142,7 @@ def _oracle() -> str:
         for d in range(3):
             parts.append(f"w{k + 1} as materialized (select x.c0, x.c1, x.c2, x.nat, x.w * t.aim / s.s as w from w{k} x join t{d} t on t.c = x.c{d} join (select c{d} as c, sum(w) as s from w{k} group by 1) s on s.c = x.c{d})")
             k += 1
-    parts.append(f"b as materialized (select c0, c1, c2, least({MAX_BOOST}, w / nat) as b from w{k})")
+    parts.append(f"b as materialized (select c0, c1, c2, w / nat as b from w{k})")
     parts.append("r as materialized (select c0, c1, c2, b / (select max(b) from b) as p from b)")
     u = f"cast('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) / {1 << 48}.0::double"
     return f"with {', '.join(parts)} select doc_id, d.c0 as source, d.c1 as lang, d.c2 as topic, cast(n as bigint) as n_tokens, round(coalesce(p, 1.0), 6) as probability, {u} < coalesce(p, 1.0) as kept from d left join r using (c0, c1, c2)"

@@ -10,11 +10,7 @@ def test_raking_meets_the_targets():
     cells = {(s, l): rng.randrange(1, 1000) for s in "abc" for l in "xyz"}
     aims = [{"a": 0.5, "b": 0.3, "c": 0.2}, {"x": 0.1, "y": 0.3, "z": 0.6}]
     total = sum(cells.values())
-    old, mixing.MAX_BOOST = mixing.MAX_BOOST, 1e9
-    try:
-        boost = mixing.boosts(cells, aims)
-    finally:
-        mixing.MAX_BOOST = old
+    boost = mixing.boosts(cells, aims)
     for d, aim in enumerate(aims):
         for c, t in aim.items():
             assert abs(sum(n * boost[k] for k, n in cells.items() if k[d] == c) / total - t) < 1e-6
@@ -27,7 +23,7 @@ def test_rare_categories_meet_their_targets():
     cells = {("a", "x"): 900, ("a", "y"): 4, ("b", "x"): 90, ("b", "y"): 6}
     aims = [{"a": 0.5, "b": 0.5}, {"x": 0.8, "y": 0.2}]
     boost = mixing.boosts(cells, aims)
-    assert max(boost.values()) > mixing.MAX_BOOST
+    assert max(boost.values()) > 4
     for d, aim in enumerate(aims):
         for c, t in aim.items():
             assert abs(sum(n * boost[k] for k, n in cells.items() if k[d] == c) / 1000 - t) < 1e-6
@@ -53,8 +49,34 @@ def test_sampled_mixture(spark):
     en, de = share(lambda r: r.lang == "en"), share(lambda r: r.lang == "de")
     assert abs(en / (en + de) - 0.6) < 0.05 and max(r.probability for r in rows) == 1
     assert len({r.kept for r in rows if r.doc_id == 7}) == 1
+    told = {(r.dimension, r.category): r for r in mixing.report(out, dims).collect()}
+    assert set(told) == {("source", "hot"), ("source", "cold"), ("source", mixing.REST), ("lang", "en"), ("lang", "de"), ("lang", mixing.REST)}
+    assert abs(told["source", "hot"].realised - share(lambda r: r.source == "hot")) < 1e-9 and abs(told["source", "hot"].expected - 0.3) < 1e-6
+    assert told["source", "hot"].target == 0.3 and told["lang", mixing.REST].target is None
     assert mixing.sample(df).columns == df.columns
     clash = df.withColumns({"kept": F.lit(3), "topic": F.lit("mine"), "__pl_source": F.lit(1)})
     drawn = mixing.sample(clash)
     assert drawn.columns == clash.columns and {tuple(r) for r in drawn.select("kept", "topic", "__pl_source").distinct().collect()} == {(3, "mine", 1)}
     assert mixing.mixed(df.limit(0), dims).count() == 0
+
+
+def test_shares_on_the_tables(spark):
+    """Production parameters on the driver's documents: expected shares meet the targets, realised ones come near."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = mixing.report(mixing.mixed(docs.select("doc_id", "text", "source", "lang"), mixing.dims_of()), mixing.dims_of()).collect()
+    rest = {r.dimension: r.expected for r in told if r.category == mixing.REST}
+    for r in told:
+        if r.target is not None and r.dimension == "lang":
+            assert abs(r.expected - r.target * (1 - rest.get(r.dimension, 0.0))) < 1e-4
+            assert abs(r.realised - r.expected) < 0.1
+
+
+def test_tokens_are_runs_of_non_white_space(spark):
+    rng = random.Random(9)
+    odd = [chr(c) for c in range(128)] + ["é", "\u00a0", "\u2003", "𝔘", "ß", "中"]
+    texts = [None, "", " ", "a", " a  b\n", "w " * 200_000] + ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(400)]
+    white = " \t\n\x0b\x0c\r"
+    count = lambda t: sum(c not in white and (i == 0 or t[i - 1] in white) for i, c in enumerate(t))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = dict(df.select("i", mixing.tokens_of(F.col("t")).alias("n")).collect())
+    assert got == {i: count(t or "") for i, t in enumerate(texts)}
