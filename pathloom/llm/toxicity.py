@@ -70,7 +70,6 @@ def ftrl(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.n
     """Weights and intercept of the logistic regression, by row in a seeded order; per-coordinate steps."""
     z, n = np.zeros(ratio.size), np.zeros(ratio.size)
     zb = nb = 0.0
-    rows = [vector(s, ratio) for s in sets]
     order = np.random.default_rng(5)
 
     def weights(zs, roots):
@@ -78,8 +77,8 @@ def ftrl(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.n
 
     for _ in range(EPOCHS):
         for i in order.permutation(len(sets)).tolist():
-            at, v = sets[i], rows[i]
-            ns = n[at]
+            at = sets[i]
+            v, ns = vector(at, ratio), n[at]
             roots, rootb = np.sqrt(ns), np.sqrt(nb)
             w, b = weights(z[at], roots), -zb * ALPHA / (BETA + rootb)
             g0 = 1 / (1 + np.exp(-min(max(float(w @ v) + b, -35.0), 35.0))) - y[i]
@@ -109,10 +108,16 @@ def curve(raw: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, flo
     return max(a, 1e-3), b
 
 
-def learn(sets: list[np.ndarray], y: np.ndarray, prior: dict[int, int]) -> dict:
-    """A model from sets of bins with labels y; prior: numbers of all training labels."""
-    bins, flat = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
-    sets = np.split(flat.astype(np.int32), np.cumsum([s.size for s in sets])[:-1])
+def learn(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, prior: dict[int, int]) -> dict:
+    """A model from sets of bins, one after the other in flat (overwritten: it may be the driver's largest array), their sizes and labels y; prior: numbers of all training labels."""
+    seen = np.zeros(1 << BITS, bool)
+    seen[flat] = True
+    bins = np.flatnonzero(seen)
+    place = np.zeros(1 << BITS, np.int32)
+    place[bins] = np.arange(bins.size)
+    for start in range(0, flat.size, 1 << 20):
+        flat[start : start + (1 << 20)] = place[flat[start : start + (1 << 20)]]
+    sets = np.split(flat, np.cumsum(sizes)[:-1])
     held = np.arange(len(y)) % 5 == 0
     a, b = 1.0, 0.0
     if len(set(y[held].tolist())) == 2 == len(set(y[~held].tolist())):
@@ -159,16 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) ->
             for batch in slices(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grams(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32())), batch.column(2)], ["h", "at", "y"])
 
-        got = sample.select("h", "text", "y").mapInArrow(featurise, "h long, at array<int>, y int").toArrow().combine_chunks()
+        got = sample.select("h", "text", "y").mapInArrow(featurise, "h long, at array<int>, y int").toArrow()
     release(sample)
     # In the order of the hashes by which the rows were drawn, so that runs agree.
     order = np.argsort(np.asarray(got.column("h")), kind="stable")
     y = np.asarray(got.column("y"))[order]
     if len(set(y.tolist())) < 2:
         return {"constant": prior[1] / max(1, prior[0] + prior[1])}
-    column = got.column("at").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return learn([np.asarray(column[int(i)].values) for i in order], y, prior)
+    lists = [x for c in got.column("at").chunks for x in np.split(np.asarray(c.flatten()), np.cumsum(np.diff(np.asarray(c.offsets)))[:-1])]
+    lists = [lists[i] for i in order]
+    flat, sizes = np.concatenate(lists), np.array([x.size for x in lists])
+    del lists, got
+    pa.default_memory_pool().release_unused()
+    return learn(flat, sizes, y, prior)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
