@@ -201,6 +201,21 @@ def comparable(n: str, m: str):
     return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
+def with_token(entries: DataFrame, table: DataFrame) -> DataFrame:
+    """Entries joined with what table says of their shingle (tok, f: how many entries it has).
+
+    Shingles with more than BLOCK entries are few, at most one for every BLOCK entries: their rows are broadcast (in the
+    bounds of small()), so their entries needn't meet in one task.
+    """
+    table = written(table, "tokens")
+    hot = table.where(F.col("f") > BLOCK)
+    n = hot.count()
+    if not n:
+        return entries.join(table, "tok")
+    rest = entries.join(small(hot.select("tok"), n), "tok", "left_anti").join(table.where(F.col("f") <= BLOCK), "tok")
+    return rest.unionByName(entries.join(small(hot, n), "tok"))
+
+
 def across(docs: DataFrame, classes: DataFrame, open_: DataFrame) -> DataFrame:
     """Pairs (a, b) of open classes (node, n, comp) of different components that may be similar enough: none that is gets lost.
 
@@ -212,17 +227,17 @@ def across(docs: DataFrame, classes: DataFrame, open_: DataFrame) -> DataFrame:
     sets = shingle_sets(docs, classes, open_.select(F.col("node").alias("id")))
     tokens = sets.join(open_, F.col("id") == F.col("node")).select("node", "n", "comp", F.explode("set").alias("tok"))
     live = tokens.groupBy("tok").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok", "f")
-    order = tokens.join(live, "tok").groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("ts"))
+    order = with_token(tokens, live).groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("ts"))
     order = order.select("node", "n", "comp", F.size("ts").alias("live"), F.posexplode("ts").alias("at", "t"))
     order = order.select("node", "n", "comp", F.col("t.tok").alias("tok"), (F.col("n") - F.col("live") + F.col("at") + 1).alias("i"))
     room = 7 * (F.col("n") - F.col("i") + 1)
     entries = written(order.where(room >= need(F.col("n"), 0.75 * F.col("n"))), "entries")
     # The smallest set behind a shingle tightens how early it has to come.
-    least = entries.groupBy("tok").agg(F.min("n").alias("least"))
-    entries_ = entries.join(least, "tok").where(room >= need(F.col("n"), F.greatest(0.75 * F.col("n"), F.col("least")))).drop("least")
+    least = entries.groupBy("tok").agg(F.min("n").alias("least"), F.count("*").alias("f"))
+    entries_ = with_token(entries, least).where(room >= need(F.col("n"), F.greatest(0.75 * F.col("n"), F.col("least")))).drop("least", "f")
     mixed = entries_.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo < hi")
-    mixed = mixed.select("tok", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks"))
-    kept = written(entries_.join(mixed, "tok"), "entries")
+    mixed = mixed.select("tok", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks"), "f")
+    kept = written(with_token(entries_, mixed).drop("f"), "entries")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # Block pair (i, j) with i <= j: entries of block i on the left, of block j on the right.
     left = kept.withColumn("i_", block).withColumn("j_", F.explode(F.sequence(F.col("i_"), F.col("blocks") - 1)))
