@@ -6,10 +6,12 @@ common table expressions; arrays are compared as joined text, scores rounded to
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions import abbreviated, first_label, list_literal, max_scaled, metapath_text, minmax_scaled
+from pathloom.functions import abbreviated_metaedge, abbreviated_metapath, first_label, list_literal, max_scaled, metaedge_text, minmax_scaled, rule_text
 from pathloom.operators import decision_set as D
 from pathloom.operators import graph as G
 from pathloom.operators import metrics as E
@@ -19,7 +21,7 @@ from pathloom.operators import rules as R
 from pathloom.operators import samples as S
 from pathloom.operators import thresholds as T
 from pathloom.plans.fixture import Fixture, fixture
-from pathloom.sources.stages import written
+from pathloom.sources.stages import shared_dir, written
 
 #: Share of all pair weight for sets of metapaths, and for shared-node conditions.
 SET_RATIO, UNIF_RATIO = 0.02, 0.001
@@ -309,7 +311,12 @@ def sample_weights(k):
 
 @query("select pair_id, a, b, weight from neg")
 def negatives(k):
-    return k.negatives.select("pair_id", "a", "b", "weight")
+    """Pairs of names in either order, resolved and oriented."""
+    named = k.nodes.select("id", "name")
+    turned = F.pmod(F.xxhash64("pair_id"), F.lit(2)) == 0
+    ends = k.negatives.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("y"), "weight")
+    raw = ends.join(named.toDF("x", "gene_1"), "x").join(named.toDF("y", "gene_2"), "y").select("gene_1", "gene_2", "weight", F.monotonically_increasing_id().alias("line"))
+    return S.negatives(raw, k.nodes, "name").select(F.concat_ws("|", "a", "b").alias("pair_id"), "a", "b", "weight")
 
 
 @query("select pair_id, label, weight from sam")
@@ -614,12 +621,96 @@ def analytics_rows(k):
     return train_analytics("all", {}, _rules(k), _cover(k), k.samples).select("training_positive_coverage", "training_negative_coverage", "training_number_of_rules")
 
 
-@query("""select distinct mp, array_to_string(case len(es) when 1 then es when 2 then [es[1], a1, es[2]] else [es[1], a1, es[2], a2, es[3]] end, '--') short from (select p.*, (select min(ab) from n where t=ts[1]) a1, (select min(ab) from n where t=ts[2]) a2 from p) q""")
+_SHORT = "case len(es) when 1 then substr(es[1],1,3) when 2 then substr(es[1],1,3)||a1||substr(es[2],1,3) else substr(es[1],1,3)||a1||substr(es[2],1,3)||a2||substr(es[3],1,3) end"
+
+
+def _dictionaries(k: Fixture) -> DataFrame:
+    """One row: abbreviations of node types, and of edge labels (their first three letters)."""
+    of = lambda df, name, short: df.select(F.col(name).alias("name"), short.alias("short")).distinct().agg(F.map_from_entries(F.collect_list(F.struct("name", "short"))).alias("d"))
+    types = of(G.nomenclature(k.graph), "name", F.col("short")).withColumnRenamed("d", "types_d")
+    return types.crossJoin(of(G.edge_types(k.graph), "label", F.substring("label", 1, 3)).withColumnRenamed("d", "labels_d"))  # one row each
+
+
+@query(f"""select distinct mp, 'sup'||{_SHORT}||'sup' as short from (select p.*, (select min(ab) from n where t=ts[1]) a1, (select min(ab) from n where t=ts[2]) a2 from p) q""")
 def abbreviations(k):
-    short = F.map_from_entries(F.collect_list(F.struct("name", "short")))
-    words = G.nomenclature(k.graph).agg(short.alias("d"))
     mps = k.paths.select("mp", "edges", "types").distinct()
-    return mps.join(F.broadcast(words)).select("mp", metapath_text(F.col("edges"), abbreviated(F.col("types"), F.col("d"))).alias("short"))
+    return mps.join(F.broadcast(_dictionaries(k))).select("mp", abbreviated_metapath(F.col("edges"), F.col("types"), F.col("types_d"), F.col("labels_d"), "S").alias("short"))
+
+
+@query("select distinct ut src_type, l label, vt dst_type, (select min(ab) from n where t=ut)||substr(l,1,3)||(select min(ab) from n where t=vt) short, ut||'--'||l||'--'||vt pretty from adj")
+def metaedge_abbreviations(k):
+    edges = G.metaedge_statistics(k.graph).select("src_type", "label", "dst_type")
+    ends = (F.col("src_type"), F.col("label"), F.col("dst_type"))
+    return edges.join(F.broadcast(_dictionaries(k))).select(*ends, abbreviated_metaedge(*ends, F.col("types_d"), F.col("labels_d")).alias("short"), metaedge_text(*ends).alias("pretty"))
+
+
+@query("select cast(rule_id as int) rule_id, 'R'||rule_id||': '||pattern||' -> 1 | Positive matches: '||count(distinct case when label=1 then pair_id end)||' | Negative matches: '||count(distinct case when label=0 then pair_id end) as text from rules join cov using(rule_id) group by rule_id, pattern")
+def rule_texts(k):
+    n = lambda y: F.countDistinct(F.when(F.col("label") == y, F.col("pair_id")))
+    counts = _cover(k).select("rule_id", "pair_id").join(k.samples.select("pair_id", "label"), "pair_id").groupBy("rule_id").agg(n(1).alias("pos"), n(0).alias("neg"))
+    return _rules(k).join(counts, "rule_id").select("rule_id", rule_text(F.col("rule_id"), F.col("pattern"), F.col("pos"), F.col("neg")).alias("text"))
+
+
+def _folder(k: Fixture, name: str) -> str:
+    return f"{shared_dir(k.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""select ens_id_a, ens_id_b, proba, place from (select split_part(pair_id,'|',1) ens_id_a, split_part(pair_id,'|',2) ens_id_b, round(proba,6) proba, row_number() over (order by round(proba,9) desc, split_part(pair_id,'|',1), split_part(pair_id,'|',2)) place from pred) z
+  union all select null, null, -1, (select count(*) from pred)+1""")
+def predictions_file(k):
+    """Written as one file and read again: order, names and the unresolved pair last."""
+    from pathloom.sources import readers, sinks
+
+    path = _folder(k, "predictions")
+    unresolved = k.spark.createDataFrame([("nobody", "none")], "gene_1 string, gene_2 string")
+    sinks.write_predictions(sinks.prediction_rows(_scored(k).join(k.samples.select("pair_id", "a", "b"), "pair_id"), k.nodes, unresolved), path, single_file=True)
+    back = readers.read_delimited(k.spark, path).withColumn("at", F.monotonically_increasing_id())
+    proba = F.col("predicted_proba").cast("double")
+    blank = lambda c: F.when(F.length(c) > 0, F.when(F.col(c) != '""', F.col(c)))
+    return back.select(blank("ens_id_A").alias("ens_id_a"), blank("ens_id_B").alias("ens_id_b"), F.when(F.isnan(proba), -1.0).otherwise(F.round(proba, 6)).alias("proba"), F.row_number().over(Window.partitionBy().orderBy("at")).cast("long").alias("place"))
+
+
+@query("select a, b, round(weight,6) weight from pairs")
+def holdout_file(k):
+    """Pairs written, read as a pair file with header and resolved against the graph."""
+    from pathloom.sources import readers, sinks
+
+    path = _folder(k, "holdout")
+    sinks.write_holdout(k.pairs, path, with_weight=True)
+    found, _ = S.resolve_pairs(readers.read_pairs(k.spark, path, header=True), k.nodes, "id")
+    return found.select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query("select pair_id, round(proba,6) proba, n_rules from pred")
+def model_file(k):
+    """Predictions of a model that was saved and loaded."""
+    from pathloom.sources.models import load_model, save_model
+
+    path = _folder(k, "model")
+    save_model(_all_rules_set(k), path)
+    return load_model(k.spark, path).predict(k.samples, k.all_paths).select("pair_id", F.round("proba", 6).alias("proba"), "n_rules")
+
+
+@query("select 'all' sample_name, '0.5' alpha, cast(count(distinct case when label=1 then pair_id end) as varchar) pos, cast(count(distinct case when label=0 then pair_id end) as varchar) neg, cast(count(distinct rule_id) as varchar) n_rules from cov")
+def analytics_file(k):
+    """Training analytics appended to a folder and read again."""
+    from pathloom.sources import readers, sinks
+
+    path = _folder(k, "analytics")
+    run = sinks.append_analytics(sinks.train_analytics("all", {"alpha": 0.5}, _rules(k), _cover(k), k.samples), path, "train")
+    back = readers.read_delimited(k.spark, f"{path}/train/run={run}")
+    return back.select("sample_name", "alpha", F.col("training_positive_coverage").alias("pos"), F.col("training_negative_coverage").alias("neg"), F.col("training_number_of_rules").alias("n_rules"))
+
+
+@query("select pair_id, mp, count(*) n, round(max(score),6) best from p group by all")
+def cached_paths(k):
+    """Paths from the stage cache, the second time from its store."""
+    from pathloom.sources.stages import StageCache
+
+    cache = StageCache(_folder(k, "cache"))
+    for build in (lambda: k.paths, lambda: k.paths.limit(0)):
+        out = cache.get_or_store(k.spark, "paths", build, cutoff=3, tables=k.dir)
+    return out.groupBy("pair_id", "mp").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
 @query("select o_orderkey, 'Order' first_label, o_orderpriority item, strftime(o_orderdate, '%d/%m/%Y') as day from orders")

@@ -12,6 +12,7 @@ from pathloom.plans import workflow
 from pathloom.plans.workflow import Params
 from pathloom.sources import sinks
 from pathloom.sources.models import load_model, save_model
+from pathloom.sources.packaging import session
 from pathloom.sources.readers import pair_literal, read_graphml, read_pairs
 from pathloom.operators.graph import Graph
 from pathloom.sources.stages import StageCache, load_params
@@ -23,7 +24,7 @@ GENE_KEYS = {"Ensembl": "id", "HGNC": "name"}
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pathloom", description=__doc__)
     p.add_argument("action", choices=["train", "predict", "explain", "evaluate", "test"])
-    p.add_argument("--kg", required=True, help="graph file")
+    p.add_argument("--kg", help="graph file")
     p.add_argument("--model", help="folder of a trained model")
     p.add_argument("--input", help="pair file (predict) or pair A,B (explain)")
     p.add_argument("--gene_id_format", choices=list(GENE_KEYS), default="HGNC")
@@ -36,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max_rule_length", type=int)
     p.add_argument("--alpha", type=float)
     p.add_argument("--include_phenotypes", action="store_true", default=None)
+    p.add_argument("--paths", help="JSON file with kg, neutral_pairs, model, cache, analytics_output; options given here override it")
+    p.add_argument("--spark_config", help="JSON file of Spark settings")
     p.add_argument("--params", help="JSON file of parameters; options given here override it")
     p.add_argument("--analysis_name", default="analysis")
     p.add_argument("--analytics_output")
@@ -62,10 +65,14 @@ def load_graph(spark: SparkSession, args: argparse.Namespace) -> Graph:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     args = parser().parse_args(argv)
+    if args.paths:
+        given = load_params(args.paths, dict.fromkeys(("kg", "neutral_pairs", "model", "cache", "analytics_output")))
+        for key, value in given.items():
+            setattr(args, key, getattr(args, key) or value)
+    if not args.kg:
+        raise SystemExit("a graph file is needed: --kg, or kg in --paths")
     params = params_of(args)
-    if spark is None:
-        builder = SparkSession.builder.appName("pathloom")
-        spark = (builder.master(args.master) if args.master else builder).getOrCreate()
+    spark = spark or session("pathloom", args.master, args.spark_config)
     graph = load_graph(spark, args)
     key = GENE_KEYS[args.gene_id_format]
     if args.action in ("train", "evaluate"):

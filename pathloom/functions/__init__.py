@@ -2,6 +2,8 @@
 
 from pathloom.functions.scalars import (
     abbreviated,
+    abbreviated_metaedge,
+    abbreviated_metapath,
     combined_context,
     confidence_level,
     context_valid,
@@ -9,14 +11,16 @@ from pathloom.functions.scalars import (
     is_before,
     list_literal,
     max_scaled,
+    metaedge_text,
     metapath_key,
     metapath_text,
     minmax_scaled,
     oriented,
+    rule_text,
     valid_support,
 )
 
 __all__ = [
-    "abbreviated", "combined_context", "confidence_level", "context_valid", "first_label", "is_before", "list_literal",
-    "max_scaled", "metapath_key", "metapath_text", "minmax_scaled", "oriented", "valid_support",
+    "abbreviated", "abbreviated_metaedge", "abbreviated_metapath", "combined_context", "confidence_level", "context_valid", "first_label", "is_before", "list_literal",
+    "max_scaled", "metaedge_text", "metapath_key", "metapath_text", "minmax_scaled", "oriented", "rule_text", "valid_support",
 ]

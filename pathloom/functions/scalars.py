@@ -64,6 +64,31 @@ def abbreviated(names: Column, dictionary: Column) -> Column:
     return F.transform(names, lambda x: F.coalesce(F.try_element_at(dictionary, x), x))
 
 
+def abbreviated_metapath(edges: Column, types: Column, types_dict: Column, labels_dict: Column, end: str | None = None) -> Column:
+    """A metapath as short as it gets: end type, then labels and node types in turn, then end type, all by their abbreviations and without separator."""
+    name = lambda x, d: F.coalesce(F.try_element_at(d, x), x)
+    steps = F.flatten(F.zip_with(edges, types, lambda e, t: F.array(name(e, labels_dict), name(t, types_dict))))
+    ends = F.array(name(F.lit(end), types_dict)) if end else F.array().cast("array<string>")
+    return F.array_join(F.concat(ends, steps, ends), "")
+
+
+def abbreviated_metaedge(src_type: Column, label: Column, dst_type: Column, types_dict: Column, labels_dict: Column) -> Column:
+    name = lambda x, d: F.coalesce(F.try_element_at(d, x), x)
+    return F.concat(name(src_type, types_dict), name(label, labels_dict), name(dst_type, types_dict))
+
+
+def metaedge_text(src_type: Column, label: Column, dst_type: Column) -> Column:
+    """A metaedge for readers."""
+    return F.concat_ws("--", src_type, label, dst_type)
+
+
+def rule_text(rule_id: Column, pattern: Column, positives: Column, negatives: Column | None = None, thresholds: Column | None = None, consequent: Column | int = 1) -> Column:
+    """A rule for readers: number, pattern (with thresholds, if it has any), class, and how many samples match."""
+    limits = F.lit("") if thresholds is None else F.coalesce(F.concat(F.lit(" [THR= "), F.array_join(F.transform(thresholds, lambda t: F.format_string("%.4f", t)), ", "), F.lit("]")), F.lit(""))
+    out = F.concat(F.lit("R"), rule_id.cast("string"), F.lit(": "), pattern, limits, F.lit(" -> "), (F.lit(consequent) if isinstance(consequent, int) else consequent).cast("string"), F.lit(" | Positive matches: "), positives.cast("string"))
+    return out if negatives is None else F.concat(out, F.lit(" | Negative matches: "), negatives.cast("string"))
+
+
 def max_scaled(value: Column, largest: float | None = None) -> Column:
     """value over a given largest value or that of all rows."""
     return value / (F.lit(float(largest)) if largest is not None else F.max(value).over(Window.partitionBy()))

@@ -1,7 +1,8 @@
 """Bounded simple paths between entity pairs, as joins over the adjacency.
 
-Half paths grow from the distinct first ends and towards the distinct second ends, not from pairs, and
-meet in the middle; only then the pairs asked for are picked. Forbidden node types, non-positive scores
+Half paths grow from the distinct first ends and towards the distinct second ends, not from pairs. The near
+halves then take the second ends of their pairs, and both halves meet on middle node and second end together: a
+hub in the middle joins only what some pair asks for, and its paths spread over the ends. Forbidden node types, non-positive scores
 and broken contexts are dropped at every hop, so no doomed path grows.
 """
 
@@ -62,23 +63,22 @@ def enumerate_paths(pairs: DataFrame, adjacency: DataFrame, cutoff: int = 3, for
             for k in range(1, n + 1):
                 if k not in half:
                     half[k] = _grown(half[k - 1], steps, forward)
-        found = _met(near[f], far[g], f) if found is None else found.unionByName(_met(near[f], far[g], f))
-    found = found.join(pairs.select("pair_id", "a", "b"), ["a", "b"])
+        met = _met(near[f].join(pairs.select("pair_id", F.col("a").alias("end"), "b"), "end"), far[g], f)
+        found = met if found is None else found.unionByName(met)
     found = found.groupBy("pair_id", "edges", "types", "nodes").agg(F.exp(F.max("log") / F.size("edges")).alias("score"))
     return found.select("pair_id", "edges", "types", metapath_key(F.col("edges"), F.col("types")).alias("mp"), "nodes", "score")
 
 
 def _met(near: DataFrame, far: DataFrame, f: int) -> DataFrame:
-    """Paths of half paths that end at the same node and share no other."""
+    """Paths of the near half paths of pairs and far ones that end at the same node, lead to the pair's second end and share no other node."""
     x, y = near.alias("x"), far.alias("y")
-    j = x.join(y, F.col("x.tip") == F.col("y.tip"))
+    j = x.join(y, (F.col("x.tip") == F.col("y.tip")) & (F.col("x.b") == F.col("y.end")))
     j = j.where((F.col("x.end") != F.col("y.end")) & ~F.array_contains("x.nodes", F.col("y.end")) & ~F.array_contains("y.nodes", F.col("x.end")) & ~F.arrays_overlap("x.nodes", "y.nodes"))
     # With near half paths of no hop the meeting node is the first end itself; any other is an inner node.
     middle = [F.array("x.tip")] if f else []
     middle_type = [F.array("x.tip_type")] if f else []
     out = j.select(
-        F.col("x.end").alias("a"),
-        F.col("y.end").alias("b"),
+        "x.pair_id",
         F.concat("x.edges", "y.edges").alias("edges"),
         F.concat("x.types", *middle_type, "y.types").alias("types"),
         F.concat("x.nodes", *middle, "y.nodes").alias("nodes"),

@@ -128,11 +128,24 @@ class Fixture:
         return self.paths.unionByName(self.negative_paths)
 
 
-_built: dict[tuple[str, str], Fixture] = {}
+_built: dict[tuple, Fixture] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> int:
+    """When the tables last changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return max((f.getModificationTime() for f in files), default=0)
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The fixture of a folder, with what earlier queries of this application built; from new once its tables have changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _built:
         _built[key] = Fixture(spark, sf_dir)
     return _built[key]
+
+
+def forget() -> None:
+    """Drops what earlier queries built, so that the next one starts from the tables."""
+    _built.clear()

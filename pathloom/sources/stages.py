@@ -91,18 +91,51 @@ class StageCache:
         key = hashlib.sha256(json.dumps(inputs, sort_keys=True, default=str).encode()).hexdigest()[:20]
         return f"{self.folder}/{stage}/{key}"
 
+    def has(self, spark: SparkSession, stage: str, **inputs) -> bool:
+        return _exists(spark, f"{self.path(stage, **inputs)}/_SUCCESS")
+
     def get_or_store(self, spark: SparkSession, stage: str, build: Callable[[], DataFrame], **inputs) -> DataFrame:
         path = self.path(stage, **inputs)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if self.update or not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if self.update or not self.has(spark, stage, **inputs):
             build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 
+class ValueCache:
+    """Small values under keys, as JSON texts in a folder that Spark's file systems reach; for settings and results of the driver."""
+
+    def __init__(self, spark: SparkSession, folder: str, update: bool = False):
+        self.spark, self.folder, self.update = spark, folder.rstrip("/"), update
+
+    def _path(self, key) -> str:
+        return f"{self.folder}/{hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()}"
+
+    def get(self, key, default=None):
+        path = self._path(key)
+        return json.loads(self.spark.read.text(path, wholetext=True).first()[0]) if _exists(self.spark, f"{path}/_SUCCESS") else default
+
+    def store(self, key, value) -> None:
+        self.spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(self._path(key))
+
+    def get_or_store(self, key, build: Callable):
+        """The value kept under the key; else, or with update, that of build(key), kept from then on."""
+        none = object()
+        found = none if self.update else self.get(key, none)
+        if found is none:
+            found = build(key)
+            self.store(key, found)
+        return found
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_params(path: str, defaults: Mapping) -> dict:
     """Defaults overridden by a JSON file's keys; unknown keys raise."""
     with open(path) as f:
         given = json.load(f)
     if unknown := set(given) - set(defaults):
-        raise KeyError(f"unknown parameters: {sorted(unknown)}")
+        raise KeyError(f"unknown keys: {sorted(unknown)}")
     return {**defaults, **given}
