@@ -93,10 +93,6 @@ def balls(x: np.ndarray, needed: bool = False) -> list[tuple[np.ndarray, float]]
     return out
 
 
-def cell_hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
-
-
 def pivots_of(placed: DataFrame, sizes: dict[int, int], needed: bool) -> dict[int, list[tuple[np.ndarray, float]]]:
     """Pivots of the cells given with their sizes, chosen in tasks of one bounded sample each; CELLS x PIVOTS vectors reach the driver at most."""
     rate = placed.sparkSession.createDataFrame([(c, min(1.0, SAMPLE / m)) for c, m in sizes.items()], "cell long, rate double")
