@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import chat, decontam, embedding, html, langid, minhash, mixing, quality, sharding, toxicity
+from pathloom.llm import chat, decontam, embedding, html, langid, lloyd, minhash, mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_ipf_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_superminhash_dedup": minhash.query,
     "op9_metric_range_join": embedding.query,
     "op10_html_blocks": html.query,
+    "op13_lloyd": lloyd.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_positional_decontamination": decontam.ORACLE,
     "op8_superminhash_dedup": minhash.ORACLE,
     "op9_metric_range_join": embedding.ORACLE,
+    "op13_lloyd": lloyd.ORACLE,
 }
