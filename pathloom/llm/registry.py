@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import chat, decontam, embedding, html, langid, lloyd, minhash, mixing, negatives, quality, sharding, toxicity
+from pathloom.llm import chat, decontam, embedding, html, langid, lloyd, minhash, mixing, negatives, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op1_ipf_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_superminhash_dedup": minhash.query,
     "op9_metric_range_join": embedding.query,
     "op10_html_blocks": html.query,
+    "op11_disclosure_sanitisation": pii.query,
     "op12_hard_negatives": negatives.query,
     "op13_lloyd": lloyd.query,
 }
