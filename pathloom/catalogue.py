@@ -20,7 +20,7 @@ from pathloom.operators import paths as P
 from pathloom.operators import rules as R
 from pathloom.operators import samples as S
 from pathloom.operators import thresholds as T
-from pathloom.plans.fixture import Fixture, fixture
+from pathloom.plans.fixture import CUTOFF, Fixture, fixture
 from pathloom.sources.stages import shared_dir, written
 
 #: Share of all pair weight for sets of metapaths, and for shared-node conditions.
@@ -32,7 +32,8 @@ _CTES = {
   union all select 'C'||c_custkey,'N'||c_nationkey,'lives_in',cast(1.0 as double), null from customer
   union all select 'S'||l_suppkey,'P'||l_partkey,'supplies',round(avg(1-l_discount),6), list_sort(list(distinct cast(year(l_shipdate) as varchar))) from lineitem where l_returnflag='R' and l_quantity>=40 group by 1,2
   union all select 'C'||o_custkey,'P'||l_partkey,'buys',round(avg(1-l_tax),6), list_sort(list(distinct cast(year(l_shipdate) as varchar))) from orders join lineitem on l_orderkey=o_orderkey where l_returnflag='R' and l_quantity>=40 group by 1,2
-  union all select 'C'||o_custkey,'S'||l_suppkey,'buys_from',round(avg(1-l_discount),6), list_sort(list(distinct cast(year(l_shipdate) as varchar))) from orders join lineitem on l_orderkey=o_orderkey where l_returnflag='A' and l_quantity>=45 group by 1,2""",
+  union all select 'C'||o_custkey,'S'||l_suppkey,'buys_from',round(avg(1-l_discount),6), list_sort(list(distinct cast(year(l_shipdate) as varchar))) from orders join lineitem on l_orderkey=o_orderkey where l_returnflag='A' and l_quantity>=45 group by 1,2
+  union all select 'S'||x.l_suppkey,'S'||y.l_suppkey,'ships_with',round(avg(1-x.l_discount),6), list_sort(list(distinct cast(year(x.l_shipdate) as varchar))) from lineitem x join lineitem y on x.l_orderkey=y.l_orderkey and x.l_suppkey<y.l_suppkey where x.l_returnflag='N' and y.l_returnflag='N' and x.l_quantity>=48 and y.l_quantity>=48 group by 1,2""",
     "n": "select 'S'||s_suppkey id,'S' t,s_name name,s_acctbal o,'sup' ab from supplier union all select 'P'||p_partkey,'P',p_name,null,'par' from part union all select 'C'||c_custkey,'C',c_name,c_acctbal,'cus' from customer union all select 'N'||n_nationkey,'N',n_name,null,'nat' from nation union all select 'R'||r_regionkey,'R',r_name,null,'reg' from region",
     "adj": "select u,v,l,s,c,substr(u,1,1) ut,substr(v,1,1) vt from e union all select v,u,l,s,c,substr(v,1,1),substr(u,1,1) from e",
     "sup": "select 'S'||s_suppkey id, s_acctbal o, s_nationkey from supplier",
@@ -363,6 +364,13 @@ for _n in (1, 2, 3):
     _hops(_n)
 
 
+@query("select pair_id, array_to_string(es,',') edges, array_to_string(ts,',') types, array_to_string(ns,',') nodes, round(score,6) score from p")
+def paths_heavy_nodes(k):
+    """All paths again, with so many heavy nodes that every way of meeting is needed."""
+    found = P.enumerate_paths(k.pairs, k.graph.adjacency, CUTOFF, ["R"], heavy_above=24)
+    return found.select("pair_id", joined("edges").alias("edges"), joined("types").alias("types"), joined("nodes").alias("nodes"), F.round("score", 6).alias("score"))
+
+
 @query("select len(es) as length, count(*) n_kept from p group by 1")
 def paths_context_filter(k):
     return k.paths.groupBy(F.size("edges").cast("long").alias("length")).agg(F.count("*").alias("n_kept"))

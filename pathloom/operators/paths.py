@@ -1,32 +1,47 @@
-"""Bounded simple paths between entity pairs, as joins over the adjacency.
-
-Half paths grow from the distinct first ends and towards the distinct second ends, not from pairs. The near
-halves then take the second ends of their pairs, and both halves meet on middle node and second end together: a
-hub in the middle joins only what some pair asks for, and its paths spread over the ends. Forbidden node types, non-positive scores
-and broken contexts are dropped at every hop, so no doomed path grows.
+"""Bounded simple paths between entity pairs, as joins over the adjacency, split at heavy nodes.
+
+Half paths grow from the distinct first ends and towards the distinct second ends, not from pairs. A node is heavy if its
+degree is above the square root of the number of edges: there are few of them, and a light one multiplies a half by
+that root at most. Halves stop at heavy nodes, they never grow out of one:
+
+* Paths without a heavy inner node meet in their middle, as do those whose only heavy one is there.
+* A path whose only heavy inner node is elsewhere meets there: one half has come to it step by step, the other stops
+  one step after its own end.
+* Between a first and a last heavy node, the stretch is walked once for all pairs (stretches from heavy to heavy nodes are
+  few) and closes the two halves of a pair.
+
+The near halves take the second ends of their pairs before they meet the far ones on node and second end together, so a
+hub in the middle joins only what some pair asks for, and its paths spread over the ends. Far halves take their last step
+to nodes that some near half has reached only. Forbidden node types, non-positive scores and broken contexts are dropped at
+every hop, so no doomed path grows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import combined_context, context_valid, metapath_key
+from pathloom.sources.stages import hinted, written
 
 
 def _grown(half: DataFrame, hops: DataFrame, forward: bool) -> DataFrame:
-    """Half paths one hop longer: end, tip, inner nodes, their types, labels, logs, context count and contexts."""
-    step = hops.select(F.col("src").alias("tip"), F.col("dst").alias("to"), F.col("dst_type").alias("to_type"), "label", "log", "c", "ctx")
-    j = half.alias("h").join(step.alias("s"), "tip").where((F.col("s.to") != F.col("h.end")) & ~F.array_contains("h.nodes", F.col("s.to")))
+    """Half paths one hop longer, out of light tips: end, tip, its type and weight, inner nodes, their types, labels, logs, context count and contexts."""
+    step = hops.select(F.col("src").alias("tip"), F.col("dst").alias("to"), F.col("dst_type").alias("to_type"), F.col("dst_heavy").alias("to_heavy"), "label", "log", "c", "ctx")
+    first = "tip_type" not in half.columns
+    j = half if first else half.where(~F.col("tip_heavy"))
+    j = j.alias("h").join(step.alias("s"), "tip").where((F.col("s.to") != F.col("h.end")) & ~F.array_contains("h.nodes", F.col("s.to")))
     grow = lambda a, x: F.concat(a, F.array(x)) if forward else F.concat(F.array(x), a)
     out = j.select(
         "h.end",
         F.col("s.to").alias("tip"),
         F.col("s.to_type").alias("tip_type"),
-        (grow(F.col("h.nodes"), F.col("tip")) if "tip_type" in half.columns else F.col("h.nodes")).alias("nodes"),
-        (grow(F.col("h.types"), F.col("h.tip_type")) if "tip_type" in half.columns else F.col("h.types")).alias("types"),
+        F.col("s.to_heavy").alias("tip_heavy"),
+        F.col("h.nodes") if first else grow(F.col("h.nodes"), F.col("tip")).alias("nodes"),
+        F.col("h.types") if first else grow(F.col("h.types"), F.col("h.tip_type")).alias("types"),
         grow(F.col("h.edges"), F.col("s.label")).alias("edges"),
         (F.col("h.log") + F.col("s.log")).alias("log"),
         (F.col("h.c") + F.col("s.c")).alias("c"),
@@ -40,52 +55,116 @@ def _start(ends: DataFrame) -> DataFrame:
     return ends.select("end", F.col("end").alias("tip"), none.alias("nodes"), none.alias("types"), none.alias("edges"), F.lit(0.0).alias("log"), F.lit(0).alias("c"), none.alias("ctx"))
 
 
-def enumerate_paths(pairs: DataFrame, adjacency: DataFrame, cutoff: int = 3, forbidden: Sequence[str] = ()) -> DataFrame:
-    """All simple paths of at most cutoff edges of each pair (pair_id, a, b).
+def heavy_nodes(adjacency: DataFrame, above: int | None = None) -> DataFrame:
+    """(id) of nodes with more than above edges, the square root of the number of edges if not given; written."""
+    above = math.isqrt(adjacency.count()) if above is None else above
+    return written(adjacency.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > above).select("id"), "heavy")
 
-    Columns: pair_id, edges, types (labels and inner node types in order), mp (their key), nodes (inner
-    nodes) and score (geometric mean of the edges' scores; of parallel edges the best). No edge of a path
-    leads to a forbidden type.
-    """
+
+def flagged(adjacency: DataFrame, heavy: DataFrame, forbidden: Sequence[str] = ()) -> DataFrame:
+    """The hops that paths may take: src, dst, their types and whether they are heavy, label, log of the score, context count and contexts."""
     hops = adjacency.where(F.col("score") > 0)
     if forbidden:
         hops = hops.where(~F.col("dst_type").isin(*forbidden))
     has = F.col("ctx").isNotNull()
     hops = hops.select("src", "dst", "src_type", "dst_type", "label", F.ln("score").alias("log"), F.when(has, 1).otherwise(0).alias("c"), F.coalesce("ctx", F.array().cast("array<string>")).alias("ctx"))
+    few = hinted(heavy)
+    for side in ("src", "dst"):
+        mark = few.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_mark"))
+        hops = hops.join(mark, side, "left").withColumn(f"{side}_heavy", F.coalesce(f"{side}_mark", F.lit(False))).drop(f"{side}_mark")
+    return hops
+
+
+def halves(pairs: DataFrame, hops: DataFrame, cutoff: int) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """Near and far half paths by number of hops, from 0; written. Of the longest ones only what can meet the other side: heavy tips, or nodes reached by it."""
+    turned = {"src": "dst", "dst": "src", "src_type": "dst_type", "dst_type": "src_type", "src_heavy": "dst_heavy", "dst_heavy": "src_heavy"}
     # The far half walks edges against their direction, so its targets are what it starts from.
-    back = hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type"), "label", "log", "c", "ctx")
+    back = hops.select([F.col(turned.get(c, c)).alias(c) for c in hops.columns])
     near = {0: _start(pairs.select(F.col("a").alias("end")).distinct())}
     far = {0: _start(pairs.select(F.col("b").alias("end")).distinct())}
-    found = None
+    middle = cutoff // 2
+    for half, most, steps, forward in ((near, middle, hops, True), (far, cutoff - middle, back, False)):
+        for k in range(1, max(cutoff, 2)):
+            last = k == cutoff - 1
+            step = steps.where("dst_heavy") if last and k > most else steps
+            if last and k == most > 1 and not forward:
+                # The longest far half only meets the near half of the other hops (with two hops at most, it also meets first ends).
+                reached = near[cutoff - k].select(F.col("tip").alias("dst")).distinct()
+                step = steps.join(reached, "dst", "left_semi")
+            # Several lengths meet at each half.
+            half[k] = written(_grown(half[k - 1], step, forward), "half")
+    return near, far
+
+
+def enumerate_paths(pairs: DataFrame, adjacency: DataFrame, cutoff: int = 3, forbidden: Sequence[str] = (), heavy_above: int | None = None) -> DataFrame:
+    """All simple paths of at most cutoff edges of each pair (pair_id, a, b).
+
+    Columns: pair_id, edges, types (labels and inner node types in order), mp (their key), nodes (inner
+    nodes) and score (geometric mean of the edges' scores; of parallel edges the best). No edge of a path
+    leads to a forbidden type. heavy_above: the degree above which a node is heavy; it changes the work only.
+    """
+    heavy = heavy_nodes(adjacency, heavy_above)
+    any_heavy = not heavy.isEmpty()
+    hops = flagged(adjacency, heavy, forbidden)
+    near, far = halves(pairs, hops, cutoff)
+    asked = pairs.select("pair_id", F.col("a").alias("end"), "b")
+    mine = {k: near[k].join(asked, "end") for k in near}
+    parts = []
+    tip = F.col("tip_heavy")
+    bridges = stretches(heavy, hops, cutoff - 2) if any_heavy else {}
     for length in range(1, cutoff + 1):
-        f, g = length // 2, length - length // 2
-        for half, n, steps, forward in ((near, f, hops, True), (far, g, back, False)):
-            for k in range(1, n + 1):
-                if k not in half:
-                    half[k] = _grown(half[k - 1], steps, forward)
-        met = _met(near[f].join(pairs.select("pair_id", F.col("a").alias("end"), "b"), "end"), far[g], f)
-        found = met if found is None else found.unionByName(met)
+        f = length // 2
+        parts.append(_met(mine[f], far[length - f], f > 0))
+        if any_heavy:
+            parts += [_met(mine[i].where(tip), far[length - i].where(tip), True) for i in range(1, length) if i != f]
+            parts += [_met(_bridged(mine[i].where(tip), bridges[j - i]), far[length - j].where(tip), True) for i in range(1, length) for j in range(i + 1, length)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     found = found.groupBy("pair_id", "edges", "types", "nodes").agg(F.exp(F.max("log") / F.size("edges")).alias("score"))
     return found.select("pair_id", "edges", "types", metapath_key(F.col("edges"), F.col("types")).alias("mp"), "nodes", "score")
 
 
-def _met(near: DataFrame, far: DataFrame, f: int) -> DataFrame:
-    """Paths of the near half paths of pairs and far ones that end at the same node, lead to the pair's second end and share no other node."""
+def stretches(heavy: DataFrame, hops: DataFrame, longest: int) -> dict[int, DataFrame]:
+    """Simple stretches from heavy to heavy nodes by number of hops, from 1 to longest; they may pass any node."""
+    walked = {0: _start(heavy.select(F.col("id").alias("end")))}
+    for k in range(1, longest + 1):
+        step = hops.where("src_heavy") if k == 1 else hops
+        # Here heavy nodes are passed, too: growing out of them is what a stretch is for.
+        walked[k] = _grown(walked[k - 1].withColumn("tip_heavy", F.lit(False)) if k > 1 else walked[0], step.where("dst_heavy") if k == longest else step, True)
+    return {k: w.where("tip_heavy") for k, w in walked.items() if k}
+
+
+def _together(x: str, y: str, middle: bool) -> list[Column]:
+    """Two joined half paths as one: labels, types and nodes in order, logs, context count and contexts."""
+    between, between_type = ([F.array(f"{x}.tip")], [F.array(f"{x}.tip_type")]) if middle else ([], [])
+    return [
+        F.concat(f"{x}.edges", f"{y}.edges").alias("edges"),
+        F.concat(f"{x}.types", *between_type, f"{y}.types").alias("types"),
+        F.concat(f"{x}.nodes", *between, f"{y}.nodes").alias("nodes"),
+        (F.col(f"{x}.log") + F.col(f"{y}.log")).alias("log"),
+        (F.col(f"{x}.c") + F.col(f"{y}.c")).alias("c"),
+        combined_context(F.col(f"{x}.c"), F.col(f"{x}.ctx"), F.col(f"{y}.c"), F.col(f"{y}.ctx")).alias("ctx"),
+    ]
+
+
+def _bridged(near: DataFrame, stretch: DataFrame) -> DataFrame:
+    """Near half paths of pairs, which end at a heavy node, walked on along a stretch."""
+    j = near.alias("x").join(stretch.alias("y"), F.col("x.tip") == F.col("y.end"))
+    shared = F.arrays_overlap("x.nodes", "y.nodes") | F.array_contains("x.nodes", F.col("y.tip")) | F.array_contains("y.nodes", F.col("x.end")) | (F.col("y.tip") == F.col("x.end"))
+    out = j.where(~shared).select("x.pair_id", "x.end", "x.b", F.col("y.tip").alias("tip"), F.col("y.tip_type").alias("tip_type"), *_together("x", "y", True))
+    return out.where(context_valid(F.col("c"), F.col("ctx")))
+
+
+def _met(near: DataFrame, far: DataFrame, middle: bool) -> DataFrame:
+    """Paths of the near half paths of pairs and far ones that end at the same node, lead to the pair's second end and share no other node.
+
+    middle: the meeting node is an inner one; with near half paths of no hop it is the first end itself.
+    """
     x, y = near.alias("x"), far.alias("y")
     j = x.join(y, (F.col("x.tip") == F.col("y.tip")) & (F.col("x.b") == F.col("y.end")))
     j = j.where((F.col("x.end") != F.col("y.end")) & ~F.array_contains("x.nodes", F.col("y.end")) & ~F.array_contains("y.nodes", F.col("x.end")) & ~F.arrays_overlap("x.nodes", "y.nodes"))
-    # With near half paths of no hop the meeting node is the first end itself; any other is an inner node.
-    middle = [F.array("x.tip")] if f else []
-    middle_type = [F.array("x.tip_type")] if f else []
-    out = j.select(
-        "x.pair_id",
-        F.concat("x.edges", "y.edges").alias("edges"),
-        F.concat("x.types", *middle_type, "y.types").alias("types"),
-        F.concat("x.nodes", *middle, "y.nodes").alias("nodes"),
-        (F.col("x.log") + F.col("y.log")).alias("log"),
-        (F.col("x.c") + F.col("y.c")).alias("c"),
-        combined_context(F.col("x.c"), F.col("x.ctx"), F.col("y.c"), F.col("y.ctx")).alias("ctx"),
-    )
+    out = j.select("x.pair_id", *_together("x", "y", middle))
     return out.where(context_valid(F.col("c"), F.col("ctx"))).drop("c", "ctx")
 
 

@@ -1,7 +1,7 @@
 """A knowledge graph over the star-schema tables: suppliers are the entities paired, orders of exactly two suppliers the combinations.
 
-Nodes: S supplier, P part, C customer, N nation, R region, O order with exactly two suppliers. Orientation goes
-by account balance. Evidence counts of an order come from its priority and status, its diseases are the nations
+Nodes: S supplier, P part, C customer, N nation, R region, O order with exactly two suppliers. Suppliers of large lines
+of one order are linked directly. Orientation goes by account balance. Evidence counts of an order come from its priority and status, its diseases are the nations
 of its customer. Negative pairs are suppliers of one nation that never share a two-supplier order.
 """
 
@@ -46,11 +46,14 @@ class Fixture:
         returned = lines.where("l_returnflag = 'R' and l_quantity >= 40")
         accepted = lines.where("l_returnflag = 'A' and l_quantity >= 45")
         with_order = lambda rows: rows.join(orders.select("o_orderkey", "o_custkey"), rows["l_orderkey"] == orders["o_orderkey"])
+        open_ = lines.where("l_returnflag = 'N' and l_quantity >= 48")
+        shared = open_.join(open_.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey").where("l_suppkey < other")
         parts = [
             *fixed,
             trade(returned, node("S", "l_suppkey"), node("P", "l_partkey"), "supplies", "l_discount"),
             trade(with_order(returned), node("C", "o_custkey"), node("P", "l_partkey"), "buys", "l_tax"),
             trade(with_order(accepted), node("C", "o_custkey"), node("S", "l_suppkey"), "buys_from", "l_discount"),
+            trade(shared, node("S", "l_suppkey"), node("S", "other"), "ships_with", "l_discount"),
         ]
         out = parts[0]
         for p in parts[1:]:

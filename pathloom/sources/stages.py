@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders that written() left and nobody has released.
 _left: set[str] = set()
@@ -44,6 +45,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+#: Rows up to which a side of a join may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the counted rows stay under the limit; beyond it the join shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def _delete(paths) -> None:
     jvm = SparkContext._jvm
     for path in list(paths):

@@ -43,17 +43,18 @@ def walk(edges, types, a, b, cutoff):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_paths_against_search(spark, seed):
+@pytest.mark.parametrize(("seed", "heavy_above"), [(0, 100), (1, 8), (2, 6), (0, 7), (1, 0)])
+def test_paths_against_search(spark, seed, heavy_above):
+    """Without heavy nodes, with some and with all nodes heavy."""
     rng = random.Random(seed)
     ids = [f"n{i}" for i in range(8)]
     types = {i: "G" if k < 3 else rng.choice("GPPX") for k, i in enumerate(ids)}
     edges = [(*rng.sample(ids, 2), rng.choice("xy"), rng.choice([0.0, 0.3, 0.5, 0.9]), rng.choice([None, None, None, ["u"], ["v"], ["u", "v"], []])) for _ in range(30)]
     g = graph_of(spark, edges, types)
     pairs = spark.createDataFrame([("0", "n0", "n1"), ("1", "n2", "n1"), ("2", "n0", "zz")], "pair_id string, a string, b string")
-    for cutoff in (3, 4):
+    for cutoff in (1, 2, 3, 4) if heavy_above == 8 else (3, 4):
         got = {}
-        for r in paths.enumerate_paths(pairs, g.adjacency, cutoff, ["X"]).collect():
+        for r in paths.enumerate_paths(pairs, g.adjacency, cutoff, ["X"], heavy_above).collect():
             got.setdefault(r.pair_id, {})[tuple(r.edges), tuple(r.nodes)] = r.score
         for pair, a, b in (("0", "n0", "n1"), ("1", "n2", "n1")):
             want = walk(edges, types, a, b, cutoff)
@@ -270,3 +271,19 @@ def test_fisher(spark):
     df = spark.createDataFrame([(3.0, 1.0, 1.0, 3.0), (0.0, 5.0, 5.0, 0.0)], "a double, b double, c double, d double")
     got = [r.p for r in df.select(rules.fisher_greater("a", "b", "c", "d").alias("p")).collect()]
     assert abs(got[0] - 17 / 70) < 1e-9 and abs(got[1] - 1) < 1e-9
+
+
+def test_hubs_do_not_multiply_half_paths(spark):
+    """Two hubs of 10^5 edges between few pairs: every half stays near its ends, and all paths through the hubs are found."""
+    n = 100_000
+    leaves = spark.range(n).select(F.concat(F.lit("l"), F.col("id")).alias("src"), F.explode(F.array(F.lit("H"), F.lit("K"))).alias("dst"))
+    few = spark.createDataFrame([("a", "l1"), ("a", "l2"), ("b", "H"), ("b", "K"), ("a", "H"), ("H", "K"), ("b", "l7")], "src string, dst string")
+    e = leaves.unionByName(few).withColumns({"label": F.lit("x"), "score": F.lit(0.5), "ctx": F.lit(None).cast("array<string>"), "src_type": F.lit("T"), "dst_type": F.lit("T")})
+    adjacency = written(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label", "score", "ctx", "src_type", "dst_type")), "adjacency")
+    pairs = spark.createDataFrame([("p", "a", "b")], "pair_id string, a string, b string")
+    heavy = paths.heavy_nodes(adjacency)
+    assert {r.id for r in heavy.collect()} == {"H", "K"}
+    near, far = paths.halves(pairs, paths.flagged(adjacency, heavy), 3)
+    assert sum(h.count() for half in (near, far) for h in half.values()) < 50
+    got = {tuple(r.nodes) for r in paths.enumerate_paths(pairs, adjacency).collect()}
+    assert got == {("H",), ("l1", "H"), ("l2", "H"), ("l1", "K"), ("l2", "K"), ("H", "K"), ("H", "l7")}
