@@ -467,6 +467,22 @@ def threshold_search(k):
     return out.select("pattern", F.transform("thresholds", lambda x: F.round(x, 6)).cast("string").alias("thresholds"), F.round("cost", 6).alias("cost"))
 
 
+_CTES |= {
+    "lc": "select pattern, k, i, pair_id, v, sum(case when score>=v then 1 else 0 end) c from sc, gr group by all",
+    "th2": "select x.pattern, x.pair_id, [x.v,y.v] th, case when x.c>0 and y.c>0 then x.c+y.c else 0 end c from lc x join lc y on y.pattern=x.pattern and y.pair_id=x.pair_id and x.i=0 and y.i=1 where x.k=2",
+    "th3": "select x.pattern, x.pair_id, [x.v,y.v,z.v] th, case when x.c>0 and y.c>0 and z.c>0 then x.c+y.c+z.c else 0 end c from lc x join lc y on y.pattern=x.pattern and y.pair_id=x.pair_id and x.i=0 and y.i=1 join lc z on z.pattern=x.pattern and z.pair_id=x.pair_id and z.i=2 where x.k=3",
+    "thc": "select z.pattern, th, coalesce(sum(case when c>0 then weight end),0) s, coalesce(sum(case when c>0 then weight*c end)/sum(case when c>0 then weight end),0) a from (select * from th2 union all select * from th3) z join pw using(pair_id) group by 1,2",
+}
+
+
+@query("""select pattern, array_to_string(list_transform(th, lambda v: printf('%.2f', v)),',') thresholds, round(cost,6) cost from (select thc.pattern, th, cost, row_number() over (partition by thc.pattern order by round(cost,12), th) n from
+  (select thc.pattern, th, case when s<(select m from minsup) then 1.0 else ((1-s/av.support)+a/av.avg_count)/2 end cost from thc join av on av.pattern=thc.pattern) thc) z where n=1""")
+def threshold_search_listed(k):
+    """The search over short lists of candidates, which SQL can enumerate."""
+    out = T.search(_scores(k), k.pairs, M.absolute_minsup(k.pairs, SET_RATIO), GRID)
+    return out.select("pattern", joined(F.transform("thresholds", lambda v: F.format_string("%.2f", v))).alias("thresholds"), F.round("cost", 6).alias("cost"))
+
+
 @query("select cast(rule_id as int) rule_id, pair_id from cov")
 def rule_match_oriented(k):
     return _cover(k)

@@ -49,9 +49,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the counted rows stay under the limit; beyond it the join shuffles."""
-    return F.broadcast(df) if df.count() <= limit else df
+def hinted(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the rows, counted here unless their number is given, stay under the limit; beyond it the join shuffles."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
 def _delete(paths) -> None:

@@ -185,42 +185,54 @@ def test_unifications_of_any_size(spark):
     assert matched.count() == 2 * 26
 
 
-def test_threshold_search_beats_random(spark):
-    rng = np.random.default_rng(3)
-    rows = [[[np.sort(rng.random(rng.integers(1, 5)).round(2)) for _ in range(2)]] for _ in range(12)]
-    w = np.ones(12)
-    t, c = thresholds.search_one(2, rows, w, 4.0)
-    assert c <= 0.5
-
-    def cost(t):
-        counts = np.array([(lambda k: sum(k) if min(k) else 0)([int((s >= x).sum()) for s, x in zip(d[0], t, strict=True)]) for d in rows])
-        sup = (counts > 0).sum()
-        base = np.mean([sum(len(s) for s in d[0]) for d in rows])
-        return 1.0 if sup < 4 else ((1 - sup / 12) + counts[counts > 0].mean() / base) / 2
-
-    assert abs(cost(t) - c) < 1e-9
-    assert all(cost(rng.random(2)) >= c - 1e-9 for _ in range(500))
-
-
-def test_threshold_search_is_exact_at_size():
-    """Against enumeration of all observed scores, on more combinations than were once tried."""
-    for k, n, digits, seed in ((2, 40, 3, 1), (2, 60, 3, 2), (3, 90, 1, 3), (3, 12, 2, 4)):
-        rng = np.random.default_rng(seed)
-        rows = [[[np.sort(rng.random(rng.integers(1, 5)).round(digits)) for _ in range(k)] for _ in range(1 + p % 2)] for p in range(n)]
-        w = rng.choice([1 / 3, 2 / 3, 1.0], n)
-        values = [np.unique(np.concatenate([[0.0], *[d[i] for r in rows for d in r]])) for i in range(k)]
-        grid = np.stack([x.ravel() for x in np.meshgrid(*values, indexing="ij")], axis=1)
-        assert len(grid) * n > 100_000
-        best = np.zeros((n, len(grid)))
-        for p, r in enumerate(rows):
-            for d in r:
-                c = [len(d[i]) - np.searchsorted(d[i], grid[:, i]) for i in range(k)]
-                best[p] = np.maximum(best[p], np.where(np.min(c, axis=0) > 0, np.sum(c, axis=0), 0))
-        sup, n0 = w @ (best > 0), best[:, 0]
-        ok = sup >= 0.1 * w.sum()
-        costs = np.where(ok, ((1 - sup / w.sum()) + (w @ best) / np.where(ok, sup, 1) / (w @ n0 / w.sum())) / 2, 1.0).round(12)
-        t, c = thresholds.search_one(k, rows, w, 0.1 * w.sum())
-        assert abs(c - costs.min()) < 1e-11 and np.allclose(t, grid[np.argmin(costs)])
+def searched(spark, rows, w, minsup, **more):
+    """The search over score arrays by pair, direction and metapath; the weights of the pairs."""
+    flat = [("t", str(p), j, i, [float(x) for x in d[i]]) for p, r in enumerate(rows) for j, d in enumerate(r) for i in range(len(d))]
+    scores = spark.createDataFrame(flat, "pattern string, pair_id string, direction int, i int, scores array<double>")
+    sam = spark.createDataFrame([(str(p), float(x)) for p, x in enumerate(w)], "pair_id string, weight double")
+    r = thresholds.search(scores, sam, float(minsup), **more).first()
+    return r.thresholds, r.cost
+
+
+def enumerated(rows, w, minsup, values):
+    """All combinations of candidates, the first of the cheapest."""
+    k = len(values)
+    grid = np.stack([x.ravel() for x in np.meshgrid(*values, indexing="ij")], axis=1)
+    best = np.zeros((len(rows), len(grid)))
+    for p, r in enumerate(rows):
+        for d in r:
+            c = [len(d[i]) - np.searchsorted(d[i], grid[:, i]) for i in range(k)]
+            best[p] = np.maximum(best[p], np.where(np.min(c, axis=0) > 0, np.sum(c, axis=0), 0))
+    n0 = np.array([max(sum(map(len, d)) for d in r) for r in rows])
+    sup = w @ (best > 0)
+    ok = (sup >= minsup - 1e-9) & (sup > 0)
+    costs = np.where(ok, ((1 - sup / w.sum()) + (w @ best) / np.where(ok, sup, 1) / (w @ n0 / w.sum())) / 2, 1.0).round(12)
+    return grid[np.argmin(costs)], costs.min(), len(grid)
+
+
+@pytest.mark.parametrize(("k", "n", "digits", "seed", "width"), [(2, 40, 3, 1, 256), (2, 60, 3, 2, 2), (3, 90, 1, 3, 256), (3, 12, 2, 4, 3)])
+def test_threshold_search_is_exact(spark, monkeypatch, k, n, digits, seed, width):
+    """Against enumeration of all observed scores, with boxes that wait as well."""
+    monkeypatch.setattr(thresholds, "WIDTH", width)
+    rng = np.random.default_rng(seed)
+    rows = [[[np.sort(rng.random(rng.integers(1, 5)).round(digits)) for _ in range(k)] for _ in range(1 + p % 2)] for p in range(n)]
+    w = rng.choice([1 / 3, 2 / 3, 1.0], n)
+    values = [np.unique(np.concatenate([[0.0], *[d[i] for r in rows for d in r]])) for i in range(k)]
+    t, c, size = enumerated(rows, w, 0.1 * w.sum(), values)
+    assert size * n > 100_000
+    got = searched(spark, rows, w, 0.1 * w.sum())
+    assert abs(got[1] - c) < 1e-11 and np.allclose(got[0], t)
+
+
+def test_threshold_search_over_given_candidates(spark):
+    rng = np.random.default_rng(9)
+    rows = [[[np.sort(rng.random(rng.integers(1, 6))) for _ in range(3)]] for _ in range(30)]
+    w, listed = rng.choice([1 / 3, 1.0], 30), [0.0, 0.3, 0.5, 0.8]
+    t, c, _ = enumerated(rows, w, 3.0, [np.array(listed)] * 3)
+    got = searched(spark, rows, w, 3.0, candidates=listed)
+    assert abs(got[1] - c) < 1e-11 and np.allclose(got[0], t)
+    # Not frequent enough at any thresholds: the lowest ones, at full cost.
+    assert searched(spark, rows, w, 100.0) == ([0.0, 0.0, 0.0], 1.0)
 
 
 def test_decision_set(spark):
