@@ -6,11 +6,17 @@ and 1-based inner node, empty without condition), and matches(pattern, pair_id).
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.paths import directed
-from pathloom.sources.stages import written
+from pathloom.sources.stages import hinted, ordinals, written
 
 ITEM = " + "
 
@@ -37,32 +43,192 @@ def frequent_metapaths(tx: DataFrame, samples: DataFrame, minsup: float) -> Data
     return _supported(tx, ["mp"], samples, minsup)
 
 
-def grow_sets(tx: DataFrame, samples: DataFrame, minsup: float, max_len: int = 3) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """By size from 2: (sets with mps, support, n; their matches with mps, pair_id, direction).
+#: Pairs in a range of a bitmap, and sets that a task counts in one range.
+RANGE, SETS = 1 << 15, 4096
+
 
-    Level by level: only transactions of frequent sets are joined with larger single items, on pair and
-    direction, and a set whose smaller subsets aren't all frequent can't be counted often enough.
+@dataclass
+class Bitmaps:
+    """Which pairs have which item: for every item, direction and range of pair numbers a bitmap.
+
+    items: item (its place in the order of the metapaths), mp; weights: range_, bit, weights of its pairs; rows: range_, direction, item, bits.
     """
-    single = frequent_metapaths(tx, samples, minsup)
-    # Each level is read several times by the next: written, so that plans don't multiply from level to level.
-    tx = written(tx.join(single.select("mp"), "mp", "left_semi"), "transactions")
-    level = tx.select("pair_id", "direction", F.array("mp").alias("mps"), F.col("mp").alias("last"))
-    items = tx.select("pair_id", "direction", F.col("mp").alias("next"))
-    out: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    items: DataFrame
+    weights: DataFrame
+    rows: DataFrame
+
+    @classmethod
+    def of(cls, tx: DataFrame, samples: DataFrame, singles: DataFrame) -> Bitmaps:
+        """From transactions of the single metapaths given; samples: pair_id and weights (one for each of several weightings)."""
+        items = written(ordinals(singles.select("mp"), "mp", name="item").withColumn("item", F.col("item").cast("int")), "items")
+        pairs = ordinals(samples.select("pair_id", "weights"), "pair_id")
+        pairs = written(pairs.select("pair_id", "weights", F.floor(F.col("n") / RANGE).cast("int").alias("range_"), (F.col("n") % RANGE).alias("bit")), "numbers")
+        at = tx.join(hinted(items), "mp").join(pairs.select("pair_id", "range_", "bit"), "pair_id")
+        bits = at.groupBy("range_", "direction", "item").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        return cls(items, pairs.select("range_", "bit", "weights"), written(bits, "bitmaps"))
+
+
+def _range_of(bits: pa.Table, weights: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of one range: the items in order, their bitmaps (items x bytes) for each direction, and the weights of its pairs (pairs x weightings)."""
+    item, direction = np.asarray(bits.column("item")), np.asarray(bits.column("direction"))
+    raw = np.frombuffer(b"".join(bits.column("bits").to_pylist()), np.uint8).reshape(len(item), -1)[:, : RANGE // 8]
+    items = np.unique(item)
+    sides = []
+    for d in np.unique(direction):
+        side = np.zeros((len(items), RANGE // 8), np.uint8)
+        mine = direction == d
+        side[np.searchsorted(items, item[mine])] = raw[mine]
+        sides.append(side)
+    rows = np.array(weights.column("weights").to_pylist(), np.float64)
+    table = np.zeros((RANGE, rows.shape[1]))
+    table[np.asarray(weights.column("bit"))] = rows
+    return items, sides, table
+
+
+def _counted(kept: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and numbers of the pairs in bitmaps (sets x bytes), for each weighting."""
+    bits = np.unpackbits(kept, axis=1, bitorder="little").astype(np.float64)
+    return bits @ table, bits @ (table > 0)
+
+
+_COUNTS = pa.schema([("items", pa.list_(pa.int32())), ("support", pa.list_(pa.float64())), ("n", pa.list_(pa.int64()))])
+
+
+def _as_table(sets: list, support: list, n: list) -> pa.Table:
+    return pa.table([pa.array(sets, pa.list_(pa.int32())), pa.array(support, pa.list_(pa.float64())), pa.array(n, pa.list_(pa.int64()))], schema=_COUNTS)
+
+
+def _count_twos(key: tuple, bits: pa.Table, weights: pa.Table) -> pa.Table:
+    """Support of all sets of two items in a range, those with a smaller item of the task's block."""
+    block, blocks = key[1].as_py(), key[2].as_py()
+    out: tuple[list, list, list] = ([], [], [])
+    if bits.num_rows and weights.num_rows:
+        items, sides, table = _range_of(bits, weights)
+        for i in np.flatnonzero(items % blocks == block):
+            for begin in range(i + 1, len(items), 256):
+                stop = min(begin + 256, len(items))
+                kept = np.bitwise_or.reduce([side[i] & side[begin:stop] for side in sides])
+                support, n = _counted(kept, table)
+                for j in np.flatnonzero(kept.any(1)):
+                    for column, value in zip(out, ([items[i], items[begin + j]], support[j], n[j].astype(np.int64)), strict=True):
+                        column.append(value)
+    return _as_table(*out)
+
+
+def _count_sets(key: tuple, bits: pa.Table, sets: pa.Table) -> pa.Table:
+    """Support of the task's sets in a range."""
+    out: tuple[list, list, list] = ([], [], [])
+    if bits.num_rows and sets.num_rows:
+        is_bits = np.asarray(bits.column("is_bits"))
+        items, sides, table = _range_of(bits.filter(pa.array(is_bits)), bits.filter(pa.array(~is_bits)))
+        wanted = np.array(sets.column("items").to_pylist())
+        at = np.minimum(np.searchsorted(items, wanted), len(items) - 1)
+        there = np.flatnonzero((items[at] == wanted).all(1))
+        for begin in range(0, there.size, 256):
+            rows = there[begin : begin + 256]
+            kept = np.bitwise_or.reduce([np.bitwise_and.reduce([side[at[rows, i]] for i in range(wanted.shape[1])]) for side in sides])
+            support, n = _counted(kept, table)
+            for j in np.flatnonzero(kept.any(1)):
+                for column, value in zip(out, (wanted[rows[j]], support[j], n[j].astype(np.int64)), strict=True):
+                    column.append(value)
+    return _as_table(*out)
+
+
+def _summed(parts: DataFrame, minsup: Sequence[float], mps: Column) -> DataFrame:
+    """Counts of all ranges together, of sets with enough support in some weighting: mps, items, supports, ns."""
+    folds = range(len(minsup))
+    total = parts.groupBy("items").agg(*[F.sum(F.get("support", F.lit(f))).alias(f"s{f}") for f in folds], *[F.sum(F.get("n", F.lit(f))).alias(f"n{f}") for f in folds])
+    enough = functools.reduce(lambda a, b: a | b, [F.col(f"s{f}") >= F.lit(minsup[f] - 1e-9) for f in folds])
+    return total.where(enough).select(mps.alias("mps"), "items", F.array(*[F.col(f"s{f}") for f in folds]).alias("supports"), F.array(*[F.col(f"n{f}") for f in folds]).alias("ns"))
+
+
+def count_twos(maps: Bitmaps, blocks: int) -> DataFrame:
+    """(items, support, n) of sets of two by range; a range's bitmaps go to blocks tasks, each for some of the smaller items."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    left = maps.rows.select("range_", every, F.lit(blocks).alias("blocks"), "direction", "item", "bits").groupBy("range_", "block", "blocks")
+    right = maps.weights.select("range_", every, F.lit(blocks).alias("blocks"), "bit", "weights").groupBy("range_", "block", "blocks")
+    return left.cogroup(right).applyInArrow(_count_twos, "items array<int>, support array<double>, n array<long>")
+
+
+def count_sets(maps: Bitmaps, sets: DataFrame, n_sets: int) -> DataFrame:
+    """(items, support, n) of the sets given by range; every range meets them in blocks of SETS."""
+    blocks = -(-n_sets // SETS)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    none = lambda t: F.lit(None).cast(t)
+    bits = maps.rows.select("range_", F.lit(True).alias("is_bits"), "direction", "item", "bits", none("long").alias("bit"), none("array<double>").alias("weights"))
+    weights = maps.weights.select("range_", F.lit(False).alias("is_bits"), none("int").alias("direction"), none("int").alias("item"), none("binary").alias("bits"), "bit", "weights")
+    left = bits.unionByName(weights).withColumn("block", every)
+    ranges = maps.rows.groupBy("range_").agg(F.lit(1).alias("one"))
+    # The ranges' numbers, a few bytes each, are what every set is sent to.
+    ranges = ranges.groupBy("one").agg(F.collect_list("range_").alias("ranges"))
+    right = sets.select("items", F.pmod(F.xxhash64("items"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("one")).join(F.broadcast(ranges), "one")
+    right = right.select("items", "block", F.explode("ranges").alias("range_"))
+    return left.groupBy("range_", "block").cogroup(right.groupBy("range_", "block")).applyInArrow(_count_sets, "items array<int>, support array<double>, n array<long>")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Sets one item larger (items) of which all smaller subsets are among the sets: joined on all but their last item, then checked."""
+    head, last = F.slice("items", 1, F.size("items") - 1), F.element_at("items", -1)
+    one = sets.select(head.alias("head"), last.alias("a"))
+    grown = one.join(one.select("head", F.col("a").alias("b")), "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items"))
+    return subsets_frequent(grown, sets, "items")
+
+
+def grow_weighted(tx: DataFrame, samples: DataFrame, minsups: Sequence[float], max_len: int = 3) -> dict[int, DataFrame]:
+    """By size from 2, the sets with enough support in some weighting: mps, items, supports and ns, one for each. samples: pair_id, weights.
+
+    Transactions become bitmaps once; then every level counts its candidates range by range (AND of the items'
+    bitmaps in each direction, OR over directions, weighted bit counts), so what is shuffled are bitmaps, candidates and
+    one count per candidate and range, never the combinations of a transaction.
+    """
+    per = tx.select("mp", "pair_id").distinct().join(samples, "pair_id").groupBy("mp").agg(*[F.sum(F.get("weights", F.lit(f))).alias(f"s{f}") for f in range(len(minsups))])
+    enough = functools.reduce(lambda a, b: a | b, [F.col(f"s{f}") >= F.lit(m - 1e-9) for f, m in enumerate(minsups)])
+    singles = written(per.where(enough).select("mp"), "singles")
+    n_items = singles.count()
+    out: dict[int, DataFrame] = {}
+    if n_items < 2:
+        empty = tx.sparkSession.createDataFrame([], "mps array<string>, items array<int>, supports array<double>, ns array<long>")
+        return {2: empty} if max_len >= 2 else {}
+    maps = Bitmaps.of(tx, samples, singles)
+    # A few items in all would not fill a block; many are dealt so that a task has SETS / 8 smaller items at most.
+    names = hinted(maps.items.select("item", "mp"), n_items)
     for k in range(2, max_len + 1):
-        grown = level.join(items, ["pair_id", "direction"]).where("next > last")
-        grown = grown.select("pair_id", "direction", F.concat("mps", F.array("next")).alias("mps"), F.col("next").alias("last"))
-        sets = written(_supported(grown, ["mps"], samples, minsup), "sets")
-        level = written(grown.join(sets.select("mps"), "mps", "left_semi"), "level")
-        out[k] = (sets, level.select("mps", "pair_id", "direction").distinct())
+        if k == 2:
+            counts = count_twos(maps, -(-n_items * 8 // SETS))
+        else:
+            wanted = written(candidates(out[k - 1].select("items")), "candidates")
+            n_wanted = wanted.count()
+            if not n_wanted:
+                out[k] = out[k - 1].limit(0)
+                continue
+            counts = count_sets(maps, wanted, n_wanted)
+        good = _summed(counts, minsups, F.lit(None).cast("array<string>")).drop("mps")
+        spelt = good.select("items", "supports", "ns", F.posexplode("items").alias("at", "item")).join(names, "item").groupBy("items").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("at", "mp"))), lambda x: x["mp"]).alias("mps"), F.any_value("supports").alias("supports"), F.any_value("ns").alias("ns")
+        )
+        out[k] = written(spelt.select("mps", "items", "supports", "ns"), "sets")
     return out
 
 
-def subsets_frequent(sets: DataFrame, smaller: DataFrame) -> DataFrame:
-    """Of candidate sets (mps), those of which every subset with one item less is among the smaller sets."""
-    parts = sets.select("mps", F.explode(F.transform(F.sequence(F.lit(1), F.size("mps")), lambda i: F.filter("mps", lambda x, j: j + 1 != i))).alias("sub"))
-    missing = parts.join(smaller.select(F.col("mps").alias("sub")), "sub", "left_anti").select("mps").distinct()
-    return sets.join(missing, "mps", "left_anti")
+def grow_sets(tx: DataFrame, samples: DataFrame, minsup: float, max_len: int = 3) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By size from 2: (sets with mps, support, n; their matches with mps, pair_id, direction)."""
+    levels = grow_weighted(tx, samples.select("pair_id", F.array("weight").alias("weights")), [minsup], max_len)
+    one = lambda sets: sets.select("mps", F.get("supports", F.lit(0)).alias("support"), F.get("ns", F.lit(0)).alias("n"))
+    return {k: (one(sets), matched(sets, tx)) for k, sets in levels.items()}
+
+
+def matched(sets: DataFrame, tx: DataFrame) -> DataFrame:
+    """mps, pair_id and direction of the transactions that hold all items of a set."""
+    j = sets.select("mps", F.explode("mps").alias("mp")).join(tx, "mp")
+    return j.groupBy("mps", "pair_id", "direction").agg(F.count("*").alias("c")).where(F.col("c") == F.size("mps")).select("mps", "pair_id", "direction")
+
+
+def subsets_frequent(sets: DataFrame, smaller: DataFrame, by: str = "mps") -> DataFrame:
+    """Of candidate sets (column by), those of which every subset with one item less is among the smaller sets."""
+    parts = sets.select(by, F.explode(F.transform(F.sequence(F.lit(1), F.size(by)), lambda i: F.filter(by, lambda x, j: j + 1 != i))).alias("sub"))
+    missing = parts.join(smaller.select(F.col(by).alias("sub")), "sub", "left_anti").select(by).distinct()
+    return sets.join(missing, by, "left_anti")
 
 
 def set_patterns(levels: dict[int, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that written() left and nobody has released.
@@ -54,6 +54,23 @@ def hinted(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def ordinals(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
+    """df with its place, from 0, in the order given, as a long; written. Rows that the order doesn't tell apart take theirs in any order.
+
+    Rows are sorted range by range; only the number of rows in each range meets the others, on the driver.
+    """
+    inside = F.lit((1 << 33) - 1)
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id()), "ordered")
+    counts = sorted(placed.groupBy(F.shiftright("at__", 33).alias("range__")).count().collect())
+    heads, total = [], 0
+    for r in counts:
+        heads.append((r["range__"], total))
+        total += r["count"]
+    ahead = F.broadcast(df.sparkSession.createDataFrame(heads, "range__ long, head__ long"))  # one row per range
+    out = placed.withColumn("range__", F.shiftright("at__", 33)).join(ahead, "range__")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("head__") + F.col("at__").bitwiseAND(inside)).alias(name))
+
+
 def _delete(paths) -> None:
     jvm = SparkContext._jvm
     for path in list(paths):

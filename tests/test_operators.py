@@ -299,3 +299,39 @@ def test_hubs_do_not_multiply_half_paths(spark):
     assert sum(h.count() for half in (near, far) for h in half.values()) < 50
     got = {tuple(r.nodes) for r in paths.enumerate_paths(pairs, adjacency).collect()}
     assert got == {("H",), ("l1", "H"), ("l2", "H"), ("l1", "K"), ("l2", "K"), ("H", "K"), ("H", "l7")}
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_bitmaps_of_many_ranges_and_weightings(spark, monkeypatch, both):
+    """Pairs spread over many ranges, sets over many blocks, several weightings at once, sizes up to four."""
+    monkeypatch.setattr(mining, "RANGE", 16)
+    monkeypatch.setattr(mining, "SETS", 12)
+    rng = random.Random(5)
+    tx = sorted({(f"p{p}", rng.choice([1, -1]) if both else 1, f"m{m}") for p in range(120) for m in range(7) if rng.random() < 0.8})
+    df = written(spark.createDataFrame(tx, "pair_id string, direction int, mp string"), "tx")
+    weights = {f"p{p}": [rng.choice([1, 2, 3]) / 3, rng.choice([0.0, 1.0])] for p in range(130)}
+    sam = spark.createDataFrame(list(weights.items()), "pair_id string, weights array<double>")
+    minsups = [12.0, 10.0]
+    baskets = {}
+    for p, d, m in tx:
+        baskets.setdefault((p, d), set()).add(m)
+    want = {}
+    for k in (2, 3, 4):
+        for c in itertools.combinations([f"m{m}" for m in range(7)], k):
+            hit = {p for (p, _), b in baskets.items() if set(c) <= b}
+            sums = [sum(weights[p][f] for p in hit) for f in (0, 1)]
+            if any(s >= m - 1e-9 for s, m in zip(sums, minsups, strict=True)):
+                want.setdefault(k, {})[c] = [round(x, 6) for x in sums] + [sum(weights[p][f] > 0 for p in hit) for f in (0, 1)]
+    got = mining.grow_weighted(df, sam, minsups, 4)
+    assert {k: {tuple(r.mps): [*[round(x, 6) for x in r.supports], *r.ns] for r in s.collect()} for k, s in got.items()} == {k: want.get(k, {}) for k in (2, 3, 4)}
+    assert want.get(2) and want.get(3)
+
+
+def test_ordinals(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 501).alias("v"), "id")
+    from pathloom.sources.stages import ordinals
+
+    rows = ordinals(df.repartition(7), F.desc("v"), "id", name="place").collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.place)] == sorted((r.v for r in rows), reverse=True)
+    assert sorted(r.place for r in rows) == list(range(500))
+    assert ordinals(df.limit(0), "id").count() == 0
