@@ -1,17 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags by one linear scan. Pass one decides each block by its
-densities: link density, length and stop-word density make it good, bad, or undecided (short, or neither
-rich nor poor in stop words). Where hardly any word of the page is a known stop word (a language without
+densities: link density, length and stop-word density make it good, bad, or undecided (short, preformatted, or neither
+rich nor poor in stop words). A block with much text besides its links isn't a list of links. Where hardly any word of the page is a known stop word (a language without
 a list, a script without spaces), stop words say nothing and length and links decide. Pass two gives
 undecided blocks the label of the nearest decided neighbours; where these differ, the nearer in characters
-wins. Inside an article or main element, undecided blocks are good unless only bad ones of it stand near.
+wins, but headings go with what follows them. Inside an article or main element, undecided blocks are good unless only bad ones of it stand near.
 
 Some blocks take no part: those in elements that never carry main text (menus, page headers and footers,
-sidebars, forms, dialogs, scripts, styles, hidden elements), and those in elements whose class, id or role
-names one of these, a notice, an advert or reader comments. If no block of a page is good, undecided blocks that
-aren't short count as good; if there are none, the names in class and id are given up and densities decide alone;
-if that finds none either, the longest block that isn't mostly links is kept: a page of one short paragraph keeps it.
+sidebars, dialogs, scripts, styles, hidden elements, and forms unless most of the page's text is in them), and those in
+elements whose class, id or role names one of these, a notice, an advert or reader comments. A name of several words does
+so only if all its words say such things or where they stand (site-footer, cookie-notice); with another word in it
+(related-work, share-price) it only counts against short blocks and lists of links. If no block of a page is good,
+undecided blocks that aren't short count as good; if there are none, the names in class and id are given up and densities
+decide alone; if that finds none either, everything that isn't ruled out and isn't mostly links stays, so a page of short
+lines keeps them all.
 
 Character references are decoded, white space in a block becomes one space. Markup needn't be well
 formed: unclosed elements end with their parents, stray closing tags are ignored, a tag, comment or script
@@ -43,7 +46,7 @@ STOP_WORDS = frozenset(
 )
 #: Elements whose content is text without markup, elements that never hold main text, and block-level elements.
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
-BOILER = frozenset("aside button dialog fieldset footer form head menu nav noscript object select svg template".split())
+BOILER = frozenset("aside button dialog fieldset footer head menu nav noscript object select svg template".split())
 BLOCK = frozenset(
     """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li
     link main menu meta nav noscript object ol option p pre search section select summary svg table tbody td template tfoot th thead tr ul""".split()
@@ -55,14 +58,17 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Words of class and id that name what isn't main text; a name's words stand between hyphens and underscores.
 NAMED = frozenset(
     """ad ads advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer masthead menu modal nav navbar navigation
-    newsletter notice popup promo promotion related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets""".split()
+    newsletter notice popup promo related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets""".split()
 )
-#: The same, but of the page only: an article's own header belongs to it.
+#: Words that say where something stands, or that it holds something; in a name they leave the others their meaning.
+PLACES = frozenset("area bar block bottom box container fixed global inner item items left links list main outer page panel primary right secondary section site sticky thread top wrap wrapper".split())
+#: The same as NAMED, but of the page only: an article's own header belongs to it.
 NAMED_OUTSIDE = frozenset(["header"])
 #: A name with one of these words says what stands beside or isn't there.
 ASIDE = frozenset("has no with without".split())
 #: An open element of these ends where the next of the same name starts.
 REPEATED = frozenset("dd dt li option p td th tr".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LINK_DENSITY, SHORT, LONG, STOP_LOW, STOP_HIGH, KNOWN = 0.35, 40, 160, 0.12, 0.25, 0.1
 
 _NAME = re.compile(r"[^\s/>]+")
@@ -79,11 +85,15 @@ class Block(NamedTuple):
     text: str
     #: characters inside links, spaces not counted
     linked: int
-    #: an element, attribute or role rules it out; a name in class or id does
+    #: an element, attribute or role rules it out; a name in class or id does; a name holds a word that might
     barred: bool
     named: bool
+    hinted: bool
     #: it stands in an article or main element
     article: bool
+    #: it stands in a form; what kind of text it is: heading, pre, or none of these
+    form: bool = False
+    kind: str = ""
 
 
 def tags(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -163,26 +173,30 @@ def decoded(text: str) -> str:
         return entities.unescape(_HUGE_REFERENCE.sub("�", text))
 
 
-def shut(name: str, attributes: dict[str, str], article: bool) -> tuple[bool, bool]:
-    """Whether an element is barred from main text by what it is, and whether by the names it carries."""
+def shut(name: str, attributes: dict[str, str], article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is barred from main text by what it is, whether by the names it carries, and whether a name holds a word that might."""
     if name in BOILER or name == "header" and not article:
-        return True, False
+        return True, False, False
     if not attributes or name in ("html", "body", "article", "main"):
-        return False, False
+        return False, False, False
     style = attributes.get("style", "").replace(" ", "").lower()
     barred = "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or "display:none" in style or "visibility:hidden" in style
     barred = barred or not ROLES.isdisjoint(attributes.get("role", "").lower().split())
+    hinted = False
     for said in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
-        words = {w.lower() for w in _PARTS.split(said)} | {said.lower()}
-        if ASIDE.isdisjoint(words) and not (NAMED.isdisjoint(words) and (article or NAMED_OUTSIDE.isdisjoint(words))):
-            return barred, True
-    return barred, False
+        words = {w.lower() for w in _PARTS.split(said) if w}
+        told = {w for w in words | {said.lower()} if w in NAMED or not article and w in NAMED_OUTSIDE}
+        if told and ASIDE.isdisjoint(words):
+            if said.lower() in told or words <= told | PLACES:
+                return barred, True, hinted
+            hinted = True
+    return barred, False, hinted
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, barred, named, article
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # open elements: name, barred, named, hinted, article, form
     places: dict[str, list[int]] = defaultdict(list)  # of each name, where it is in the stack
     walls: list[int] = []  # where block-level elements are in the stack
     parts: list[str] = []
@@ -192,7 +206,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         said = " ".join("".join(parts).split())
         if said:
-            out.append(Block(said, linked, *(stack[-1][1:] if stack else (False, False, False))))
+            kind = "pre" if places["pre"] else "heading" if any(places[h] for h in HEADINGS) else ""
+            out.append(Block(said, linked, *(stack[-1][1:] if stack else (False,) * 5), kind))
         parts.clear()
         linked = 0
 
@@ -229,8 +244,8 @@ def blocks(page: str) -> list[Block]:
                 if places[what]:
                     cut(places[what][-1])
             elif places[what] and places[what][-1] > (walls[-1] if walls else -1):
-                top = stack[places[what][-1] - 1][1:3] if places[what][-1] else (False, False)
-                if stack[-1][1:3] != top:
+                top = stack[places[what][-1] - 1][1:4] if places[what][-1] else (False, False, False)
+                if stack[-1][1:4] != top:
                     close()
                 cut(places[what][-1])
             continue
@@ -250,17 +265,21 @@ def blocks(page: str) -> list[Block]:
             last = stack[walls[-1]][0] if walls else ""
             if last == "p" or last == what in REPEATED or last == "head" and what not in HEAD:
                 cut(walls[-1])
-        barred, named, article = stack[-1][1:] if stack else (False, False, False)
-        article = article or what in ("article", "main")
-        b, n = shut(what, attributes, article)
-        if not block and (b and not barred or n and not named):
+        barred, named, hinted, article, form = stack[-1][1:] if stack else (False,) * 5
+        article, form = article or what in ("article", "main"), form or what == "form"
+        b, n, h = shut(what, attributes, article)
+        if not block and (b and not barred or n and not named or h and not hinted):
             close()
         places[what].append(len(stack))
         if block:
             walls.append(len(stack))
-        stack.append((what, barred or b, named or n, article))
+        stack.append((what, barred or b, named or n, hinted or h, article, form))
     close()
-    return out
+    # A form is no main text unless most of the page's own words are in it.
+    own = lambda inside: sum(len(b.text) - b.linked for b in out if b.form == inside and not (b.barred or b.named))
+    if own(True) > own(False):
+        return out
+    return [b._replace(barred=True) if b.form else b for b in out]
 
 
 def length(text: str) -> int:
@@ -269,7 +288,9 @@ def length(text: str) -> int:
 
 
 def link_heavy(b: Block) -> bool:
-    return b.linked > LINK_DENSITY * max(1, len(b.text.replace(" ", "")))
+    """Mostly links, with little text of its own beside them."""
+    size = len(b.text.replace(" ", ""))
+    return b.linked > LINK_DENSITY * max(1, size) and size - b.linked < LONG
 
 
 def stop_words(text: str) -> tuple[int, int]:
@@ -287,8 +308,10 @@ def judged(found: list[Block], by_name: bool) -> list[int]:
     known = sum(s for _, s in counts) >= KNOWN * sum(n for n, _ in counts)
     for b, (words, stops) in zip(found, counts, strict=True):
         size, share = length(b.text), stops / words if words else 0.0
-        if b.barred or by_name and b.named or link_heavy(b):
+        if b.barred or by_name and (b.named or b.hinted and size < SHORT) or link_heavy(b):
             out.append(-1)
+        elif b.kind == "pre":
+            out.append(0)
         elif size < SHORT:
             out.append(-1 if b.text.startswith(("©", "(c) ")) and not b.article else 0)
         elif not known:
@@ -327,6 +350,8 @@ def settled(found: list[Block], labels: list[int], by_name: bool = True) -> list
             continue
         if found[i].article:
             out[i] = 1 if max(left[2], right[2]) > 0 or left[2] == right[2] == 0 else -1
+        elif found[i].kind == "heading" and right[0]:
+            out[i] = right[0]
         elif not right[0] or left[0] and left[1] <= right[1]:
             out[i] = left[0]
         else:
@@ -342,12 +367,12 @@ def labelled(found: list[Block]) -> list[int]:
         out = settled(found, judged(found, False) if labels is None else labels, by_name)
         if max(out, default=0) > 0:
             return out
-    left = [i for i, b in enumerate(found) if not b.barred and not link_heavy(b)]
-    if not left:
-        return out
-    plain = [i for i in left if not found[i].named] or left
-    best = max(plain, key=lambda i: (length(found[i].text), -i))
-    return [1 if i == best else -1 for i in range(len(found))]
+    # Short lines, or little beside links: what isn't ruled out stays as a whole.
+    for left in ([b for b in found if not (b.barred or b.named or b.hinted or link_heavy(b))], [b for b in found if not b.barred and not link_heavy(b)], [b for b in found if not b.barred and len(b.text.replace(" ", "")) - b.linked >= SHORT // 2]):
+        if left:
+            stays = {id(b) for b in left}
+            return [1 if id(b) in stays else -1 for b in found]
+    return out
 
 
 def main_text(page: str | None) -> str:

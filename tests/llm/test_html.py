@@ -65,3 +65,32 @@ def test_hostile_markup_takes_linear_time():
     html.main_text('<script ' * 1_250_000)
     assert time.time() - began < 60
     assert html.main_text("&#" + "9" * 6000 + ";x") == "\ufffdx"
+
+
+def test_nothing_is_lost_on_pages_of_short_blocks():
+    song = [f"line {i} of the song is short" for i in range(8)]
+    assert html.main_text("<body><h1>Song</h1>" + "".join(f"<p>{x}</p>" for x in song) + "</body>").split("\n") == ["Song", *song]
+    talk = [x for i in range(5) for x in (f"What is {i}?", f"It is {i}.")]
+    assert html.main_text("<body><nav><a href=x>Home</a></nav>" + "".join(f"<p>{x}</p>" for x in talk) + "<footer>End</footer></body>").split("\n") == talk
+
+
+def test_a_listed_word_in_a_longer_name_bars_short_blocks_and_lists_of_links_only():
+    for mark in ('id="related-work"', 'id="social-impact"', 'class="share-price"', 'class="replies-to-the-editor"'):
+        assert html.main_text(f"<article><p>{STORY}</p><section {mark}><h2>More</h2><p>{STORY} too</p></section></article>").endswith(f"{STORY} too")
+        assert html.main_text(f"<body><p>{STORY} {STORY}</p><div {mark}><a href=x>{STORY}</a></div><div {mark}>Five of them</div></body>") == f"{STORY} {STORY}"
+    assert html.main_text(f'<body><div class="promotion"><p>{STORY} {STORY}</p></div></body>') == f"{STORY} {STORY}"
+    for mark in ("ad", "comments", "cookie", "site-footer", "left_sidebar_box", "cookie-notice", "commentList comments-section"):
+        assert html.main_text(f'<body><p>{STORY} {STORY}</p><div class="{mark}"><p>{STORY} {STORY} not</p></div></body>') == f"{STORY} {STORY}"
+
+
+def test_forms_links_headings_and_preformatted_text():
+    long = f"{STORY} {STORY}"
+    assert html.main_text(f"<body><form action=x><p>{long}</p><p>{long} end</p><input><button>Go</button></form><footer>End</footer></body>") == f"{long}\n{long} end"
+    assert html.main_text(f"<body><p>{long} {long}</p><form><p>{long}</p></form></body>") == f"{long} {long}"
+    assert html.main_text(f"<body><nav><a>x</a></nav><p><a href=x>{STORY}</a> and of the other <a href=y>things of the town</a> that we knew in those days</p></body>").startswith(STORY)
+    links = " ".join(f'<a href="{i}">{STORY[:60]}</a> {STORY[60:]}' for i in range(4))
+    assert html.main_text(f"<body><p>{links}</p></body>").count("valley") == 4
+    code = "int main() { return 0; } /* xyzzy plugh frobnicate quux */"
+    assert html.main_text(f"<body><p>{long}</p><pre>{code}</pre><p>{long}</p></body>").split("\n") == [long, code, long]
+    menu = "<ul><li><a href=x>One link of the list</a></li><li><a href=y>Two link of the list</a></li></ul>"
+    assert html.main_text(f"<body>{menu}<h1>The title</h1><p>{long}</p><h3>Elsewhere</h3>{menu}</body>") == f"The title\n{long}"
