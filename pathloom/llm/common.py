@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns called by their places, so that none is called like a helper, and these names by the former ones."""
+    at = {c: f"c{i}_" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), at
+
+
+def named_back(df: DataFrame, at: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(a).alias(c) for c, a in at.items()])
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint when the counted rows stay under the limit; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

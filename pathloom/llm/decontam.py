@@ -28,7 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import release, small, written
+from pathloom.llm.common import by_place, named_back, release, small, written
 
 #: ASCII characters that belong to no word.
 OUTSIDE = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -169,8 +169,9 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     matches, used = find(docs, items)
     bad = written(matches.exact.select("doc_id", "th").distinct(), "contaminated")
     release(*used)
-    bad = small(bad.withColumnRenamed("doc_id", "__pl_id").withColumnRenamed("th", "__pl_th"), bad.count())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (text_hash(F.col("text")) == F.col("__pl_th")), "left_anti")
+    bad = small(bad.withColumnRenamed("doc_id", "id_").withColumnRenamed("th", "th_"), bad.count())
+    given, at = by_place(docs)
+    return named_back(given.join(bad, F.col(at["doc_id"]).eqNullSafe(F.col("id_")) & (text_hash(F.col(at["text"])) == F.col("th_")), "left_anti"), at)
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

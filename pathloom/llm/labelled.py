@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import zip_longest
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import id_crc, release, written
 
 
+def within(rows: DataFrame, size: Column, budget: int) -> DataFrame:
+    """Of sampled rows (h, text, y), those whose sizes fit the budget together, the classes in turn, each in the order of h; written.
+
+    One that doesn't fit is passed over for the next, so that a text of any length leaves the others their places.
+    """
+    order: dict[int, list] = {}
+    for r in rows.select("h", "y", size.alias("size")).orderBy("h", "size").collect():
+        order.setdefault(r["y"], []).append((r["h"], r["size"]))
+    left, taken = budget, []
+    for turn in zip_longest(*[order[y] for y in sorted(order)]):
+        for h, n in filter(None, turn):
+            if n <= left:
+                left -= n
+                taken.append((h,))
+    keep = F.broadcast(rows.sparkSession.createDataFrame(taken, "h long"))  # no more than the sample has rows
+    out = written(rows.join(keep, "h", "left_semi"), "sample")
+    release(rows)
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: dict[int, int], seed: int) -> tuple[DataFrame, dict[int, int]]:
     """Hash h, text and label y of training rows, at most per_class[y] of each class, and all training labels' counts.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import charfeat
-from pathloom.llm.common import arrow_rows, id_crc, slices, texts
+from pathloom.llm.common import arrow_rows, by_place, id_crc, slices, texts
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -180,8 +180,9 @@ def identify(docs: DataFrame, model: dict | None, text_col: str = "text") -> Dat
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     # One column first, for the text is scored once however often its parts are used.
-    found = docs.drop("lang_pred", "score").withColumn("__pl_found", named(F.col(f"`{text_col}`")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "__pl_found.lang_pred", "__pl_found.score")
+    given, at = by_place(docs)
+    found = given.withColumn("found_", named(F.col(at[text_col])))
+    return found.select(*[F.col(a).alias(c) for c, a in at.items() if c not in ("lang_pred", "score")], "found_.lang_pred", "found_.score")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import arrow_rows, release, scope, slices, small, written
+from pathloom.llm.common import arrow_rows, by_place, named_back, release, scope, slices, small, written
 from pathloom.llm.components import components
 
 SHINGLE, BANDS, ROWS, FIRST, LEADERS = 5, 24, 4, 4, 3
@@ -235,16 +235,19 @@ def across(docs: DataFrame, classes: DataFrame, open_: DataFrame) -> DataFrame:
     # The smallest set behind a shingle tightens how early it has to come.
     least = entries.groupBy("tok").agg(F.min("n").alias("least"), F.count("*").alias("f"))
     entries_ = with_token(entries, least).where(room >= need(F.col("n"), F.greatest(0.75 * F.col("n"), F.col("least")))).drop("least", "f")
-    mixed = entries_.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("f")).where("lo < hi")
-    mixed = mixed.select("tok", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks"), "f")
+    # A shingle's largest component meets the others only, so a group of copies isn't compared with itself.
+    per = entries_.groupBy("tok", "comp").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("f")).where("f > most")
+    mixed = mixed.select("tok", "main", F.ceil((F.col("f") - F.col("most")) / BLOCK).cast("int").alias("bi"), F.ceil(F.col("f") / BLOCK).cast("int").alias("bj"), "f")
     kept = written(with_token(entries_, mixed).drop("f"), "entries")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # Block pair (i, j) with i <= j: entries of block i on the left, of block j on the right.
-    left = kept.withColumn("i_", block).withColumn("j_", F.explode(F.sequence(F.col("i_"), F.col("blocks") - 1)))
-    right = kept.withColumn("j_", block).withColumn("i_", F.explode(F.sequence(F.lit(0), F.col("j_"))))
-    x, y = (t.select("tok", "i_", "j_", *[F.col(c).alias(c + u) for c in ("node", "n", "comp", "i")]) for t, u in ((left, "x"), (right, "y")))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Block pair (i, j): entries of other components than the largest on the left, all entries on the right.
+    left = kept.where("comp != main").withColumn("i_", block("bi")).withColumn("j_", every("bj"))
+    right = kept.withColumn("j_", block("bj")).withColumn("i_", every("bi"))
+    x, y = (t.select("tok", "i_", "j_", *[F.col(c).alias(c + u) for c in ("node", "n", "comp", "i", "main")]) for t, u in ((left, "x"), (right, "y")))
     pairs = x.join(y, ["tok", "i_", "j_"]).where(
-        ((F.col("nodex") < F.col("nodey")) | (F.col("i_") < F.col("j_"))) & (F.col("compx") != F.col("compy")) & comparable("nx", "ny")
+        ((F.col("nodex") < F.col("nodey")) | (F.col("compy") == F.col("mainy"))) & (F.col("compx") != F.col("compy")) & comparable("nx", "ny")
         & (7 * (1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))) >= need(F.col("nx"), F.col("ny")))
     )
     out = written(pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct(), "across")
@@ -332,15 +335,16 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     rows = sigs.join(groups, ["d1", "d2"]).groupBy("doc_id", "th", "head", "head_th").agg(F.count("*").alias("n"))
     kept = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("th") == F.col("head_th"))
     # What goes, and of what stays the repeated rows.
-    marked = written(rows.where(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th"), kept.alias("__pl_again")), "gone")
+    marked = written(rows.where(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("id_"), F.col("th").alias("th_"), kept.alias("again_")), "gone")
     release(sigs, groups)
-    again = marked.where("__pl_again").count()
-    at = F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (text_hash(F.col("text")) == F.col("__pl_th"))
-    out = docs.join(small(marked, marked.count()), at, "left_anti")
+    again = marked.where("again_").count()
+    given, names = by_place(docs)
+    at = F.col(names["doc_id"]).eqNullSafe(F.col("id_")) & (text_hash(F.col(names["text"])) == F.col("th_"))
+    out = given.join(small(marked, marked.count()), at, "left_anti")
     if again:
-        same = docs.join(small(marked.where("__pl_again"), again), at).groupBy("__pl_id", "__pl_th").agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("x"))
+        same = given.join(small(marked.where("again_"), again), at).groupBy("id_", "th_").agg(F.any_value(F.struct(*given.columns)).alias("x"))
         out = out.unionByName(same.select("x.*"))
-    return out
+    return named_back(out, names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

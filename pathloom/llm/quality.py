@@ -29,6 +29,8 @@ from pathloom.llm.common import arrow_rows, id_crc, release, slices, texts
 
 #: Labelled documents of each class the field is fitted on at most.
 PER_CLASS = {0: 1500, 1: 2500}
+#: Lines of these documents together at most.
+LINES = 150_000
 OWN = 17
 WIDTH = 3 * OWN + 3
 STEPS, RATE, DECAY = 250, 0.05, 1e-3
@@ -181,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) ->
 
 def _fit(docs: DataFrame, labels: DataFrame, modulus: int, held: int) -> dict:
     sample, prior = labelled.sample(docs, labels, "quality", modulus, held, PER_CLASS, 29)
+    sample = labelled.within(sample, F.size(F.split("text", "\\n")), LINES)
     rows = {0: 0, 1: 0} | dict(sample.groupBy("y").count().collect())
     if not rows[0] or not rows[1]:
         return {"constant": prior[1] / (prior[0] + prior[1]) if sum(prior.values()) else 0.5}

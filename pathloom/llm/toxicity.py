@@ -29,6 +29,8 @@ BITS = 20
 ORDERS = (3, 4, 5)
 #: Labelled rows of each class the model is fitted on at most; the driver holds their sets of n-grams.
 PER_CLASS = {1: 2000, 0: 4000}
+#: Characters of these documents together at most.
+CHARACTERS = 40_000_000
 SMOOTH = 50.0
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 30.0, 0.1, 0.1, 0.1
@@ -158,6 +160,7 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> dict:
     with arrow_rows(docs.sparkSession, 1000):
         sample, prior = labelled.sample(docs, labels, "toxic", modulus, held, PER_CLASS, 23)
+        sample = labelled.within(sample, F.char_length("text"), CHARACTERS)
 
         def featurise(batches):
             grams = Grams()

@@ -167,3 +167,35 @@ def test_ftrl_and_features():
     assert np.mean([np.argmax(v @ w[at] + b) == y for at, v, y in samples]) > 0.99 and (w == 0).mean() > 0.9
     logits = np.array([[4.0, 0, 0], [0, 4.0, 0], [4.0, 0, 0], [4.0, 0, 0]])
     assert langid.temperature(logits, np.array([0, 1, 1, 2])) > 1 > langid.temperature(logits / 4, np.array([0, 1, 0, 0]))
+
+
+def test_fits_stay_within_their_budgets(spark, frames, corpus, monkeypatch):
+    """Documents of 10^5 lines are passed over once the budget is spent, and the others still teach."""
+    monkeypatch.setattr(quality, "LINES", 1500)
+    monkeypatch.setattr(toxicity, "CHARACTERS", 60_000)
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, y, f=quality.train: seen.append(sum(map(len, x))) or f(x, y))
+    monkeypatch.setattr(toxicity, "learn", lambda flat, sizes, y, prior, f=toxicity.learn: seen.append(int(sizes.size)) or f(flat, sizes, y, prior))
+    docs, labels = frames
+    huge = spark.createDataFrame([(10_000 + i, "der und\n" * 100_000, "de", "s", "") for i in range(4)], docs.schema)
+    marks = spark.createDataFrame([(10_000 + i, i % 2, i % 2) for i in range(4)], labels.schema)
+    held = [d for d in corpus[0][:900] if rest(d[0], 3) == 1]
+    want = {i: q for i, q, _ in corpus[1][:900]}
+    model = quality.fit(docs.unionByName(huge), labels.unionByName(marks))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert 1000 < seen[0] <= 1500 and np.mean([(got[d[0]] >= 0.5) == want[d[0]] for d in held]) > 0.9
+    toxicity.fit(docs.unionByName(huge), labels.unionByName(marks))
+    assert 50 < seen[1] < 700
+
+
+def test_columns_called_like_helpers(spark):
+    from pathloom.llm import decontam, minhash
+
+    names = ["doc_id", "text", "lang", "__pl_id", "__pl_th", "__pl_again", "__pl_found", "id_", "th_", "again_", "found_", "c0_", "c1_", "h", "node"]
+    rows = [(i, f"one two three four five six seven eight nine ten eleven {i // 2}", "en", *["x"] * 12) for i in range(4)] + [(0, "one two three four five six seven eight nine ten eleven 0", "en", *["x"] * 12)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    left = minhash.drop_copies(docs)
+    assert left.columns == names and [r.doc_id for r in left.collect()] == [0]
+    assert decontam.clean(docs, spark.createDataFrame([("i", "of quite other words")], "item_id string, text string")).count() == 5
+    found = langid.identify(docs, None)
+    assert found.columns == [*names, "lang_pred", "score"] and {r.found_ for r in found.collect()} == {"x"}
