@@ -110,6 +110,8 @@ def sql(body: str) -> str:
                     need.append(name)
 
     visit(body)
+    if body.startswith("with recursive "):
+        return "with recursive " + ", ".join(f"{n} as materialized ({_CTES[n]})" for n in need) + ", " + body[15:]
     if body.startswith("with "):
         return "with " + ", ".join(f"{n} as materialized ({_CTES[n]})" for n in need) + ", " + body[5:]
     return "with " + ", ".join(f"{n} as materialized ({_CTES[n]})" for n in need) + " " + body if need else body
@@ -550,18 +552,16 @@ def nonmatch_probability(k):
     return k.spark.createDataFrame([(round(D.non_matching_probability(_cover(k), k.samples, D.imbalance_ratio(k.samples)), 6),)], "probability double")
 
 
-def _greedy(rounds: int = 8) -> str:
-    """Rounds of the greedy selection one after another; a round that finds nothing better leaves the choice as it is."""
-    steps = ["s0 as materialized (select 0::bigint rule_id where false)"]
-    for r in range(1, rounds + 1):
-        start = f"case when (select count(*) from s{r - 1})=0 then -0.5 else 0 end"
-        steps.append(f"o{r} as materialized (select sam.pair_id, label, weight from sam where pair_id not in (select pair_id from cov join s{r - 1} using(rule_id)))")
-        steps.append(f"m{r} as materialized (select q.rule_id, round({start}+0.5*coalesce(coalesce(g.n,0)/nullif(tot.n,0),0)-0.5*coalesce(g.p,0)/tot.p,12) mw, case when pos+neg=0 then 0 else pos/(pos+neg) end cf from sums q cross join tot left join (select rule_id, sum(case when o{r}.label=1 then weight else 0 end) p, sum(case when o{r}.label=0 then weight else 0 end) n from cov join o{r} using(pair_id) group by 1) g on g.rule_id=q.rule_id where q.rule_id not in (select rule_id from s{r - 1}))")
-        steps.append(f"s{r} as materialized (select rule_id from s{r - 1} union all (select rule_id from (select * from m{r} order by mw, cf desc, rule_id desc limit 1) z where mw<0))")
-    return "with " + ", ".join(steps) + f" select cast(rule_id as int) rule_id, pattern, round(proba,6) proba from s{rounds} join rules using(rule_id) join conf using(rule_id)"
+_CTES["pr"] = "select pair_id, any_value(sam.label) label, any_value(weight) weight, list(rule_id) rs from cov join sam using(pair_id) group by pair_id"
+#: The greedy selection as a recursion: it ends where nothing lowers the objective any more.
+_GREEDY = """with recursive g as (select cast([] as bigint[]) chosen union all
+  select list_append(chosen, best) from (select chosen, arg_min(rule_id, {'a': mw, 'b': -cf, 'c': -rule_id}) best, min(mw) mw from
+    (select g.chosen, c.rule_id, round(case when len(g.chosen)=0 then -0.5 else 0 end+0.5*coalesce(sum(case when pr.label=0 and not list_has_any(pr.rs, g.chosen) then weight else 0 end)/nullif(any_value(tot.n),0),0)-0.5*sum(case when pr.label=1 and not list_has_any(pr.rs, g.chosen) then weight else 0 end)/any_value(tot.p),12) mw,
+      any_value(case when pos+neg=0 then 0 else pos/(pos+neg) end) cf from g join cov c on not list_contains(g.chosen, c.rule_id) join pr on pr.pair_id=c.pair_id join sums q on q.rule_id=c.rule_id cross join tot group by g.chosen, c.rule_id) m group by chosen) y where mw<0)
+  select cast(rule_id as int) rule_id, pattern, round(proba,6) proba from (select unnest(chosen) rule_id from (select chosen from g order by len(chosen) desc limit 1) t) z join rules using(rule_id) join conf using(rule_id)"""
 
 
-@query(_greedy())
+@query(_GREEDY)
 def decision_set_greedy(k):
     model = D.fit(_rules(k), _cover(k), k.samples, 0.5)
     return model.rules.select("rule_id", "pattern", F.round("proba", 6).alias("proba"))

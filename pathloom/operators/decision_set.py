@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators import rules as R
+from pathloom.sources.stages import release, written
 
 
 def class_weights(samples: DataFrame) -> tuple[float, float]:
@@ -62,21 +63,34 @@ def marginal_weights(cover: DataFrame, samples: DataFrame, alpha: float, covered
 def select_greedy(cover: DataFrame, samples: DataFrame, alpha: float = 0.5) -> list[int]:
     """Rules added one by one, each the cheapest, while the objective falls; ties go to higher confidence, then id.
 
-    A round is one aggregation of the cover table minus the pairs covered so far; only the chosen rule
-    reaches the driver. The pairs covered are a semi-join with the few rules chosen, so lineage doesn't grow.
+    What every rule would add is kept and not worked out again: a round takes the pairs that the chosen rule is the first
+    to cover from an index of pairs with their rules, and subtracts them from the sums of the rules they have. Once a rule
+    is chosen, one without an uncovered positive can't lower the objective any more, so it leaves the table. Only the
+    chosen rule reaches the driver.
     """
+    p, n = class_weights(samples)
+    pairs = cover.select("rule_id", "pair_id").distinct().join(samples.select("pair_id", "weight", "label"), "pair_id")
+    index = pairs.groupBy("pair_id").agg(F.collect_list("rule_id").alias("rules"), F.any_value("weight").alias("weight"), F.any_value("label").alias("label"))
+    index = written(index, "index")
+    left = written(rule_sums(cover, samples).select("rule_id", "pos", "neg", "confidence"), "residual")
+    share = lambda c, whole: F.col(c) / F.lit(whole) if whole else F.lit(0.0)
     chosen: list[int] = []
-    cover = cover.persist()
-    try:
-        while True:
-            left = cover.where(~F.col("rule_id").isin(chosen)) if chosen else cover
-            covered = cover.where(F.col("rule_id").isin(chosen)).select("pair_id").distinct() if chosen else None
-            best = marginal_weights(left, samples, alpha, covered).orderBy("marginal", F.desc("confidence"), F.desc("rule_id")).first()
-            if best is None or best["marginal"] >= 0:
-                return chosen
-            chosen.append(best["rule_id"])
-    finally:
-        cover.unpersist()
+    while True:
+        change = F.lit(0.0 if chosen else alpha - 1.0) + (1 - alpha) * share("neg", n) - alpha * share("pos", p)
+        best = left.select("rule_id", F.round(change, 12).alias("marginal"), "confidence").orderBy("marginal", F.desc("confidence"), F.desc("rule_id")).first()
+        if best is None or best["marginal"] >= 0:
+            return chosen
+        new = index.where(F.array_contains("rules", best["rule_id"]))
+        if chosen:
+            new = new.where(~F.arrays_overlap("rules", F.array(*[F.lit(r) for r in chosen])))
+        chosen.append(best["rule_id"])
+        gone = new.select(F.explode("rules").alias("rule_id"), F.when(F.col("label") == 1, F.col("weight")).otherwise(0.0).alias("p"), F.when(F.col("label") == 0, F.col("weight")).otherwise(0.0).alias("n"))
+        gone = gone.groupBy("rule_id").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        rest = left.where(F.col("rule_id") != best["rule_id"]).join(gone, "rule_id", "left").fillna(0.0, ["p", "n"])
+        rest = rest.select("rule_id", (F.col("pos") - F.col("p")).alias("pos"), (F.col("neg") - F.col("n")).alias("neg"), "confidence")
+        rest = written(rest.where(F.col("pos") > 1e-12), "residual")
+        release(left)
+        left = rest
 
 
 def select_sequential(cover: DataFrame, samples: DataFrame, by: str = "conf", cover_threshold: int = 1) -> DataFrame:
