@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions import abbreviated_metaedge, abbreviated_metapath, first_label, list_literal, max_scaled, metaedge_text, minmax_scaled, rule_text
+from pathloom.functions import abbreviated_metaedge, abbreviated_metapath, first_label, list_literal, max_scaled, metaedge_text, minmax_scaled, rule_text, with_extremes
 from pathloom.operators import decision_set as D
 from pathloom.operators import graph as G
 from pathloom.operators import metrics as E
@@ -330,7 +330,8 @@ def trainset(k):
 
 @query("select s_suppkey, s_acctbal/max(s_acctbal) over () scaled, (s_acctbal-min(s_acctbal) over ())/(max(s_acctbal) over ()-min(s_acctbal) over ()) minmax from supplier")
 def scaled_values(k):
-    return k.table("supplier").select("s_suppkey", max_scaled(F.col("s_acctbal")).alias("scaled"), minmax_scaled(F.col("s_acctbal")).alias("minmax"))
+    value = F.col("s_acctbal")
+    return with_extremes(k.table("supplier"), value).select("s_suppkey", max_scaled(value, F.col("high")).alias("scaled"), minmax_scaled(value, F.col("low"), F.col("high")).alias("minmax"))
 
 
 _RAW = "select 'S'||min(l_suppkey) g1, 'S'||max(l_suppkey) g2, cast(l_orderkey as double) w from lineitem group by l_orderkey having count(distinct l_suppkey) >= 2"

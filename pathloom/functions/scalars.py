@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Between the labels and types of a metapath key; labels and types don't contain it.
@@ -89,15 +89,19 @@ def rule_text(rule_id: Column, pattern: Column, positives: Column, negatives: Co
     return out if negatives is None else F.concat(out, F.lit(" | Negative matches: "), negatives.cast("string"))
 
 
-def max_scaled(value: Column, largest: float | None = None) -> Column:
-    """value over a given largest value or that of all rows."""
-    return value / (F.lit(float(largest)) if largest is not None else F.max(value).over(Window.partitionBy()))
+def max_scaled(value: Column, largest: Column | float) -> Column:
+    """value over the largest value."""
+    return value / (largest if isinstance(largest, Column) else F.lit(float(largest)))
 
 
-def minmax_scaled(value: Column) -> Column:
-    low, high = F.min(value).over(Window.partitionBy()), F.max(value).over(Window.partitionBy())
+def minmax_scaled(value: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
 
 
+def with_extremes(df: DataFrame, value: Column) -> DataFrame:
+    """df with the lowest and highest value of all rows, low and high: one aggregate, joined as one row."""
+    return df.crossJoin(F.broadcast(df.agg(F.min(value).alias("low"), F.max(value).alias("high"))))
+
+
 def valid_support(weight: Column, minsup: float) -> Column:
     return weight >= F.lit(minsup)

@@ -8,17 +8,17 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pathloom.operators.paths import directed
+from pathloom.sources.stages import ordinals
 
 
 def numbered(patterns: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Rules from patterns, numbered from 1 in the order of their metapaths and conditions. Patterns are few next to pairs."""
-    order = Window.orderBy("mps", "unif")
-    out = patterns.withColumn("rule_id", F.row_number().over(order))
+    """Rules from patterns, numbered from 1 in the order of their metapaths and conditions."""
+    out = ordinals(patterns, "mps", "unif", name="rule_id").withColumn("rule_id", (F.col("rule_id") + 1).cast("int"))
     if thresholds is None:
         out = out.withColumn("thresholds", F.transform("mps", lambda _: F.lit(0.0)))
     else:

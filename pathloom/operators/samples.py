@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import confidence_level, max_scaled, oriented
 from pathloom.operators.graph import Graph
+from pathloom.sources.stages import ordinals, written
 
 #: Weight of a positive pair is its level over the highest level.
 TOP_LEVEL = 3
@@ -105,5 +106,8 @@ def train_set(train: DataFrame, holdout: DataFrame, neg: DataFrame) -> DataFrame
 
 def stratified_folds(samples: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     """samples with fold 0 to k - 1, the classes spread evenly in a hashed order."""
-    order = Window.partitionBy("label").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "pair_id").cast("binary")), "pair_id")
-    return samples.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    mixed = samples.withColumn("order__", F.md5(F.concat_ws(":", F.lit(str(seed)), "pair_id").cast("binary")))
+    placed = written(ordinals(mixed, "label", "order__", "pair_id", name="place__"), "placed")
+    first = placed.groupBy(F.col("label").alias("label__")).agg(F.min("place__").alias("first__"))
+    out = placed.join(F.broadcast(first), F.col("label").eqNullSafe(F.col("label__")))  # a row per class
+    return out.withColumn("fold", ((F.col("place__") - F.col("first__")) % k).cast("int")).select(*samples.columns, "fold")

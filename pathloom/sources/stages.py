@@ -6,13 +6,14 @@ import atexit
 import contextlib
 import hashlib
 import json
+import pathlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders that written() left and nobody has released.
@@ -71,6 +72,23 @@ def ordinals(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("head__") + F.col("at__").bitwiseAND(inside)).alias(name))
 
 
+def running_sums(df: DataFrame, order: Column, *columns: str) -> DataFrame:
+    """df with every column's sum up to its row, as <column>_upto, in the order given, which must tell rows apart; written.
+
+    Sums run inside ranges of rows; what the ranges before add to each is summed on the driver.
+    """
+    parted = written(df.repartitionByRange(order).withColumn("range__", F.spark_partition_id()), "ranges")
+    totals = sorted(parted.groupBy("range__").agg(*[F.sum(c).alias(c) for c in columns]).collect(), key=lambda r: r["range__"])
+    heads, at = [], [0.0] * len(columns)
+    for r in totals:
+        heads.append((r["range__"], *at))
+        at = [a + (r[c] or 0.0) for a, c in zip(at, columns, strict=True)]
+    ahead = F.broadcast(df.sparkSession.createDataFrame(heads, "range__ int, " + ", ".join(f"{c}__ double" for c in columns)))  # one row per range
+    upto = Window.partitionBy("range__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parted.join(ahead, "range__")
+    return out.select(*[F.col(c) for c in df.columns], *[(F.col(f"{c}__") + F.sum(c).over(upto)).alias(f"{c}_upto") for c in columns])
+
+
 def _delete(paths) -> None:
     jvm = SparkContext._jvm
     for path in list(paths):
@@ -108,14 +126,41 @@ def _at_exit() -> None:
             release_all()
 
 
+def _version() -> str:
+    """A hash of this package's code, so that no stage of former code is served."""
+    root = pathlib.Path(__file__).resolve().parent.parent
+    files = sorted(p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts)
+    return hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]
+
+
+def _state(value):
+    """What an input names, as it is now: of paths, the lengths and times of their files."""
+    spark = SparkSession.getActiveSession()
+    if isinstance(value, (list, tuple)):
+        return [_state(v) for v in value]
+    if not isinstance(value, str) or not ("/" in value or "." in value) or spark is None or not _exists(spark, value):
+        return value
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(value)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isFile():
+        found = [fs.getFileStatus(at)]
+    else:
+        every, found = fs.listFiles(at, True), []
+        while every.hasNext():
+            found.append(every.next())
+    return [value, sorted([f.getPath().toString(), f.getLen(), f.getModificationTime()] for f in found)]
+
+
 class StageCache:
-    """Named stages under a folder; a stage's key is its name and a hash of all parameters and inputs given."""
+    """Named stages under a folder. A stage's key is its name and a hash of the parameters and inputs given, of the state of
+    the files that these name, and of the package's code; a stage appears under it as a whole, by a rename."""
 
     def __init__(self, folder: str, update: bool = False):
         self.folder, self.update = folder.rstrip("/"), update
 
     def path(self, stage: str, **inputs) -> str:
-        key = hashlib.sha256(json.dumps(inputs, sort_keys=True, default=str).encode()).hexdigest()[:20]
+        known = {name: _state(value) for name, value in inputs.items()} | {"code": _version()}
+        key = hashlib.sha256(json.dumps(known, sort_keys=True, default=str).encode()).hexdigest()[:20]
         return f"{self.folder}/{stage}/{key}"
 
     def has(self, spark: SparkSession, stage: str, **inputs) -> bool:
@@ -124,7 +169,9 @@ class StageCache:
     def get_or_store(self, spark: SparkSession, stage: str, build: Callable[[], DataFrame], **inputs) -> DataFrame:
         path = self.path(stage, **inputs)
         if self.update or not self.has(spark, stage, **inputs):
-            build().write.mode("overwrite").parquet(path)
+            part = f"{path}-{uuid.uuid4().hex}"
+            build().write.parquet(part)
+            _moved(spark, part, path)
         return spark.read.parquet(path)
 
 
@@ -154,6 +201,15 @@ class ValueCache:
         return found
 
 
+def _moved(spark: SparkSession, source: str, target: str) -> None:
+    """What stood at the target gives way to the source."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(to, True)
+    if not fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source), to):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

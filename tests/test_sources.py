@@ -98,3 +98,29 @@ def test_hubs_meet_only_for_pairs(spark):
     pairs = spark.createDataFrame([("p", "x1", "y2"), ("q", "x1", "y3"), ("r", "x5", "x6")], "pair_id string, a string, b string")
     out = paths.enumerate_paths(pairs, adjacency)
     assert sorted((r.pair_id, r.nodes, round(r.score, 6)) for r in out.collect()) == [("p", ["hub"], 0.5), ("q", ["hub"], 0.5)]
+
+
+def test_stages_follow_the_state_of_their_inputs(spark, tmp_path):
+    """A file that changed under the same name isn't served from the cache; nor is an unchanged one built again."""
+    from pathloom.sources.stages import StageCache
+
+    built, graph = [], tmp_path / "kg.txt"
+    cache = StageCache(f"file://{tmp_path}/cache")
+
+    def stage():
+        return cache.get_or_store(spark, "lines", lambda: built.append(1) or spark.read.text(str(graph)), kg=str(graph), cutoff=3).collect()
+
+    graph.write_text("one")
+    assert [r.value for r in stage()] == ["one"] == [r.value for r in stage()] and len(built) == 1
+    graph.write_text("two, and longer")
+    assert [r.value for r in stage()] == ["two, and longer"] and len(built) == 2
+    assert cache.path("lines", kg=str(graph), cutoff=4) != cache.path("lines", kg=str(graph), cutoff=3)
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from pathloom.sources.stages import running_sums
+
+    rows = running_sums(spark.range(300).select("id", F.lit(0.5).alias("x")).repartition(6), F.desc("id"), "x").collect()
+    assert {r.id: r.x_upto for r in rows} == {i: 0.5 * (300 - i) for i in range(300)}
