@@ -20,7 +20,9 @@ from pathloom.operators import paths as P
 from pathloom.operators import rules as R
 from pathloom.operators import samples as S
 from pathloom.operators import thresholds as T
+from pathloom.plans import crossval as C
 from pathloom.plans.fixture import CUTOFF, Fixture, fixture
+from pathloom.plans.params import Params
 from pathloom.sources.stages import shared_dir, written
 
 #: Share of all pair weight for sets of metapaths, and for shared-node conditions.
@@ -632,6 +634,61 @@ def stratified_folds(k):
     return S.stratified_folds(k.samples).select("pair_id", "label", "fold")
 
 
+#: Folds of the cross-validation queries.
+FOLDS = 5
+
+_CTES |= {
+    "cvf": f"select pair_id, weight, label, cast((row_number() over (partition by label order by md5('42:'||pair_id), pair_id)-1)%{FOLDS} as int) fold from sam",
+    "cvt": f"select f, pair_id, weight, label from (select unnest(range(0,{FOLDS})) f) g join cvf on fold<>f",
+    "cvm": f"select f, {SET_RATIO}*sum(weight)-1e-9 m from cvt where label=1 group by f",
+    "cvone": "select f, mp from tx join cvt using(pair_id) join cvm using(f) where label=1 group by f, mp having sum(weight)>=any_value(m)",
+    "cvx": "select f, pair_id, mp, weight from tx join cvt using(pair_id) join cvone using(f,mp) where label=1",
+    "cvxx": "select x.f, x.pair_id, x.weight, x.mp a, y.mp b from cvx x join cvx y on x.f=y.f and x.pair_id=y.pair_id and x.mp<y.mp",
+    "cvtwo": "select f, a, b, count(*) n from cvxx join cvm using(f) group by f, a, b having sum(weight)>=any_value(m)",
+    "cvxxx": "select q.f, q.pair_id, q.weight, q.a, q.b, z.mp c from cvxx q join cvtwo t on t.f=q.f and t.a=q.a and t.b=q.b join cvx z on z.f=q.f and z.pair_id=q.pair_id and z.mp>q.b",
+    "cvthree": "select f, a, b, c, count(*) n from cvxxx join cvm using(f) group by f, a, b, c having sum(weight)>=any_value(m)",
+    "cvp": "select f, [a,b] mps, 2 k, n from cvtwo union all select f, [a,b,c], 3, n from cvthree",
+    "cvr": "select f, mps, k, row_number() over (partition by f order by mps) rid from cvp x where not exists (select 1 from cvp y where y.f=x.f and y.k=x.k+1 and list_contains(y.mps, x.mps[1]) and x.n<=y.n)",
+    "cvi": "select f, rid, k, unnest(mps) mp from cvr",
+    "cvc": "select f, rid, pair_id from cvi join (select distinct pair_id, mp from ap) h using(mp) group by f, rid, pair_id having count(distinct mp)=any_value(k)",
+    "cvw": "select c.f, c.rid, c.pair_id, t.weight, t.label from cvc c join cvt t on t.f=c.f and t.pair_id=c.pair_id",
+    "cvs": "select f, rid, sum(case when label=1 then weight else 0 end) pos, sum(case when label=0 then weight else 0 end) neg from cvw group by f, rid",
+    "cvk": "select f, rid, row_number() over (partition by f order by -round(case when round(pos,9)+round(neg,9)=0 then 0 else round(pos,9)/(round(pos,9)+round(neg,9)) end,12), -round(pos,9), rid) rk from cvs",
+    "cvb": "select distinct f, rid from (select w.f, arg_min(w.rid, rk) rid from cvw w join cvk k on k.f=w.f and k.rid=w.rid where label=1 group by w.f, w.pair_id) z",
+    "cvn": "select f, case when sum(case when label=0 then weight else 0 end)>0 then sum(case when label=1 then weight else 0 end)/sum(case when label=0 then weight else 0 end) else 1 end r from cvt group by f",
+    "cvq": "select s.f, s.rid, round(case when pos+r*neg=0 then 0 else pos/(pos+r*neg) end,12) proba from cvs s join cvb b on b.f=s.f and b.rid=s.rid join cvn n on n.f=s.f",
+    "cvu": "select f, sum(case when label=1 then weight else 0 end) pos, sum(case when label=0 then weight else 0 end) neg from cvt t where not exists (select 1 from cvw w join cvb b on b.f=w.f and b.rid=w.rid where w.f=t.f and w.pair_id=t.pair_id) group by f",
+    "cvd": "select u.f, round(case when pos+r*neg=0 then 0 else pos/(pos+r*neg) end,12) d from cvu u join cvn n on n.f=u.f",
+    "cvz": "select a.fold, a.pair_id, a.weight, a.label, coalesce(max(proba), max(d), 0) proba, count(proba) n_rules from cvf a left join (select c.f, c.pair_id, q.proba from cvc c join cvq q on q.f=c.f and q.rid=c.rid) h on h.f=a.fold and h.pair_id=a.pair_id left join cvd on cvd.f=a.fold group by a.fold, a.pair_id, a.weight, a.label",
+    "cvpts": "select fold, proba t, sum(case when label=1 then weight else 0 end) p, sum(case when label=0 then weight else 0 end) n from cvz group by fold, proba",
+    "cvauc": "select x.fold, sum(x.p*y.n*(case when x.t>y.t then 1 when x.t=y.t then 0.5 else 0 end))/(sum(case when x.t=y.t then x.p else 0 end)*(select sum(n) from cvpts w where w.fold=x.fold)) roc_auc from cvpts x join cvpts y on x.fold=y.fold group by x.fold",
+    "cvall": "select fold, sum(case when proba>=0.5 and label=1 then weight else 0 end) tp, sum(case when proba>=0.5 and label=0 then weight else 0 end) fp, sum(case when proba<0.5 and label=1 then weight else 0 end) fn, sum(case when proba<0.5 and label=0 then weight else 0 end) tn, count(distinct label)<2 one from cvz group by fold",
+}
+
+
+def _crossval(k: Fixture) -> C.Folds:
+    """Closed sets of metapaths picked by sequential covering, which SQL can say; test_crossval.py has thresholds, conditions and the greedy selection."""
+    params = Params(minsup_ratio=SET_RATIO, compute_unifications=False, optimize_metapath_thresholds=False, strategy="conf")
+    every = S.stratified_folds(k.samples.withColumn("split", F.lit("train")), FOLDS)
+    return _once(k, "crossval_", lambda: C.cross_validate(k.all_paths, written(every, "folds"), params, FOLDS))
+
+
+@query("""select fold, case when one then 'nan'::double else round(case when tp+fp>0 then tp/(tp+fp) else 0 end,6) end "precision", round(case when tp+fn>0 then tp/(tp+fn) else 0 end,6) recall, case when one then 'nan'::double else round(roc_auc,6) end roc_auc, case when one then 'nan'::double else round(case when d>0 then (tp*tn-fp*fn)/d else 0 end,6) end mcc,
+  case when one then 'nan'::double else round((case when tp+fn>0 then tp/(tp+fn) else 0 end+case when tn+fp>0 then tn/(tn+fp) else 0 end)/2,6) end balanced_acc from (select *, sqrt((tp+fp)*(tp+fn)*(tn+fp)*(tn+fn)) d from cvall) q join cvauc using(fold)""")
+def crossval_metrics(k):
+    return _crossval(k).metrics.select("fold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "roc_auc", "mcc", "balanced_acc")])
+
+
+@query("select fold, pair_id, round(proba,6) proba, n_rules from cvz")
+def crossval_scores(k):
+    return _crossval(k).scored.select("fold", "pair_id", F.round("proba", 6).alias("proba"), "n_rules")
+
+
+@query("select cast(q.f as int) fold, array_to_string(mps,' + ') pattern, round(proba,6) proba from cvq q join cvr r on r.f=q.f and r.rid=q.rid")
+def crossval_rules(k):
+    return _crossval(k).rules.select("fold", "pattern", F.round("proba", 6).alias("proba"))
+
+
 @query("select split_part(pair_id,'|',1) ens_id_a, split_part(pair_id,'|',2) ens_id_b, x.name gene_name_a, y.name gene_name_b, round(proba,6) predicted_proba from pred join n x on x.id=split_part(pair_id,'|',1) join n y on y.id=split_part(pair_id,'|',2)")
 def predictions_sink(k):
     from pathloom.sources.sinks import prediction_rows

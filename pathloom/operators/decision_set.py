@@ -60,48 +60,82 @@ def marginal_weights(cover: DataFrame, samples: DataFrame, alpha: float, covered
     return j.select("rule_id", F.round(F.lit(start) + change, 12).alias("marginal"), "confidence")
 
 
-def select_greedy(cover: DataFrame, samples: DataFrame, alpha: float = 0.5) -> list[int]:
-    """Rules added one by one, each the cheapest, while the objective falls; ties go to higher confidence, then id.
-
-    What every rule would add is kept and not worked out again: a round takes the pairs that the chosen rule is the first
-    to cover from an index of pairs with their rules, and subtracts them from the sums of the rules they have. Once a rule
-    is chosen, one without an uncovered positive can't lower the objective any more, so it leaves the table. Only the
-    chosen rule reaches the driver.
+def select_greedy_by(cover: DataFrame, totals: DataFrame, alpha: float = 0.5, by: str = "fold") -> list[tuple]:
+    """(group, rule_id) chosen in every group of column by: rules added one by one, each the cheapest, while the objective falls; ties go to higher confidence, then id.
+
+    cover: by, rule_id, pair_id, weight, label, distinct; totals: by, p, n (weights of all positives and negatives). All groups
+    advance in the same rounds, so their number adds no jobs. What every rule would add is kept and not worked out again:
+    a round takes the pairs that the chosen rules are the first to cover from an index of pairs with their rules, and
+    subtracts them from the sums of the rules they have. Once a rule is chosen, one without an uncovered positive can't lower
+    the objective any more, so it leaves the table. Only chosen rules, one for each group and round, reach the driver.
     """
-    p, n = class_weights(samples)
-    pairs = cover.select("rule_id", "pair_id").distinct().join(samples.select("pair_id", "weight", "label"), "pair_id")
-    index = pairs.groupBy("pair_id").agg(F.collect_list("rule_id").alias("rules"), F.any_value("weight").alias("weight"), F.any_value("label").alias("label"))
+    spark, group = cover.sparkSession, cover.schema[by].dataType.simpleString()
+    index = cover.groupBy(by, "pair_id").agg(F.collect_list("rule_id").alias("rules"), F.any_value("weight").alias("weight"), F.any_value("label").alias("label"))
     index = written(index, "index")
-    left = written(rule_sums(cover, samples).select("rule_id", "pos", "neg", "confidence"), "residual")
-    share = lambda c, whole: F.col(c) / F.lit(whole) if whole else F.lit(0.0)
-    chosen: list[int] = []
+    part = lambda label: F.when(F.col("label") == label, F.col("weight")).otherwise(0.0)
+    sums = cover.groupBy(by, "rule_id").agg(F.sum(part(1)).alias("pos"), F.sum(part(0)).alias("neg"))
+    left = written(sums.withColumn("confidence", _ratio(F.col("pos"), F.col("neg"), 1.0)).join(F.broadcast(totals), by), "residual")  # a row per group
+    share = lambda c, whole: F.when(F.col(whole) > 0, F.col(c) / F.col(whole)).otherwise(0.0)
+    chosen: dict = {}
     while True:
-        change = F.lit(0.0 if chosen else alpha - 1.0) + (1 - alpha) * share("neg", n) - alpha * share("pos", p)
-        best = left.select("rule_id", F.round(change, 12).alias("marginal"), "confidence").orderBy("marginal", F.desc("confidence"), F.desc("rule_id")).first()
-        if best is None or best["marginal"] >= 0:
-            return chosen
-        new = index.where(F.array_contains("rules", best["rule_id"]))
-        if chosen:
-            new = new.where(~F.arrays_overlap("rules", F.array(*[F.lit(r) for r in chosen])))
-        chosen.append(best["rule_id"])
-        gone = new.select(F.explode("rules").alias("rule_id"), F.when(F.col("label") == 1, F.col("weight")).otherwise(0.0).alias("p"), F.when(F.col("label") == 0, F.col("weight")).otherwise(0.0).alias("n"))
-        gone = gone.groupBy("rule_id").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        rest = left.where(F.col("rule_id") != best["rule_id"]).join(gone, "rule_id", "left").fillna(0.0, ["p", "n"])
-        rest = rest.select("rule_id", (F.col("pos") - F.col("p")).alias("pos"), (F.col("neg") - F.col("n")).alias("neg"), "confidence")
+        change = F.lit(0.0 if chosen else alpha - 1.0) + (1 - alpha) * share("neg", "n") - alpha * share("pos", "p")
+        best = left.groupBy(by).agg(F.min(F.struct(F.round(change, 12).alias("marginal"), -F.col("confidence"), (-F.col("rule_id")).alias("last"))).alias("b")).where("b.marginal < 0")
+        rows = [(r[by], -r["last"]) for r in best.select(by, "b.last").collect()]
+        if not rows:
+            return [(g, rule) for g, ids in sorted(chosen.items()) for rule in ids]
+        # A row per group; a group without one has all its rules.
+        picks = F.broadcast(spark.createDataFrame([(g, rule, chosen.get(g, [])) for g, rule in rows], f"`{by}` {group}, best int, before array<int>"))
+        for g, rule in rows:
+            chosen.setdefault(g, []).append(rule)
+        new = index.join(picks, by).where(F.array_contains("rules", F.col("best")) & ~F.arrays_overlap("rules", "before"))
+        gone = new.select(by, F.explode("rules").alias("rule_id"), part(1).alias("gone_p"), part(0).alias("gone_n"))
+        gone = gone.groupBy(by, "rule_id").agg(F.sum("gone_p").alias("gone_p"), F.sum("gone_n").alias("gone_n"))
+        rest = left.join(picks, by).where(F.col("rule_id") != F.col("best")).join(gone, [by, "rule_id"], "left").fillna(0.0, ["gone_p", "gone_n"])
+        rest = rest.select(by, "rule_id", (F.col("pos") - F.col("gone_p")).alias("pos"), (F.col("neg") - F.col("gone_n")).alias("neg"), "confidence", "p", "n")
         rest = written(rest.where(F.col("pos") > 1e-12), "residual")
         release(left)
         left = rest
 
 
+def select_greedy(cover: DataFrame, samples: DataFrame, alpha: float = 0.5) -> list[int]:
+    """The rules that select_greedy_by chooses if all samples are one group."""
+    p, n = class_weights(samples)
+    pairs = cover.select("rule_id", "pair_id").distinct().join(samples.select("pair_id", "weight", "label"), "pair_id")
+    totals = cover.sparkSession.createDataFrame([(0, float(p), float(n))], "fold int, p double, n double")
+    return [rule for _, rule in select_greedy_by(pairs.withColumn("fold", F.lit(0)), totals, alpha)]
+
+
+def _rounded() -> list[Column]:
+    return [F.round("pos", 9).alias("pos"), F.round("neg", 9).alias("neg")]
+
+
+def _rank(by: str) -> Column:
+    """The place of a rule in sequential covering, from its rounded sums."""
+    first = -F.round(_ratio(F.col("pos"), F.col("neg"), 1.0), 12) if by == "conf" else F.col("neg")
+    return F.struct(first, -F.col("pos"), F.col("rule_id"))
+
+
+def select_sequential_by(cover: DataFrame, by: str = "fold", rank: str = "conf") -> DataFrame:
+    """(by, rule_id) that sequential covering picks in every group of column by; cover: by, rule_id, pair_id, weight, label, distinct.
+
+    A positive pair is gone after one rule, so a rule stays exactly if it is the first of some positive pair. Sums are rounded before ranking.
+    """
+    part = lambda label: F.sum(F.when(F.col("label") == label, F.col("weight")).otherwise(0.0))
+    sums = cover.groupBy(by, "rule_id").agg(part(1).alias("pos"), part(0).alias("neg")).select(by, "rule_id", *_rounded())
+    ranked = sums.select(by, "rule_id", _rank(rank).alias("rank"))
+    best = cover.where("label = 1").select(by, "rule_id", "pair_id").join(ranked, [by, "rule_id"]).groupBy(by, "pair_id").agg(F.min_by("rule_id", "rank").alias("rule_id"))
+    return best.select(by, "rule_id").distinct()
+
+
 def select_sequential(cover: DataFrame, samples: DataFrame, by: str = "conf", cover_threshold: int = 1) -> DataFrame:
     """rule_ids picked by sequential covering: rules in rank order, each kept if it matches a positive pair still there.
 
     by "conf" ranks by confidence, by "fpr" by negative weight; then by positive weight and id. A pair is gone after
     cover_threshold rules, so a rule stays exactly if it is among the first cover_threshold rules of some positive pair.
+    Sums are rounded before ranking, so that ties don't hang on the order of adding.
     """
-    sums = rule_sums(cover, samples)
-    first = F.struct(-F.col("confidence"), -F.col("pos"), F.col("rule_id")) if by == "conf" else F.struct(F.col("neg"), -F.col("pos"), F.col("rule_id"))
-    ranked = sums.select("rule_id", first.alias("rank"))
+    sums = rule_sums(cover, samples).select("rule_id", *_rounded())
+    ranked = sums.select("rule_id", _rank(by).alias("rank"))
     j = cover.join(samples.where("label = 1").select("pair_id"), "pair_id", "left_semi").join(ranked, "rule_id")
     if cover_threshold == 1:
         return j.groupBy("pair_id").agg(F.min_by("rule_id", "rank").alias("rule_id")).select("rule_id").distinct()

@@ -253,8 +253,8 @@ def unifiable(patterns: DataFrame) -> DataFrame:
     return patterns.where(F.size(types) > F.size(F.array_distinct(types)))
 
 
-def unifications(patterns: DataFrame, paths: DataFrame, samples: DataFrame, minsup: float, both: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Patterns with a condition that paths of two or more of their metapaths share a node, and their matches."""
+def shared_nodes(patterns: DataFrame, paths: DataFrame, both: bool = False) -> DataFrame:
+    """Distinct (pattern, unif, pair_id) where paths of two or more metapaths of a pattern share a node, as the condition unif says; written."""
     items = unifiable(patterns).select("pattern", "mps", "k", F.posexplode("mps").alias("i", "mp"))
     hits = items.join(directed(paths, both).select("pair_id", "direction", "mp", "nodes"), "mp")
     base = hits.groupBy("pattern", "pair_id", "direction").agg(F.countDistinct("i").alias("c"), F.first("k").alias("k")).where("c = k").select("pattern", "pair_id", "direction")
@@ -268,21 +268,29 @@ def unifications(patterns: DataFrame, paths: DataFrame, samples: DataFrame, mins
         level = level.join(spots, key).where(F.element_at("unif", -1)["i"] < F.col("s.i")).select(*key, F.concat("unif", F.array("s")).alias("unif"))
         level = written(level, "shared") if size < largest else level
         found = found.unionByName(level)
-    found = written(found.select("pattern", "unif", "pair_id").distinct(), "shared")
-    good = _supported(found, ["pattern", "unif"], samples, minsup)
-    named = good.join(patterns.select("pattern", "mps", "k"), "pattern")
+    return written(found.select("pattern", "unif", "pair_id").distinct(), "shared")
+
+
+def conditioned(conditions: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Conditions (pattern, unif and columns of their own) as patterns: named after pattern and condition, with mps and k of the former."""
     name = F.concat_ws(" ", F.col("pattern"), F.lit("@"), unif_text(F.col("unif")))
-    keys = good.select("pattern", "unif")
-    matches = found.join(keys, ["pattern", "unif"]).select(name.alias("pattern"), "pair_id")
-    return named.select(name.alias("pattern"), "mps", "k", "unif", "support", "n"), matches
+    return conditions.join(patterns.select("pattern", "mps", "k"), "pattern").withColumn("pattern", name)
+
+
+def unifications(patterns: DataFrame, paths: DataFrame, samples: DataFrame, minsup: float, both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Patterns with a condition that paths of two or more of their metapaths share a node, and their matches."""
+    found = shared_nodes(patterns, paths, both)
+    good = _supported(found, ["pattern", "unif"], samples, minsup)
+    matches = conditioned(found.join(good.select("pattern", "unif"), ["pattern", "unif"]), patterns).select("pattern", "pair_id")
+    return conditioned(good, patterns).select("pattern", "mps", "k", "unif", "support", "n"), matches
 
 
 def unif_text(unif: Column) -> Column:
     return F.array_join(F.transform(unif, lambda x: F.concat_ws(":", x["i"].cast("string"), x["pos"].cast("string"))), ",")
 
 
-def closed_patterns(patterns: DataFrame, strict: bool = False) -> DataFrame:
-    """Patterns that no pattern one level up replaces.
+def closed_patterns(patterns: DataFrame, strict: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Patterns that no pattern one level up replaces; with columns by, none that agrees in these.
 
     A level is the number of metapaths, one more with a condition. As the rule has always been applied, a
     pattern goes if some pattern one level up holds its first metapath and matches at least as many pairs;
@@ -290,11 +298,11 @@ def closed_patterns(patterns: DataFrame, strict: bool = False) -> DataFrame:
     """
     p = patterns.withColumn("level", F.col("k") + F.when(F.size("unif") > 0, 1).otherwise(0))
     if not strict:
-        up = p.select((F.col("level") - 1).alias("level"), F.explode("mps").alias("first"), "n").groupBy("level", "first").agg(F.max("n").alias("most"))
-        out = p.withColumn("first", F.get("mps", F.lit(0))).join(up, ["level", "first"], "left")
+        up = p.select((F.col("level") - 1).alias("level"), F.explode("mps").alias("first"), "n", *by).groupBy("level", "first", *by).agg(F.max("n").alias("most"))
+        out = p.withColumn("first", F.get("mps", F.lit(0))).join(up, ["level", "first", *by], "left")
         return out.where("most is null or n > most").select(*patterns.columns)
-    above = p.select((F.col("level") - 1).alias("level"), F.explode("mps").alias("first"), F.col("mps").alias("others"), F.col("n").alias("m"))
-    j = p.withColumn("first", F.get("mps", F.lit(0))).join(above, ["level", "first"], "left")
+    above = p.select((F.col("level") - 1).alias("level"), F.explode("mps").alias("first"), F.col("mps").alias("others"), F.col("n").alias("m"), *by)
+    j = p.withColumn("first", F.get("mps", F.lit(0))).join(above, ["level", "first", *by], "left")
     inside = (F.size(F.array_except("mps", "others")) == 0) & (F.col("n") <= F.col("m"))
-    gone = j.where(F.coalesce(inside, F.lit(False))).select("pattern").distinct()
-    return patterns.join(gone, "pattern", "left_anti")
+    gone = j.where(F.coalesce(inside, F.lit(False))).select("pattern", *by).distinct()
+    return patterns.join(gone, ["pattern", *by], "left_anti")

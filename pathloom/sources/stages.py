@@ -10,7 +10,7 @@ import pathlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,20 +72,25 @@ def ordinals(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("head__") + F.col("at__").bitwiseAND(inside)).alias(name))
 
 
-def running_sums(df: DataFrame, order: Column, *columns: str) -> DataFrame:
+def running_sums(df: DataFrame, order: Column, *columns: str, by: Sequence[str] = ()) -> DataFrame:
     """df with every column's sum up to its row, as <column>_upto, in the order given, which must tell rows apart; written.
 
-    Sums run inside ranges of rows; what the ranges before add to each is summed on the driver.
+    With columns by, which must not be null, every group has sums of its own. Sums run inside ranges of rows; what the ranges before add to each is
+    summed on the driver, which sees a row for each range, and one more for each group at most.
     """
-    parted = written(df.repartitionByRange(order).withColumn("range__", F.spark_partition_id()), "ranges")
-    totals = sorted(parted.groupBy("range__").agg(*[F.sum(c).alias(c) for c in columns]).collect(), key=lambda r: r["range__"])
-    heads, at = [], [0.0] * len(columns)
+    parted = written(df.repartitionByRange(*by, order).withColumn("range__", F.spark_partition_id()), "ranges")
+    totals = sorted(parted.groupBy(*by, "range__").agg(*[F.sum(c).alias(c) for c in columns]).collect(), key=lambda r: tuple(r[c] for c in (*by, "range__")))
+    heads, at, last = [], [0.0] * len(columns), None
     for r in totals:
-        heads.append((r["range__"], *at))
+        group = tuple(r[c] for c in by)
+        if group != last:
+            at, last = [0.0] * len(columns), group
+        heads.append((*group, r["range__"], *at))
         at = [a + (r[c] or 0.0) for a, c in zip(at, columns, strict=True)]
-    ahead = F.broadcast(df.sparkSession.createDataFrame(heads, "range__ int, " + ", ".join(f"{c}__ double" for c in columns)))  # one row per range
-    upto = Window.partitionBy("range__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = parted.join(ahead, "range__")
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by]
+    ahead = F.broadcast(df.sparkSession.createDataFrame(heads, ", ".join([*kinds, "range__ int", *[f"{c}__ double" for c in columns]])))  # one row per range and group in it
+    upto = Window.partitionBy(*by, "range__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parted.join(ahead, [*by, "range__"])
     return out.select(*[F.col(c) for c in df.columns], *[(F.col(f"{c}__") + F.sum(c).over(upto)).alias(f"{c}_upto") for c in columns])
 
 
