@@ -784,6 +784,38 @@ def analytics_file(k):
     return back.select("sample_name", "alpha", F.col("training_positive_coverage").alias("pos"), F.col("training_negative_coverage").alias("neg"), F.col("training_number_of_rules").alias("n_rules"))
 
 
+@query("select u src, v dst, l label, s score, array_to_string(coalesce(c,[]),',') ctx, x.name src_name, y.t dst_type from e join n x on x.id=e.u join n y on y.id=e.v")
+def graphml_file(k):
+    """The graph written as GraphML and read again in one pass, in ranges of 64 KB: its edges with properties of their ends."""
+    from pathloom.sources import readers, sinks
+
+    path = _folder(k, "graph")
+    sinks.write_graphml(G.Graph(k.nodes, k.edges), path)
+    back = readers.read_graphml(k.spark, path, split=1 << 16)
+    ends = back.nodes.select("id", "name", "node_type")
+    out = back.edges.join(ends.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "src").join(ends.select(F.col("id").alias("dst"), F.col("node_type").alias("dst_type")), "dst")
+    return out.select("src", "dst", "label", "score", joined(F.coalesce("ctx", F.array().cast("array<string>"))).alias("ctx"), "src_name", "dst_type")
+
+
+@query("""with q as (select h.rule_id, h.pair_id, es, list_concat(list_concat([split_part(h.pair_id,'|',1)], ns), [split_part(h.pair_id,'|',2)]) w from hit h join cov c on c.rule_id=h.rule_id and c.pair_id=h.pair_id where h.label=1),
+  ed as (select rule_id, pair_id, count(distinct least(x,y)||'>'||greatest(x,y)||'>'||l) n_edges from (select rule_id, pair_id, unnest(w[1:len(w)-1]) x, unnest(w[2:]) y, unnest(es) l from q) z group by 1,2),
+  nd as (select rule_id, pair_id, count(distinct x) n_nodes from (select rule_id, pair_id, unnest(w) x from q) z group by 1,2)
+  select cast(q.rule_id as int) rule_id, q.pair_id, count(*) n_paths, any_value(n_nodes) n_nodes, any_value(n_edges) n_edges from q join ed on ed.rule_id=q.rule_id and ed.pair_id=q.pair_id join nd on nd.rule_id=q.rule_id and nd.pair_id=q.pair_id group by 1,2""")
+def explanation_files(k):
+    """A GraphML file for each rule and pair that it matches, written by the executors and read again: paths by its name, nodes and edges by its elements."""
+    from pathloom.sources import elements, sinks
+
+    path = _folder(k, "explanations")
+    behind = written(R.matched_paths(_rules(k), k.paths), "behind")
+    counts = behind.groupBy("rule_id", "pair_id").agg(F.count("*").alias("n_paths"))
+    names = sinks.explanation_names(_all_rules_set(k).explain(k.paths), counts)
+    sinks.write_explanations(sinks.graphml_documents(R.subgraph_edges(behind, k.pairs, k.graph.adjacency), k.nodes), names, path)
+    back = elements.read_elements(k.spark, path)
+    told = lambda i: F.regexp_extract("file", r"^(.+)_(.+)-\d+-\d\.\d\d-(\d+)-r(\d+)\.graphml$", i)
+    per = back.groupBy("file").agg(F.count_if(F.col("kind") == "node").alias("n_nodes"), F.count_if(F.col("kind") == "edge").alias("n_edges"))
+    return per.select(told(4).cast("int").alias("rule_id"), F.concat_ws("|", told(1), told(2)).alias("pair_id"), told(3).cast("long").alias("n_paths"), "n_nodes", "n_edges")
+
+
 @query("select pair_id, mp, count(*) n, round(max(score),6) best from p group by all")
 def cached_paths(k):
     """Paths from the stage cache, the second time from its store."""

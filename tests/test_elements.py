@@ -1,0 +1,94 @@
+"""GraphML in one pass, cut anywhere, and files written by executors."""
+
+import os
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pathloom.operators.graph import Graph
+from pathloom.sources import elements, readers, sinks
+
+TEXT = (
+    '<?xml version="1.0"?>\n<!-- <node id="no"/> --><graphml>\n<key id="k" for="all" attr.name="name" attr.type="string"/><keys/><nodes>\n'
+    '<node id="a>b"><data key="k"> x &amp; <![CDATA[</node> <edge ]]>é</data><data key="e"/></node><node id=\'c\'/>\n<!-- </node> --><node id="d" ><!-- </node> --><data key="k">y</data></node >'
+    '<edge source="c" target="d"/><edge id="1" source="d"\n target="c"><data key="w">0.5</data></edge>\n</graphml>\n'
+).encode()
+WANT = [
+    ("key", "k", None, None, "all", "name", "string", []),
+    ("node", "a>b", None, None, None, None, None, [{"_key": "k", "_VALUE": "x & </node> <edge é"}, {"_key": "e", "_VALUE": None}]),
+    ("node", "c", None, None, None, None, None, []),
+    ("node", "d", None, None, None, None, None, [{"_key": "k", "_VALUE": "y"}]),
+    ("edge", None, "c", "d", None, None, None, []),
+    ("edge", "1", "d", "c", None, None, None, [{"_key": "w", "_VALUE": "0.5"}]),
+]
+
+
+def cut(text: bytes, borders: list[int], fetch: int) -> list[tuple]:
+    borders = sorted({0, len(text), *borders})
+    read = lambda offset, n: text[offset : offset + min(n, fetch)]
+    return [elements.parsed(e) for s, t in zip(borders, borders[1:], strict=False) for e in elements.cut(read, s, t)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 400), st.lists(st.integers(0, len(TEXT)), max_size=6))
+def test_elements_across_borders(fetch, borders):
+    """Whatever the ranges and fetches: every element once, unless a border lies in a comment or section that holds a start tag."""
+    unsafe = [(TEXT.find(x), TEXT.find(x) + len(x)) for x in (b'<!-- <node id="no"/> -->', b"<![CDATA[</node> <edge ]]>")]
+    assert cut(TEXT, [b for b in borders if not any(s < b < t for s, t in unsafe)], fetch) == WANT
+
+
+def test_broken_files():
+    for text in (b"<node id='a'><data", b"<edge source='a'", b"<!-- never"):
+        with pytest.raises(ValueError, match="ends inside"):
+            cut(text, [], 7)
+    assert cut(b"", [], 9) == cut(b"<graphml></graphml>", [5], 3) == []
+    # A long element stays linear.
+    long = b"<node id='a'><data key='k'>" + b"x" * 30_000_000 + b"</data></node>"
+    assert len(cut(long, [17, 9_000_000], 1 << 20)[0][-1][0]["_VALUE"]) == 30_000_000
+
+
+def test_small_files_share_tasks():
+    parts = elements.packed([(f"f{i}", 1000) for i in range(1000)] + [("empty", 0), ("long", 3 * elements.SPLIT + 5)], elements.SPLIT)
+    ranges = [r for p in parts for r in p.ranges]
+    assert len(parts) < 25 and len(ranges) == 1004 == len(set(ranges))
+    assert [r[1:] for r in ranges if r[0] == "long"] == [(i * elements.SPLIT, min((i + 1) * elements.SPLIT, 3 * elements.SPLIT + 5)) for i in range(4)]
+
+
+def test_same_as_three_scans(spark, tmp_path, monkeypatch):
+    """The whole reader by ranges of a few bytes, against Spark's XML source."""
+    body = "".join(f'<node id="n{i}"><data key="l">:T{i % 3}</data><data key="n"> name &lt;{i}&gt; </data></node>\n' for i in range(200))
+    body += "".join(f'<edge id="e{i}" source="n{i}" target="n{(i * 7 + 1) % 200}"><data key="lab">has</data><data key="s">0.{i}</data><data key="c">["u\'{i}"]</data></edge>' for i in range(200))
+    keys = '<key id="l" for="node" attr.name="labels" attr.type="string"/><key id="n" for="node" attr.name="name"/><key id="lab" for="edge" attr.name="label" attr.type="string"/><key id="s" for="edge" attr.name="score" attr.type="double"/><key id="c" for="edge" attr.name="in"/>'
+    file = tmp_path / "g.graphml"
+    file.write_text(f'<?xml version="1.0" encoding="UTF-8"?>\n<graphml>{keys}<graph edgedefault="undirected">{body}</graph></graphml>')
+    one = readers.read_graphml(spark, str(file), split=501)
+    assert elements.read_elements(spark, str(file), 501).rdd.getNumPartitions() > 40
+    monkeypatch.setattr(readers, "readable", lambda _: False)
+    three = readers.read_graphml(spark, str(file))
+    for a, b in ((one.nodes, three.nodes), (one.edges, three.edges)):
+        assert a.dtypes == b.dtypes and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() == 200
+
+
+def test_graph_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("a<1>", "T", 'x "&" y', 0.5), ("b", "U", None, None)], "id string, node_type string, name string, orient double")
+    edges = spark.createDataFrame([(1, "a<1>", "b", "l", 0.25, ["it's", "b\\c", "]"]), (2, "b", "a<1>", "m", None, None)], "edge_id long, src string, dst string, label string, score double, ctx array<string>")
+    sinks.write_graphml(Graph(nodes, edges), f"{tmp_path}/g")
+    back = readers.read_graphml(spark, f"{tmp_path}/g", split=64)
+    assert sorted(map(tuple, back.nodes.select(nodes.columns).collect())) == sorted(map(tuple, nodes.collect()))
+    keep = [c for c in edges.columns if c != "edge_id"]
+    assert sorted(map(repr, back.edges.select(keep).collect())) == sorted(map(repr, edges.select(keep).collect()))
+
+
+def test_named_files(spark, tmp_path):
+    """Files have their names and texts, are replaced, and no draft stays; a folder that Python can't open is refused."""
+    rows = spark.range(50).select(F.format_string("f-%d.txt", "id").alias("file"), F.concat(F.lit("é\n"), "id").alias("content")).repartition(4)
+    for _ in range(2):
+        elements.write_files(rows, f"{tmp_path}/out")
+    assert sorted(os.listdir(tmp_path / "out")) == sorted(f"f-{i}.txt" for i in range(50))
+    assert (tmp_path / "out" / "f-7.txt").read_text() == "é\n7"
+    elements.write_files(rows.limit(0), f"{tmp_path}/none")
+    names = spark.createDataFrame([(1, "p", "x")], "rule_id int, pair_id string, file string")
+    with pytest.raises(ValueError, match="viewfs"):
+        sinks.write_explanations(spark.createDataFrame([(1, "p", "t")], "rule_id int, pair_id string, graphml string"), names, "viewfs://store/x")
