@@ -689,6 +689,24 @@ def crossval_rules(k):
     return _crossval(k).rules.select("fold", "pattern", F.round("proba", 6).alias("proba"))
 
 
+@query("""select a.pair_id, round(coalesce(max(proba), (select coalesce(max(d),0) from cvd where f=0)),6) proba, cast(case when coalesce(max(proba), (select coalesce(max(d),0) from cvd where f=0))>0.5 then 1 else 0 end as double) prediction
+  from sam a left join (select c.pair_id, q.proba from cvc c join cvq q on q.f=c.f and q.rid=c.rid where c.f=0) h on h.pair_id=a.pair_id group by a.pair_id""")
+def ml_classifier(k):
+    """All pairs through a pyspark.ml pipeline that was fitted on all folds but the first, saved and loaded."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from pathloom.plans.classifier import DecisionSetClassifier
+
+    folder = _folder(k, "pipeline")
+    k.all_paths.write.parquet(f"{folder}/paths")
+    every = S.stratified_folds(k.samples, FOLDS)
+    stage = DecisionSetClassifier(paths=f"{folder}/paths", minsupRatio=SET_RATIO, unifications=False, thresholds=False, strategy="conf")
+    Pipeline(stages=[stage]).fit(every.where("fold <> 0")).save(f"{folder}/model")
+    out = PipelineModel.load(f"{folder}/model").transform(every)
+    return out.select("pair_id", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias("proba"), "prediction")
+
+
 @query("select split_part(pair_id,'|',1) ens_id_a, split_part(pair_id,'|',2) ens_id_b, x.name gene_name_a, y.name gene_name_b, round(proba,6) predicted_proba from pred join n x on x.id=split_part(pair_id,'|',1) join n y on y.id=split_part(pair_id,'|',2)")
 def predictions_sink(k):
     from pathloom.sources.sinks import prediction_rows
