@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import paths
+from pathloom.operators import paths, rules
 from pathloom.sources.stages import written
 
 
@@ -23,3 +23,11 @@ def test_a_hub_is_bridged_from_the_side_that_branches_less(spark):
     assert by_far.where("end = 'H'").count() == 200 and paths._bridged(near[1].where("tip_heavy"), by_near).count() == 0
     got = [(r.pair_id, tuple(r.nodes)) for r in paths.enumerate_paths(pairs, adjacency, 3, heavy_above=3).collect()]
     assert sorted(got) == sorted((f"p{i}", ("H", "h7")) for i in range(40))
+
+
+def test_rules_share_one_shuffle_of_pairs(spark):
+    found = spark.createDataFrame([(f"p{i}", [m], [], m, [], 0.2 + 0.1 * i) for i in range(5) for m in "xyz"[: 1 + i % 3]], "pair_id string, edges array<string>, types array<string>, mp string, nodes array<string>, score double")
+    ruled = written(spark.createDataFrame([(1, "a", ["x", "y"], [], [0.0, 0.0]), (2, "b", ["x", "z"], [], [0.0, 0.0]), (3, "c", ["x", "y"], [], [0.0, 0.5])], "rule_id int, pattern string, mps array<string>, unif array<struct<i:int,pos:int>>, thresholds array<double>"), "rules")
+    out = rules.cover(ruled, written(found, "paths"))
+    assert {tuple(r) for r in out.collect()} == {(1, "p1"), (1, "p2"), (1, "p4"), (2, "p2"), (3, "p4")}
+    assert not any("rule_id" in line for line in _exchanges(out)) and sum("pair_id" in line for line in _exchanges(out.select("rule_id", "pair_id"))) <= 2
