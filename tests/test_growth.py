@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import paths, rules
+from pathloom.operators import paths, rules, samples
+from pathloom.plans.fixture import fixture
 from pathloom.sources.stages import written
 
 
@@ -31,3 +32,13 @@ def test_rules_share_one_shuffle_of_pairs(spark):
     out = rules.cover(ruled, written(found, "paths"))
     assert {tuple(r) for r in out.collect()} == {(1, "p1"), (1, "p2"), (1, "p4"), (2, "p2"), (3, "p4")}
     assert not any("rule_id" in line for line in _exchanges(out)) and sum("pair_id" in line for line in _exchanges(out.select("rule_id", "pair_id"))) <= 2
+
+
+def test_negatives_are_neither_written_nor_shuffled(spark):
+    found = fixture(spark, "/root/testdata/sf0.01").negatives
+    assert not hasattr(found, "_pathloom_path") and not _exchanges(found)
+
+
+def test_folds_leave_their_order_behind(spark):
+    out = samples.stratified_folds(spark.createDataFrame([(str(i), i % 3) for i in range(30)], "pair_id string, label int"), 5)
+    assert out.columns == ["pair_id", "label", "fold"] and "order__" not in out._jdf.queryExecution().analyzed().toString()
