@@ -56,6 +56,16 @@ def test_small_files_share_tasks():
     assert [r[1:] for r in ranges if r[0] == "long"] == [(i * elements.SPLIT, min((i + 1) * elements.SPLIT, 3 * elements.SPLIT + 5)) for i in range(4)]
 
 
+def test_small_ranges_share_tasks():
+    """Ranges of 64 KB of a long file are as many as it needs, tasks are not; and a range fetches little more than it has."""
+    parts = elements.packed([("long", 20_000 << 16)], 1 << 16)
+    assert len(parts) <= 2 * elements.TASKS and [r for p in parts for r in p.ranges] == [("long", i << 16, (i + 1) << 16) for i in range(20_000)]
+    text, fetched = b'<edge source="c" target="d"/>\n' * 30_000, []
+    read = lambda offset, n: fetched.append(len(text[offset : offset + n])) or text[offset : offset + n]
+    assert sum(len(list(elements.cut(read, s, s + (1 << 16)))) for s in range(0, len(text), 1 << 16)) == 30_000
+    assert sum(fetched) < 1.5 * len(text)
+
+
 def test_same_as_three_scans(spark, tmp_path, monkeypatch):
     """The whole reader by ranges of a few bytes, against Spark's XML source."""
     body = "".join(f'<node id="n{i}"><data key="l">:T{i % 3}</data><data key="n"> name &lt;{i}&gt; </data></node>\n' for i in range(200))
