@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import paths, rules, samples
+from pathloom.operators import graph, mining, paths, rules, samples, thresholds
 from pathloom.plans.fixture import fixture
 from pathloom.sources.stages import written
 
@@ -42,3 +42,66 @@ def test_negatives_are_neither_written_nor_shuffled(spark):
 def test_folds_leave_their_order_behind(spark):
     out = samples.stratified_folds(spark.createDataFrame([(str(i), i % 3) for i in range(30)], "pair_id string, label int"), 5)
     assert out.columns == ["pair_id", "label", "fold"] and "order__" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def _shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan
+
+
+def test_edges_look_up_the_types_of_their_ends_once(spark):
+    """Both ways of an edge come from one join with the nodes for each end, not from two."""
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "B")], "id string, node_type string")
+    edges = spark.createDataFrame([(1, "a", "b", "x", 0.5, ["1"]), (2, "c", "c", "y", 0.2, None), (3, "b", "c", "x", 0.1, None), (4, "a", "gone", "x", 0.1, None)], "edge_id long, src string, dst string, label string, score double, ctx array<string>")
+    out = graph.Graph(nodes, edges).adjacency
+    got = {(r.edge_id, r.src, r.dst, r.src_type, r.dst_type, r.label, r.score, tuple(r.ctx or ())) for r in out.collect()}
+    assert got == {(1, "a", "b", "A", "B", "x", 0.5, ("1",)), (1, "b", "a", "B", "A", "x", 0.5, ("1",)), (2, "c", "c", "B", "B", "y", 0.2, ()), (3, "b", "c", "B", "B", "x", 0.1, ()), (3, "c", "b", "B", "B", "x", 0.1, ())} and out.count() == 5
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+
+
+def test_first_steps_leave_the_hops_where_they_are(spark, monkeypatch):
+    """Half paths of one hop meet the hops as broadcast ends."""
+    plans = []
+    monkeypatch.setattr(paths, "written", lambda df, tag: plans.append((tag, _shuffles(df))) or written(df, tag))
+    hops = spark.createDataFrame([("a", "x", "T", "T", "l", 0.0, 0, []), ("x", "b", "T", "T", "l", 0.0, 0, []), ("b", "x", "T", "T", "l", 0.0, 0, []), ("x", "a", "T", "T", "l", 0.0, 0, [])], "src string, dst string, src_type string, dst_type string, label string, log double, c int, ctx array<string>")
+    hops = written(hops.withColumns({"src_heavy": F.lit(False), "dst_heavy": F.lit(False)}), "hops")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near, far = paths.halves(spark.createDataFrame([("p", "a", "b")], "pair_id string, a string, b string"), hops, 2)
+        assert near[1].count() == far[1].count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    found = [n for tag, (n, _) in plans if tag == "half"]
+    assert len(found) == 2 and found == [0, 0]
+
+
+def test_matches_and_scores_shuffle_each_path_once(spark):
+    """Paths go to their pair before rules, patterns or thresholds multiply them; what is asked of a pair needs no further shuffle."""
+    found = written(spark.createDataFrame([(f"p{i}", [m], ["T"], m, [f"n{i % 3}"], 0.2 + 0.1 * i) for i in range(6) for m in ("x/T/y", "z/T/w")[: 1 + i % 2]], "pair_id string, edges array<string>, types array<string>, mp string, nodes array<string>, score double"), "paths")
+    pattern = "pattern string, mps array<string>, k int, unif array<struct<i:int,pos:int>>, support double, n long"
+    patterns = written(spark.createDataFrame([("a", ["x/T/y", "z/T/w"], 2, [], 1.0, 3)], pattern), "patterns")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    by_pair = lambda df: [line for line in _exchanges(df.select("*")) if "pair_id" in line]
+    try:
+        ruled = written(rules.numbered(patterns), "rules")
+        behind = rules.matched_paths(ruled, found)
+        assert {(r.pair_id, r.i, r.u_node) for r in behind.collect()} == {(f"p{i}", j, None) for i in (1, 3, 5) for j in (0, 1)} and len(by_pair(behind)) == 1
+        scores = thresholds.pattern_scores(patterns, found)
+        assert {(r.pair_id, r.i, tuple(r.scores)) for r in scores.collect()} == {(f"p{i}", j, (0.2 + 0.1 * i,)) for i in (1, 3, 5) for j in (0, 1)} and len(by_pair(scores)) == 1
+        above = thresholds.counts_above(written(scores, "scores"), thresholds.grid(patterns, [0.0, 0.4, 0.6]))
+        assert {(r.t_id, r.pair_id): r.n_paths for r in above.collect()} == {(t, f"p{i}"): 2 if 0.2 + 0.1 * i >= v else 0 for t, v in enumerate((0.0, 0.4, 0.6)) for i in (1, 3, 5)} and len(by_pair(above)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_shared_nodes_read_the_paths_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(mining, "written", lambda df, tag: plans.append((tag, _shuffles(df)[1])) or written(df, tag))
+    found = spark.createDataFrame([(f"p{i}", [m], ["T"], m, [f"n{i if m < 'y' else i - i % 2}"], 0.5) for i in range(6) for m in ("x/T/y", "z/T/w")[: 1 + (i < 4)]], "pair_id string, edges array<string>, types array<string>, mp string, nodes array<string>, score double")
+    patterns = written(spark.createDataFrame([("a", ["x/T/y", "z/T/w"], 2, [])], "pattern string, mps array<string>, k int, unif array<struct<i:int,pos:int>>"), "patterns")
+    got = mining.shared_nodes(patterns, written(found, "paths")).collect()
+    assert {(r.pair_id, tuple((u.i, u.pos) for u in r.unif)) for r in got} == {(f"p{i}", ((0, 1), (1, 1))) for i in (0, 2)}
+    spots = next(plan for tag, plan in plans if tag == "spots")
+    assert sum("hashpartitioning" in line and "pair_id" in line for line in spots.splitlines()) == 1
