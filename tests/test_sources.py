@@ -124,3 +124,15 @@ def test_running_sums(spark):
 
     rows = running_sums(spark.range(300).select("id", F.lit(0.5).alias("x")).repartition(6), F.desc("id"), "x").collect()
     assert {r.id: r.x_upto for r in rows} == {i: 0.5 * (300 - i) for i in range(300)}
+
+
+def test_records_are_numbered_over_all_parts(spark, tmp_path):
+    """Places follow the order of parts and lines, in several tasks; no task has them all."""
+    from pathloom.sources import readers, sinks
+
+    rows = spark.range(3000).selectExpr("concat('a', id) as gene_name_A", "'b' as gene_name_B", "concat('a', id) as ens_id_A", "'\"x' as ens_id_B", "id / 3000 as predicted_proba")
+    sinks.write_predictions(rows.repartition(5), f"{tmp_path}/out")
+    back = readers.read_delimited(spark, f"{tmp_path}/out", place="place")
+    got = back.collect()
+    assert {(r.place, r.ens_id_A) for r in got} == {(3000 - i, f"a{i}") for i in range(3000)} and {r.gene_name_B for r in got} == {"b"}
+    assert "SinglePartition" not in back._jdf.queryExecution().executedPlan().toString()
