@@ -105,3 +105,17 @@ def test_shared_nodes_read_the_paths_once(spark, monkeypatch):
     assert {(r.pair_id, tuple((u.i, u.pos) for u in r.unif)) for r in got} == {(f"p{i}", ((0, 1), (1, 1))) for i in (0, 2)}
     spots = next(plan for tag, plan in plans if tag == "spots")
     assert sum("hashpartitioning" in line and "pair_id" in line for line in spots.splitlines()) == 1
+
+
+def test_folds_are_numbered_in_one_shuffle_and_not_written(spark):
+    import hashlib
+
+    rows = [(f"p{i}", i % 3) for i in range(500)]
+    out = samples.stratified_folds(spark.createDataFrame(rows, "pair_id string, label int"), 7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "ordered-" not in plan
+    want = {}
+    for label in range(3):
+        mine = sorted((hashlib.md5(f"42:{p}".encode()).hexdigest(), p) for p, y in rows if y == label)
+        want |= {p: n % 7 for n, (_, p) in enumerate(mine)}
+    assert {r.pair_id: r.fold for r in out.collect()} == want
